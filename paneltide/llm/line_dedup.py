@@ -4,11 +4,9 @@
 2. The rows are range-partitioned by (hash, document) and sorted within partitions by place, with
    the largest document first. The ranges include the document, so a line that a third of all
    documents hold is cut over many partitions instead of meeting in one task.
-3. Each partition is streamed once. The first document of a hash keeps its lines; the later ones
-   lose theirs once enough documents have been seen. Only the first and the last hash of a
-   partition can go on in a neighbour: their rows stay undecided, with one summary row each.
-4. Those summaries, two at most for each partition, are added up and decide the undecided rows.
-5. What is dropped is packed into a compressed keep bitmap for each document, and no text moves
+3. Each partition is streamed once (:mod:`first_seen`). The first document of a hash keeps its
+   lines; the later ones lose theirs once enough documents have been seen.
+4. What is dropped is packed into a compressed keep bitmap for each document, and no text moves
    until the bitmaps are applied.
 """
 
@@ -23,16 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from paneltide.llm import common
-
-_LINES = "uid long, doc long, pos int, n_lines int, h1 long, h2 long"
-_STREAM = _LINES + ", n_docs long, kind int"
-_DROP, _OPEN, _SUMMARY = 0, 1, 2
-
+from paneltide.llm import common, first_seen
 
 def _line_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("n_lines", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
         for whole in batches:
             for batch in common.slices(whole, "text"):
                 which, place, total, digests = [], [], [], []
@@ -52,100 +44,15 @@ def _line_rows(min_chars: int):
                 if which:
                     h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                     take = pa.array(which, pa.int32())
-                    yield common.record(schema, uid=batch.column("uid").take(take), doc=batch.column("doc").take(take), pos=place, n_lines=total, h1=h[:, 0].copy(), h2=h[:, 1].copy())
+                    yield common.record(first_seen.ROW_SCHEMA, uid=batch.column("uid").take(take), doc=batch.column("doc").take(take), pos=place, n=total, h1=h[:, 0].copy(), h2=h[:, 1].copy())
 
     return run
 
 
 def line_rows(docs: DataFrame, min_chars: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(uid, doc, pos, n_lines, h1, h2) of each line whose key has at least ``min_chars`` code points."""
+    """(uid, doc, pos, n, h1, h2) of each line whose key has at least ``min_chars`` code points."""
     slim = docs.select(common.row_key(text, doc_id).alias("uid"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    return slim.mapInArrow(_line_rows(min_chars), _LINES)
-
-
-class _Stream:
-    """One partition, batch by batch. Rows come sorted by hash, then document from the largest, then place.
-
-    Memory: one batch, and the rows of fewer than ``min_docs`` documents of the hash at hand.
-    """
-
-    schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("n_lines", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n_docs", pa.int64()), ("kind", pa.int32())])
-    columns = ("uid", "doc", "null", "pos", "n_lines", "h1", "h2")
-
-    def __init__(self, min_docs: int) -> None:
-        self.min_docs = min_docs
-        self.hash = self.top = self.last = None
-        self.docs = 0
-        self.edge = True  # still in the partition's first run, which may have begun in the one before
-        self.held: list[dict] = []
-
-    def out(self, rows: dict, kind: int) -> pa.RecordBatch:
-        k = len(rows["uid"])
-        return common.record(self.schema, **{c: rows[c] for c in ("uid", "pos", "n_lines", "h1", "h2")}, doc=pa.array(rows["doc"], mask=rows["null"]), n_docs=np.zeros(k, np.int64), kind=np.full(k, kind, np.int32))
-
-    def summary(self) -> pa.RecordBatch:
-        return common.record(self.schema, uid=[0], doc=[self.top], pos=[0], n_lines=[0], h1=[self.hash[0]], h2=[self.hash[1]], n_docs=[self.docs], kind=[_SUMMARY])
-
-    def feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        doc = batch.column("doc")
-        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in self.columns if c not in ("doc", "null")}
-        rows["null"] = doc.is_null().to_numpy(zero_copy_only=False)
-        rows["doc"] = doc.fill_null(0).to_numpy(zero_copy_only=False)
-        h1, h2, ids, null = rows["h1"], rows["h2"], rows["doc"], rows["null"]
-        name = lambda i: None if null[i] else int(ids[i])
-        goes_on = self.hash == (h1[0], h2[0])
-        new = np.r_[not goes_on, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        fresh = new | np.r_[not goes_on or name(0) != self.last, (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]
-        begins = np.unique(np.r_[0, np.flatnonzero(new)])
-        length = np.diff(np.r_[begins, len(new)])
-        before = np.cumsum(fresh) - fresh
-        nth = np.cumsum(fresh) - np.repeat(before[begins], length)  # the row's document within its hash
-        if goes_on:
-            nth[: length[0]] += self.docs
-        total = np.repeat(nth[begins + length - 1], length)
-        drop, hold = (nth > 1) & (total >= self.min_docs), (nth > 1) & (total < self.min_docs)
-        hold[: begins[-1]] = False  # a hash that has ended in too few documents keeps its lines
-        for i, (a, n) in enumerate(zip(begins.tolist(), length.tolist())):
-            if i == 0 and goes_on:
-                if self.edge:
-                    drop[:n] = hold[:n] = False
-                    yield self.out({c: v[:n] for c, v in rows.items()}, _OPEN)
-                elif total[0] >= self.min_docs:
-                    yield from (self.out(r, _DROP) for r in self.held)
-                    self.held = []
-                self.docs, self.last = int(nth[n - 1]), name(n - 1)
-                continue
-            if i and i < len(begins) - 1 and not self.edge and self.hash is not None:
-                continue  # neither the first nor the last hash of this batch: nothing to remember
-            if self.edge and self.hash is not None:
-                yield self.summary()
-                self.edge = False
-            self.held = []
-            first = self.hash is None
-            self.hash, self.top, self.last, self.docs = (h1[a], h2[a]), name(a), name(a + n - 1), int(nth[a + n - 1])
-            if first:
-                drop[:n] = hold[:n] = False
-                yield self.out({c: v[:n] for c, v in rows.items()}, _OPEN)
-        if drop.any():
-            yield self.out({c: v[drop] for c, v in rows.items()}, _DROP)
-        if hold.any():
-            self.held.append({c: v[hold] for c, v in rows.items()})
-
-    def end(self) -> Iterator[pa.RecordBatch]:
-        if self.hash is not None:
-            yield from (self.out(r, _OPEN) for r in self.held)
-            yield self.summary()
-
-
-def _stream(min_docs: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = _Stream(min_docs)
-        for batch in batches:
-            if batch.num_rows:
-                yield from stream.feed(batch)
-        yield from stream.end()
-
-    return run
+    return slim.mapInArrow(_line_rows(min_chars), first_seen.ROWS)
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +74,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, text:
     Documents without a bitmap keep all their lines.
     """
     lines = line_rows(docs, min_chars, text, doc_id)
-    n = common.partitions(docs.sparkSession)
-    order = [F.col("h1"), F.col("h2"), F.desc_nulls_last("doc")]
-    dealt = lines.repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("pos"))
-    seen = common.written(dealt.mapInArrow(_stream(min_docs), _STREAM), "lines")
-    # Two summaries at most for each of n partitions: a few thousand rows at any size of the input.
-    edges = seen.filter(F.col("kind") == _SUMMARY).groupBy("h1", "h2").agg(F.sum("n_docs").alias("held_by"), F.max("doc").alias("top"))
-    edges = edges.filter(F.col("held_by") >= min_docs)
-    open_rows = seen.filter(F.col("kind") == _OPEN).drop("n_docs").join(F.broadcast(edges), ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("top")))
-    cols = ["uid", "doc", "pos", "n_lines"]
-    drops = seen.filter(F.col("kind") == _DROP).select(*cols).unionByName(open_rows.select(*cols))
-    by_doc = drops.groupBy("uid", "doc").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("drops"))
+    drops = first_seen.later_occurrences(lines, min_docs, largest_first=True)
+    by_doc = drops.groupBy("uid", "doc").agg(F.max("n").alias("n_lines"), F.collect_set("pos").alias("drops"))
     return by_doc.mapInArrow(_bitmaps, "uid long, doc long, n_lines int, keep binary")
 
 

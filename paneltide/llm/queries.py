@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.llm import common, line_dedup, packing, quality_rules, secret_scan
+from paneltide.llm import common, decontaminate, line_dedup, near_dedup, packing, quality_rules, secret_scan, span_dedup, toxicity
 from paneltide.llm.sql import ORACLE
 
 
+def op1_edit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(common.table(spark, sf_dir, "documents"))
 
@@ -22,12 +30,20 @@ def op6_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(common.table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.digest(common.table(spark, sf_dir, "documents"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(common.table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(common.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_two_fit, op4_line_dedup, op6_credential_links, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_edit_match, op2_toxic_spans, op3_best_two_fit, op4_line_dedup, op6_credential_links, op8_sentence_spans, op9_near_duplicates, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
