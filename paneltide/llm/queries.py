@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.llm import common, decontaminate, line_dedup, near_dedup, packing, quality_rules, secret_scan, span_dedup, toxicity
+from paneltide.llm import common, decontaminate, html_text, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
 from paneltide.llm.sql import ORACLE
 
 
@@ -26,10 +26,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(common.table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(common.table(spark, sf_dir, "pages"))
+
+
 def op6_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(common.table(spark, sf_dir, "documents"))
 
 
+def op7_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.digest(common.table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_match, op2_toxic_spans, op3_best_two_fit, op4_line_dedup, op6_credential_links, op8_sentence_spans, op9_near_duplicates, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_edit_match, op2_toxic_spans, op3_best_two_fit, op4_line_dedup, op5_main_text, op6_credential_links, op7_quadratic_discriminant, op8_sentence_spans, op9_near_duplicates, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

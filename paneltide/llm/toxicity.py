@@ -44,15 +44,19 @@ def features(texts: pa.Array, words: common.Words):
 
 
 def _cover(doc: np.ndarray, codes: np.ndarray, toxic: np.ndarray, least: int = 3, most_rules: int = 200) -> np.ndarray:
-    """Codes that cover the toxic documents greedily; each must explain at least ``least`` more and be rare elsewhere."""
+    """Codes of toxic words and word beginnings: those far too frequent in toxic documents to be chance, and a
+    greedy cover of the toxic documents by codes that each explain at least ``least`` more and are rare elsewhere."""
     candidates = codes[:, :-1]
-    pairs = np.unique(np.stack([np.repeat(doc, candidates.shape[1]).astype(np.uint64), candidates.reshape(-1)], 1)[candidates.reshape(-1) != 0], axis=0)
-    owner, code = pairs[:, 0].astype(np.int64), pairs[:, 1]
-    names, which = np.unique(code, return_inverse=True)
+    there = candidates != 0
+    names, which = np.unique(candidates[there], return_inverse=True)
+    pairs = np.unique(np.repeat(doc, candidates.shape[1]).reshape(candidates.shape)[there] * len(names) + which)
+    owner, which = pairs // max(1, len(names)), pairs % max(1, len(names))
     bad = np.bincount(which, weights=toxic[owner], minlength=len(names))
     good = np.bincount(which, weights=1 - toxic[owner], minlength=len(names))
     share = max(1, int((1 - toxic).sum())) / max(1, int(toxic.sum()))
-    fine = (bad >= least) & (good / share <= 0.03 * bad)
+    fine = (bad >= least) & (good / share <= 0.05 * bad)
+    rate = max(1e-6, toxic.mean())
+    sure = fine & (bad * np.log(1 / rate) + good * np.log(1 - rate) >= 14)
     keep = fine[which] & (toxic[owner] == 1)
     owner, which = owner[keep], which[keep]
     left = np.ones(len(toxic), bool)
@@ -64,7 +68,22 @@ def _cover(doc: np.ndarray, codes: np.ndarray, toxic: np.ndarray, least: int = 3
             break
         chosen.append(pick)
         left[owner[which == pick]] = False
-    return names[chosen]
+    return names[np.union1d(np.flatnonzero(sure), chosen).astype(int)]
+
+
+def distinct_texts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Flags of texts that share none of four least shingle hashes with an earlier text: near copies would pass for evidence."""
+    g, d = common.windows(hashes, first, 5)
+    n = len(first) - 1
+    fresh = np.ones(n, bool)
+    if not len(g):
+        return fresh
+    some = np.unique(d)
+    begins = np.searchsorted(d, some)
+    for salt in range(1, 5):
+        least = np.minimum.reduceat(common.mix(g ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1))), begins)
+        fresh[np.setdiff1d(some, some[np.unique(least, return_index=True)[1]])] = False
+    return fresh
 
 
 def chains(first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, int]:
@@ -114,7 +133,7 @@ def _emissions(codes: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarra
     return (weights[slot] * (codes != 0)).sum(1) + bias
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 40, chains_most: int = 8000) -> dict:
+def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000) -> dict:
     """The model: hashed weights, bias, transitions, and the calibration of document scores.
 
     Trains on the chains with toxic tokens and a fixed share of the others, ``chains_most`` at most.
@@ -128,7 +147,8 @@ def fit(sample: list[tuple[str, int]], rounds: int = 40, chains_most: int = 8000
     texts = pa.array([t for t, _ in sample], pa.string())
     _, _, _, first, codes = features(texts, words)
     doc = np.repeat(np.arange(len(sample)), np.diff(first))
-    lexicon = _cover(doc, codes, toxic)
+    alone = distinct_texts(codes[:, 0], first)[doc]
+    lexicon = _cover(doc[alone], codes[alone], toxic)
     hit = np.isin(codes[:, :-1], lexicon).any(1)
     label = hit & (toxic[doc] == 1)
     known = (toxic[doc] == 0) | (np.bincount(doc, weights=label, minlength=len(sample)) > 0)[doc]
