@@ -21,7 +21,7 @@ DELAY, WINDOW, LEAST = 23, 126, 200
 def matured_pairs(decisions: DataFrame, scored: DataFrame, delay: int = DELAY, window: int = WINDOW) -> DataFrame:
     """(decision position D) x (rows matured inside its window), by a block join: both ends inclusive."""
     rows = scored.select(F.col("i").alias("t"), *[F.col(c) for c in scored.columns if c != "i"])
-    return joins.position_range(decisions, rows, "D", delay + window, delay, "t")
+    return joins.position_range(decisions, rows, "at", delay + window, delay, "t")
 
 
 def baseline_quantile(panel: DataFrame, alpha: float = 0.5, n: int = 252, least: int = 63, delay: int = 22) -> DataFrame:
@@ -37,10 +37,10 @@ def score_cqr(df: DataFrame) -> DataFrame:
 def fixed_alpha(predictions: DataFrame, alpha: float, least: int = LEAST) -> DataFrame:
     """Conformal intervals with a constant level: lower, upper, n_calib, quality_flag for every prediction."""
     scored = score_cqr(predictions).filter(F.col("score").isNotNull()).select("i", "score")
-    days = predictions.select((F.col("i") + 1).alias("D")).distinct()
+    days = predictions.select((F.col("i") + 1).alias("at")).distinct()
     pairs = matured_pairs(days, scored)
-    stat = w.order_statistic(pairs, "D", "score", alpha, least)
-    out = predictions.withColumn("D", F.col("i") + 1).join(F.broadcast(stat), "D", "left")
+    stat = w.order_statistic(pairs, "at", "score", alpha, least)
+    out = predictions.withColumn("at", F.col("i") + 1).join(F.broadcast(stat), "at", "left")
     return _interval(out, F.lit(alpha), least)
 
 
@@ -51,7 +51,7 @@ def _interval(out: DataFrame, alpha: Column, least: int) -> DataFrame:
     low, high = F.col("q10") - F.col("s"), F.col("q90") + F.col("s")
     a, b = ordered_ends(low, high)
     flag = join_flags((few, "insufficient_calibration"), (~few & (F.col("k") > F.col("n")), "k_gt_n"), (crossing, "crossing"))
-    return out.select("code", "d", "i", "D", "q10", "q50", "q90", "y", F.when(crossing, a).otherwise(low).alias("lower"), F.when(crossing, b).otherwise(high).alias("upper"), alpha.alias("alpha_D"), n.alias("n_calib"), flag.alias("quality_flag"))
+    return out.select("code", "d", "i", "at", "q10", "q50", "q90", "y", F.when(crossing, a).otherwise(low).alias("lower"), F.when(crossing, b).otherwise(high).alias("upper"), alpha.alias("alpha_D"), n.alias("n_calib"), flag.alias("quality_flag"))
 
 
 def adaptive(predictions: DataFrame, target: float, gamma: float, least: int = LEAST, window: int = WINDOW, delay: int = DELAY) -> DataFrame:
@@ -121,22 +121,22 @@ def p_values(predictions: DataFrame, clipped: bool = False, least: int = LEAST)
     """
     v = F.when(F.lit(clipped) & (F.col("y") > 0), F.lit(float("inf"))).otherwise(F.col("y") - F.col("q50"))
     residuals = predictions.withColumn("v", v).filter(F.col("y").isNotNull() & F.col("q50").isNotNull()).select("i", "v")
-    days = predictions.select((F.col("i") + 1).alias("D")).distinct()
+    days = predictions.select((F.col("i") + 1).alias("at")).distinct()
     # Ranks among residuals and thresholds together give the counts by one window over each day.
-    marks = predictions.select((F.col("i") + 1).alias("D"), "code", (-F.col("q50")).alias("v"), F.lit(1).alias("mark")).filter(F.col("v").isNotNull())
-    both = matured_pairs(days, residuals).select("D", F.lit(None).cast("string").alias("code"), "v", F.lit(0).alias("mark")).unionByName(marks)
-    run = Window.partitionBy("D").orderBy("v", "mark").rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("below", F.sum(F.lit(1) - F.col("mark")).over(run)).withColumn("n", F.sum(F.lit(1) - F.col("mark")).over(Window.partitionBy("D"))).filter("mark = 1").select("D", "code", "below", "n")
-    totals = matured_pairs(days, residuals).groupBy("D").agg(F.count("*").alias("n_day"))
-    out = predictions.withColumn("D", F.col("i") + 1).join(counted, ["D", "code"], "left").join(F.broadcast(totals), "D", "left")
+    marks = predictions.select((F.col("i") + 1).alias("at"), "code", (-F.col("q50")).alias("v"), F.lit(1).alias("mark")).filter(F.col("v").isNotNull())
+    both = matured_pairs(days, residuals).select("at", F.lit(None).cast("string").alias("code"), "v", F.lit(0).alias("mark")).unionByName(marks)
+    run = Window.partitionBy("at").orderBy("v", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("below", F.sum(F.lit(1) - F.col("mark")).over(run)).withColumn("n", F.sum(F.lit(1) - F.col("mark")).over(Window.partitionBy("at"))).filter("mark = 1").select("at", "code", "below", "n")
+    totals = matured_pairs(days, residuals).groupBy("at").agg(F.count("*").alias("n_day"))
+    out = predictions.withColumn("at", F.col("i") + 1).join(counted, ["at", "code"], "left").join(F.broadcast(totals), "at", "left")
     n = F.coalesce("n_day", F.lit(0)).cast("bigint")
     flag = F.when(n < least, "insufficient_calibration").when(F.col("q50").isNull(), "missing_q50").otherwise("ok")
     p = F.when(flag == "ok", (F.col("below") + 1) / (n + 1))
-    return out.select("code", "d", "i", "D", "q50", p.alias("p_value"), n.alias("n_calib"), flag.alias("quality_flag"))
+    return out.select("code", "d", "i", "at", "q50", p.alias("p_value"), n.alias("n_calib"), flag.alias("quality_flag"))
 
 
 def select_bh(scored: DataFrame, levels: tuple[float, ...] = (0.1, 0.2, 0.3)) -> DataFrame:
-    return scored.select("*", *[w.step_up("p_value", q, by="D").alias(f"selected_q{round(q * 100)}") for q in levels])
+    return scored.select("*", *[w.step_up("p_value", q, by="at").alias(f"selected_q{round(q * 100)}") for q in levels])
 
 
 def coverage(intervals: DataFrame, period: str = "month") -> DataFrame:
@@ -176,9 +176,9 @@ def kill_switch(predictions: DataFrame, model: dict[float, str], baseline: dict[
     """(D, model_loss, baseline_loss, stop): mean pinball loss over matured rows, stop where the model is no better."""
     loss = lambda cols: sum((pinball(F.col("y"), F.col(c), a) for a, c in cols.items()), F.lit(0.0)) / len(cols)
     rows = predictions.filter(F.col("y").isNotNull()).select("i", loss(model).alias("_m"), loss(baseline).alias("_b")).filter(F.col("_m").isNotNull() & F.col("_b").isNotNull())
-    days = predictions.select((F.col("i") + 1).alias("D")).distinct()
-    out = matured_pairs(days, rows).groupBy("D").agg(F.avg("_m").alias("model_loss"), F.avg("_b").alias("baseline_loss"))
-    return days.join(out, "D", "left").select("D", "model_loss", "baseline_loss", F.coalesce(F.col("model_loss") >= F.col("baseline_loss"), F.lit(False)).alias("stop"))
+    days = predictions.select((F.col("i") + 1).alias("at")).distinct()
+    out = matured_pairs(days, rows).groupBy("at").agg(F.avg("_m").alias("model_loss"), F.avg("_b").alias("baseline_loss"))
+    return days.join(out, "at", "left").select("at", "model_loss", "baseline_loss", F.coalesce(F.col("model_loss") >= F.col("baseline_loss"), F.lit(False)).alias("stop"))
 
 
 def rank_ic(df: DataFrame, score: str, y: str = "y", least: int = 5) -> DataFrame:

@@ -29,7 +29,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = w.dense_grid(obs, cal, "raw")
     ranks = obs.select("code").distinct().withColumn("k", F.dense_rank().over(w.Window.orderBy("code")).cast("bigint"))
     out = grid.join(F.broadcast(ranks), "code")
-    price = F.when((F.col("k") * 5 + F.col("i")) % 17 != 0, F.col("raw") * F.exp((F.col("k") - 3) * F.lit(0.004) * F.col("i")))
+    price = F.when((F.col("k") * 5 + F.col("i")) % 17 != 0, F.col("raw") * F.exp((F.col("k") - 3) * F.lit(0.008) * F.col("i")))
     return out.select("code", "d", "i", price.alias("price"))
 
 
@@ -43,7 +43,7 @@ cal AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT
 codes AS (SELECT code, dense_rank() OVER (ORDER BY code) AS k FROM (SELECT DISTINCT code FROM obs)),
 panel AS (
   SELECT codes.code, cal.d, cal.i,
-    CASE WHEN (k * 5 + cal.i) % 17 <> 0 THEN o.raw * exp((k - 3) * 0.004e0 * cal.i) END AS price
+    CASE WHEN (k * 5 + cal.i) % 17 <> 0 THEN o.raw * exp((k - 3) * 0.008e0 * cal.i) END AS price
   FROM codes CROSS JOIN cal LEFT JOIN obs o ON o.code = codes.code AND o.d = cal.d
 )"""
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.plans import panel_queries  # noqa: F401  registers its queries
+from paneltide.plans import model_queries, panel_queries, store_queries  # noqa: F401  they register their queries
 from paneltide.plans.registry import ORACLE, QUERIES, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return model_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
