@@ -54,11 +54,11 @@ def _interval(out: DataFrame, alpha: Column, least: int) -> DataFrame:
     return out.select("code", "d", "i", "at", "q10", "q50", "q90", "y", F.when(crossing, a).otherwise(low).alias("lower"), F.when(crossing, b).otherwise(high).alias("upper"), alpha.alias("alpha_D"), n.alias("n_calib"), flag.alias("quality_flag"))
 
 
-def adaptive(predictions: DataFrame, target: float, gamma: float, least: int = LEAST, window: int = WINDOW, delay: int = DELAY) -> DataFrame:
+def adaptive(predictions: DataFrame, targets: dict[str, float], gamma: float, least: int = LEAST, window: int = WINDOW, delay: int = DELAY) -> DataFrame:
     """Intervals with the level moved by each day's matured misses: one sequential group for each ``config``.
 
     A configuration is sequential in time by nature (its errors feed its level), so configurations
-    are the parallel axis. ``predictions``: config, code, d, i, q10, q50, q90, y.
+    are the parallel axis. ``targets``: miss rate by config; ``predictions``: config, code, d, i, q10, q50, q90, y.
     """
     schema = "config string, code string, d date, i bigint, lower double, upper double, alpha_D double, n_calib bigint, quality_flag string"
 
@@ -71,7 +71,7 @@ def adaptive(predictions: DataFrame, target: float, gamma: float, least: int = L
         scores = {i: np.sort(g["score"].to_numpy()[rows][~np.isnan(g["score"].to_numpy()[rows])]) for i, rows in days.items()}
         lower, upper = np.full(len(g), np.nan), np.full(len(g), np.nan)
         alphas, counts, flags = np.zeros(len(g)), np.zeros(len(g), np.int64), np.empty(len(g), object)
-        alpha = target
+        alpha = target = targets[key[0]]
         q10, q90, y = (g[c].to_numpy() for c in ("q10", "q90", "y"))
         for i in sorted(days):
             D, rows = i + 1, days[i]

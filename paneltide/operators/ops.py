@@ -66,3 +66,9 @@ def episode_gate(rows: DataFrame, least: int = 3, share: float = 2 / 3) -> DataF
     e = episodes(rows).groupBy("code", "episode").agg(F.avg(F.when(F.col("y").isNotNull(), (F.col("y") > 0).cast("double"))).alias("hit"))
     out = e.filter(F.col("hit").isNotNull()).groupBy("code").agg(F.count("*").alias("episodes"), F.avg("hit").alias("rate"))
     return out.withColumn("ready", (F.col("episodes") >= least) & (F.col("rate") >= share))
+
+
+def components_difference(before: DataFrame, after: DataFrame, key: str = "date") -> DataFrame:
+    """Value, cash and receivables of two states side by side; internal moves change parts but not the sum."""
+    total = lambda p: F.col(f"{p}.fund_value") + F.col(f"{p}.cash") + F.col(f"{p}.receivables")
+    return before.alias("a").join(after.alias("b"), key).select(key, total("a").alias("before"), total("b").alias("after"), (total("b") - total("a")).alias("difference"))

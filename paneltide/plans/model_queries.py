@@ -180,8 +180,7 @@ def alpha_path(spark, sf):
 @query()
 def aci_calibrated(spark, sf):
     p = _scored(spark, sf).select(F.explode(F.array(F.lit("t20"), F.lit("t10"))).alias("config"), "*")
-    one = lambda name, target: cf.adaptive(p.filter(F.col("config") == name), target, 0.01)
-    return one("t20", 0.2).unionByName(one("t10", 0.1))
+    return cf.adaptive(p, {"t20": 0.2, "t10": 0.1}, 0.01)
 
 
 def flagship(spark, sf):
