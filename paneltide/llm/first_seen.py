@@ -131,5 +131,6 @@ def later_occurrences(rows: DataFrame, least: int, by_place: bool = False, large
     if by_place:
         same = same & (F.col("uid") == F.col("_top.uid")) & (F.col("pos") == F.col("_top.pos"))
     cols = ["uid", "doc", "pos", "n"]
-    undecided = seen.filter(F.col("kind") == _OPEN).join(F.broadcast(edges), ["h1", "h2"]).filter(~same)
-    return seen.filter(F.col("kind") == _DROP).select(*cols).unionByName(undecided.select(*cols))
+    # Every row passes one broadcast join against the few summaries; decided rows pass as they are.
+    rows = seen.filter(F.col("kind") != _SUMMARY).join(F.broadcast(edges), ["h1", "h2"], "left")
+    return rows.filter((F.col("kind") == _DROP) | (F.col("_units").isNotNull() & ~same)).select(*cols)
