@@ -74,3 +74,44 @@ def test_propose_fill_reconcile(spark):
     assert paper.identity(again, prices, 100.0)["identity_ok"]
     _, skipped = paper.orders(again, {"B": 0.25}, prices, 5, founders, bought={"A": 1, "B": 1})
     assert skipped == {"A": "min_hold"}
+
+
+def test_ingest_modes_and_carry_forward(spark, tmp_path):
+    from paneltide.sources import ingest as ing
+    from paneltide.sources.store import Store
+
+    s = Store(spark, str(tmp_path), read_only=False)
+    first = ing.ingest(s, ing.Synthetic(4, 10), datetime(2026, 2, 3, 20), "initial")
+    assert first["status"] == "ok" and s.table("fund_nav").count() == 40
+    second = ing.ingest(s, ing.Synthetic(4, 12, fail={"S01"}), datetime(2026, 2, 4, 20))
+    assert second["status"] == "partial" and second["failed_profiles"] == ["S01"]
+    assert s.table("fund_nav").count() == 48
+    today = {r.fund_code: r for r in s.table("fund_master").filter("snapshot_date = DATE '2026-02-04'").collect()}
+    assert len(today) == 4 and today["S01"].info_fetched is False and today["S01"].last_success_at == datetime(2026, 2, 3, 20) and today["S00"].info_fetched
+    assert today["S00"].founder == "Kurucu0 Portföy" and today["S00"].can_buy
+    assert [r.status for r in s.table("runs").orderBy("started_at").collect()] == ["ok", "partial"]
+    assert ing.wanted(["a", "b"], "incremental", {"b"}, 2) == ["a"] and ing.wanted(["a", "b"], "incremental", {"b"}, 0) == ["a", "b"]
+
+
+def test_change_plan(spark):
+    from paneltide.operators import change_plan as cp
+
+    empty = spark.createDataFrame([], cp.PLAN)
+    sel = spark.createDataFrame([("A", 0.01, 0.1, 0.2), ("B", 0.02, 0.1, 0.2)], "fund_code string, p_value double, lower double, q50 double")
+    one = cp.make(empty, sel, {"A": "x", "B": None}, date(2026, 3, 2))
+    assert {r.fund_code: round(r.target_weight, 9) for r in one.collect()} == {"A": 0.25, "CASH": 0.75}
+    assert cp.make(one, sel, {"A": "x"}, date(2026, 3, 20)).count() == 2
+    assert cp.next_change(one, 2026) == "2026-02" and cp.next_change(one, 2026, 1) is None
+
+
+def test_suite(spark):
+    import numpy as np
+
+    from paneltide.plans import suites
+
+    rng = np.random.default_rng(0)
+    panel = spark.createDataFrame([(f"F{c}", i, float(10 * np.exp(0.001 * c * i + rng.normal(0, 0.01))), 0.0002, float(c)) for c in range(4) for i in range(60)], "code string, i bigint, price double, cash double, score double")
+    runs = suites.runs_table(spark, [("top", 1), ("top", 2)], [5], [0], [0.0, 0.2])
+    text = suites.report(panel, runs, "Suite")
+    assert text.count("top1") == 2 and "| pbo |" in text
+    assert suites.friction(panel, runs.filter("tax > 0")).filter("drag < 0").count() == 0
