@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Training takes at most this many documents of each label, of at most this many characters each.
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 40_000
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 40_000
 
 
 def fold(doc_id: str = "doc_id", parts: int = 4) -> Column:

@@ -22,6 +22,8 @@ PARTS, HELD = 4, 2
 THRESHOLD = 0.3
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 7)
+#: Training takes at most this many documents of each label, of at most this many characters each.
+SAMPLE_DOCS, SAMPLE_CHARS = 1200, 10_000
 WINDOW = 64  # tokens of a chain; a longer text is several chains
 
 
@@ -144,8 +146,10 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000
         model["scale"] = (0.0, float(np.log((toxic.sum() + 1) / ((1 - toxic).sum() + 1))) if len(sample) else -2.0)
         return model
     words = common.Words()
-    texts = pa.array([t for t, _ in sample], pa.string())
-    _, _, _, first, codes = features(texts, words)
+    parts = [features(pa.array([t for t, _ in sample[i : i + 200]], pa.string()), words)[3:] for i in range(0, len(sample), 200)]
+    first = np.cumsum(np.r_[0, np.concatenate([np.diff(f) for f, _ in parts])])
+    codes = np.concatenate([c for _, c in parts])
+    del parts
     doc = np.repeat(np.arange(len(sample)), np.diff(first))
     alone = distinct_texts(codes[:, 0], first)[doc]
     lexicon = _cover(doc[alone], codes[alone], toxic)
@@ -203,7 +207,9 @@ def evidence(first: np.ndarray, codes: np.ndarray, model: dict) -> tuple[np.ndar
         mask[row, col] = True
         p = marginals(score, mask, model["trans"])[0][row, col]
     doc = np.repeat(np.arange(n), np.diff(first))
-    return np.log(np.bincount(doc, weights=-np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n) + 1e-4), p
+    # Doubtful tokens do not add up: a long text has thousands of them.
+    hits = np.where(p >= 0.3, -np.log1p(-np.minimum(p, 1 - 1e-9)), 0)
+    return np.log(np.bincount(doc, weights=hits, minlength=n) + 1e-2), p
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -254,7 +260,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    return fit(labelled.sample(docs, labels, "toxic", PARTS, HELD))
+    return fit(labelled.sample(docs, labels, "toxic", PARTS, HELD, SAMPLE_DOCS, SAMPLE_CHARS))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
