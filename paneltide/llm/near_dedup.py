@@ -5,12 +5,14 @@
    register keeps the shingle of its earliest arrival. A shingle stops as soon as its next arrival
    is later than every register's (early termination), so most of them arrive a few times only.
 2. Texts with equal shingle sets become one node. Nodes that agree in a band of registers meet in
-   a bucket. Each is first compared with its bucket's representative; the exact Jaccard similarity
-   of the shingle sets decides.
+   a bucket. Each is first compared with its bucket's hub, the member that meets most others (in a
+   group of edited copies that is the text they were made from); the exact Jaccard similarity of
+   the shingle sets decides.
 3. Connected components are found by star contraction on tables in the shared folder.
 4. Buckets that still hold several components are searched again: every member outside the largest
-   component is compared with all members of other components. After that no candidate pair of any
-   bucket is left out, though groups of copies are never expanded into all their pairs.
+   component meets all members of other components, and pairs whose whole signatures agree well
+   enough (3.5 standard errors below the threshold) are verified. No candidate pair of any bucket
+   is left out, though groups of copies are never expanded into all their pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4  # a pair of similarity 0.8 meets with probability 1 - (1 - 0.8**4)**20 = 0.99997
 
+#: Registers of a signature. Bands use the first ones; all of them estimate similarity before a pair is verified.
+REGISTERS = 256
+
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -71,13 +76,13 @@ def signatures(d: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, re
     return holder.reshape(n_docs, registers)
 
 
-_SIGNED = "uid long, doc_id long, node long, node2 long, n int, bands array<long>"
+_SIGNED = "uid long, doc_id long, node long, node2 long, n int, bands array<long>, sketch array<int>"
 
 
-def _sign(bands: int, rows: int):
+def _sign(bands: int, rows: int, registers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = common.Words()
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
         for whole in batches:
             for big in common.slices(whole, "text"):
                 for a in range(0, big.num_rows, 4096):
@@ -91,13 +96,17 @@ def _sign(bands: int, rows: int):
                         begins = np.searchsorted(d, some)
                         set1[some] = common.mix(np.add.reduceat(common.mix(h), begins))
                         set2[some] = common.mix(np.add.reduceat(common.mix(h ^ np.uint64(_GOLDEN)), begins))
-                    sig = signatures(d, h, 1.0 + np.log(count), docs, bands * rows).reshape(docs, bands, rows)
+                    sig = signatures(d, h, 1.0 + np.log(count), docs, max(registers, bands * rows))
+                    low = (common.mix(sig) >> np.uint64(56)).astype(np.uint8)
+                    sig = sig[:, : bands * rows].reshape(docs, bands, rows)
                     key = np.zeros((docs, bands), np.uint64)
                     for r in range(rows):
                         key = common.mix(key + sig[:, :, r] + np.uint64(r + 1))
                     key = common.mix(key + np.arange(1, bands + 1, dtype=np.uint64)[None, :])
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
-                    yield common.record(schema, uid=batch.column("uid"), doc_id=batch.column("doc_id"), node=set1.view(np.int64), node2=set2.view(np.int64), n=n, bands=lists)
+                    low = np.ascontiguousarray(np.pad(low, ((0, 0), (0, -low.shape[1] % 4)))).view(np.int32)
+                    packed = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * low.shape[1]), pa.array(low.reshape(-1)))
+                    yield common.record(schema, uid=batch.column("uid"), doc_id=batch.column("doc_id"), node=set1.view(np.int64), node2=set2.view(np.int64), n=n, bands=lists, sketch=packed)
 
     return run
 
@@ -117,6 +126,16 @@ def _alike(a: Column, b: Column, least: float) -> Column:
     return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
 
 
+def _agreeing(a: str, b: str, words: int) -> Column:
+    """Number of equal bytes of two sketches of ``words`` 32-bit numbers."""
+    total = F.lit(4 * words)
+    for i in range(words):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+        differs = (x.bitwiseAND(F.lit(0x7F7F7F7F)) + F.lit(0x7F7F7F7F)).bitwiseOR(x).bitwiseAND(F.lit(0x80808080))
+        total = total - F.bit_count(differs)
+    return total
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least ``least``."""
     one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("_b"))
@@ -151,7 +170,8 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(uid, doc_id, class_id, n_shingles), one row for each row of ``docs``; class_id is the class's smallest doc_id.
+    """(uid, doc_id, class_id, class_key, n_shingles), one row for each row of ``docs``; class_id is the class's smallest
+    doc_id. Where rows repeat a doc_id, two classes may have the same; class_key tells them apart.
 
     Needs doc_id and text; other columns are ignored. Words are lower-cased and separated by ASCII
     white space; a text of one to four words has one shingle, all of it. Texts without a word (null
@@ -159,15 +179,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     has a null class_id. An empty table gives none.
     """
     slim = docs.select(common.row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.written(slim.mapInArrow(_sign(bands, rows), _SIGNED), "signed")
-    nodes = signed.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.min("bands").alias("bands"))
+    signed = common.written(slim.mapInArrow(_sign(bands, rows, REGISTERS), _SIGNED), "signed")
+    nodes = signed.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.min(F.struct("bands", "sketch")).alias("b"))
+    nodes = nodes.select("node", "n", "doc_id", "uid", "b.bands", "b.sketch")
     nodes = common.written(nodes, "nodes")
     member = nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("key"))
-    heads = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("head")).filter("size > 1")
-    crowd = common.written(member.join(heads, "key"), "crowd")
+    sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    crowd = common.written(member.join(sizes, "key"), "crowd")
+    popular = crowd.groupBy("node").agg(F.sum("size").alias("met"))
+    hubs = crowd.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("hub"))
 
-    first = crowd.filter((F.col("node") != F.col("head.node")) & _alike(F.col("n"), F.col("head.n"), similarity))
-    first = common.written(first.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "pairs")
+    first = crowd.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & _alike(F.col("n"), F.col("hub.n"), similarity))
+    first = common.written(first.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "pairs")
     wanted = nodes.join(crowd.select("node").distinct(), "node", "left_semi").select("node", "uid")
     texts = docs.select(common.row_key().alias("uid"), "text").join(wanted, "uid").select("node", "text")
     sets = common.written(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
@@ -177,10 +200,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     placed = crowd.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     tally = placed.groupBy("key", "root").count()
     split = tally.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "root")).alias("most")).filter("parts > 1")
-    mixed = common.written(placed.join(split.select("key", F.col("most.root").alias("main")), "key"), "mixed")
-    x = mixed.filter("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main")
+    mixed = placed.join(split.select("key", F.col("most.root").alias("main")), "key")
+    mixed = common.written(mixed.join(nodes.select("node", "sketch"), "node"), "mixed")
+    x = mixed.filter("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("s_a"))
+    y = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main", F.col("sketch").alias("s_b"))
+    registers = max(REGISTERS, bands * rows)
+    enough = registers * (similarity - 3.5 * (similarity * (1 - similarity) / registers) ** 0.5)
     across = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b"))) & _alike(F.col("n_a"), F.col("n_b"), similarity)
+    across = across & (_agreeing("s_a", "s_b", -(-registers // 4)) - (-registers % 4) >= enough)
     rest = x.join(y, "key").filter(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = common.written(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links")
@@ -189,8 +216,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
     rooted = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = rooted.join(names, "root").select("node", "class_id")
-    return signed.join(named, "node").select("uid", "doc_id", "class_id", F.col("n").cast("long").alias("n_shingles"))
+    named = rooted.join(names, "root").select("node", "root", "class_id")
+    return signed.join(named, "node").select("uid", "doc_id", "class_id", F.col("root").alias("class_key"), F.col("n").cast("long").alias("n_shingles"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -199,7 +226,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of rows that agree in id and text, one stays.
     """
     rows = common.written(classes(docs, similarity), "classes")
-    best = rows.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("uid")).alias("own")).agg(F.min(F.struct("doc_id", "uid")).alias("k"))
+    best = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", "uid")).alias("k"))
     chosen = best.select(F.col("k.uid").alias("uid"))
     copies = rows.join(chosen, "uid", "left_semi").groupBy("uid").agg((F.count("*") > 1).alias("_again"))
     names = docs.columns
