@@ -201,13 +201,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     tally = placed.groupBy("key", "root").count()
     split = tally.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "root")).alias("most")).filter("parts > 1")
     mixed = placed.join(split.select("key", F.col("most.root").alias("main")), "key")
-    mixed = common.written(mixed.join(nodes.select("node", "sketch"), "node"), "mixed")
-    x = mixed.filter("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("s_a"))
-    y = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main", F.col("sketch").alias("s_b"))
+    mixed = common.written(mixed.join(nodes.select("node", "sketch", "bands"), "node"), "mixed")
+    x = mixed.filter("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("s_a"), F.col("bands").alias("b_a"))
+    y = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main", F.col("sketch").alias("s_b"), F.col("bands").alias("b_b"))
     registers = max(REGISTERS, bands * rows)
     enough = registers * (similarity - 3.5 * (similarity * (1 - similarity) / registers) ** 0.5)
     across = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b"))) & _alike(F.col("n_a"), F.col("n_b"), similarity)
     across = across & (_agreeing("s_a", "s_b", -(-registers // 4)) - (-registers % 4) >= enough)
+    across = across & (F.array_min(F.array_intersect("b_a", "b_b")) == F.col("key"))  # in one of its buckets only
     rest = x.join(y, "key").filter(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = common.written(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links")
