@@ -351,7 +351,7 @@ def test_decontamination(spark, docs, nothing):
     far = "".join("#" if i % 7 == 0 else c for i, c in enumerate(item))
     rows = [(1, f"start {item} end"), (2, "start " + "".join(edited) + " end"), (3, far), (4, item.upper().replace(" ", "\n ")), (5, words(rng, 200)), (6, None), (7, ""), (1, item)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "zz"), (None, words(rng, 20))], "item_id long, text string")
+    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "§§"), (None, words(rng, 20))], "item_id long, text string")
     got = Counter((r.doc_id, r.item_id, r.distance) for r in decontaminate.digest(df, items).collect())
     want = Counter({(1, 10, 0): 2, (2, 10, edit_distance(item, "start " + "".join(edited) + " end")): 1, (4, 10, 0): 1})
     assert got == want
