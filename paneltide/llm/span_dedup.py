@@ -1,8 +1,8 @@
 """Substring dedup by sliding spans of consecutive sentences.
 
-Every run of several consecutive sentences is hashed: from each sentence, the shortest run that
-has enough sentences and words, and likewise back from each sentence, so that a repeated passage
-is covered up to both its ends. All hashes are joined globally by one range-partitioned stream
+Every sentence that has enough words of its own is hashed, and from each shorter one the shortest
+run that has enough sentences and words, and likewise back from it, so that a repeated passage is
+covered up to both the ends of its whole sentences. All hashes are joined globally by one range-partitioned stream
 (:mod:`first_seen`), and sentences covered by any run that is not the first of its hash go.
 """
 
@@ -36,14 +36,16 @@ def sentences(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.n
 
 
 def _runs(begins: np.ndarray, text_of: np.ndarray, n_words: int, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (first, last) of sentences: the shortest sufficient run from each sentence on, and back from each, within one text."""
+    """Pairs (first, last) of sentences: each sentence of sufficient words, and from each other one the shortest
+    sufficient run on, and back, within one text."""
     n = len(begins)
     edge = np.r_[begins, n_words]
     i = np.arange(n)
-    last = np.maximum(np.searchsorted(edge, begins + least_words) - 1, i + least_sentences - 1)
+    alone = np.diff(edge) >= least_words
+    last = np.where(alone, i, np.maximum(np.searchsorted(edge, begins + least_words) - 1, i + least_sentences - 1))
     ok = last < n
     ok[ok] = text_of[last[ok]] == text_of[i[ok]]
-    back = np.minimum(np.searchsorted(edge, edge[1:] - least_words, "right") - 1, i - least_sentences + 1)
+    back = np.where(alone, i, np.minimum(np.searchsorted(edge, edge[1:] - least_words, "right") - 1, i - least_sentences + 1))
     fine = back >= 0
     fine[fine] = text_of[back[fine]] == text_of[i[fine]]
     pairs = np.r_[i[ok] * (n + 1) + last[ok], back[fine] * (n + 1) + i[fine]]

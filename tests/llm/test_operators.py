@@ -321,6 +321,16 @@ def test_spans(docs, corpus, nothing):
     assert all(any(r.text is None for r in by[i]) for i in texts)
 
 
+def test_passage_with_one_whole_sentence(spark):
+    rng = np.random.default_rng(11)
+    end, long, short = words(rng, 6), words(rng, 47), words(rng, 20)
+    # The passage's first sentence is glued to other text in each document; only its second is whole.
+    rows = [(i, f"{words(rng, 20)} | {end}. {long}. {words(rng, 30)}.\n{short}. {words(rng, 30)}") for i in range(3)]
+    got = {r.doc_id: r for r in span_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [long in got[i].text for i in range(3)] == [True, False, False]
+    assert [got[i].n_removed for i in range(3)] == [0, 1, 1]  # a short sentence alone is no run
+
+
 # -- decontamination --------------------------------------------------------------------------
 
 
