@@ -108,11 +108,15 @@ def statistics(texts: pa.Array, words: common.Words) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-def fit(sample: list[tuple[str, int]], shrink: float = SHRINK) -> dict:
-    """Means and inverse Cholesky factors of both classes, and the calibration of their log density difference."""
+def fit(sample: list[tuple[str, int]], shrink: float = SHRINK, counts: tuple[int, int] | None = None) -> dict:
+    """Means and inverse Cholesky factors of both classes, and the calibration of their log density difference.
+
+    ``counts``: documents of label 0 and 1 that the sample stands for; scores are probabilities among those.
+    """
     y = np.array([label for _, label in sample], np.int64)
     if len(sample) < 4 or not y.any() or y.all():
-        share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
+        n0, n1 = counts or (len(y) - y.sum(), y.sum())
+        share = (n1 + 1) / (n0 + n1 + 2) if len(y) else 0.5
         return {"classes": None, "scale": (0.0, float(np.log(share / (1 - share))))}
     words = common.Words()
     x = np.concatenate([statistics(pa.array([t for t, _ in sample[i : i + 500]], pa.string()), words) for i in range(0, len(sample), 500)])
@@ -130,7 +134,8 @@ def fit(sample: list[tuple[str, int]], shrink: float = SHRINK) -> dict:
         factor = np.linalg.cholesky((1 - weight) * own + weight * target)
         classes.append((part.mean(0), np.linalg.inv(factor), float(np.log(np.diag(factor)).sum())))
     model = {"centre": centre, "spread": spread, "classes": classes, "scale": (1.0, 0.0)}
-    model["scale"] = calibrate(evidence(x, model), y)
+    slope, intercept = calibrate(evidence(x, model), y)
+    model["scale"] = (slope, intercept + labelled.prior_shift(y, counts))
     return model
 
 
@@ -168,7 +173,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    return fit(labelled.sample(docs, labels, "quality", PARTS, HELD))
+    return fit(labelled.sample(docs, labels, "quality", PARTS, HELD), counts=labelled.counts(labels, "quality", PARTS, HELD))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -135,15 +135,17 @@ def _emissions(codes: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarra
     return (weights[slot] * (codes != 0)).sum(1) + bias
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000) -> dict:
+def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000, counts: tuple[int, int] | None = None) -> dict:
     """The model: hashed weights, bias, transitions, and the calibration of document scores.
 
+    ``counts``: documents of label 0 and 1 that the sample stands for; scores are probabilities among those.
     Trains on the chains with toxic tokens and a fixed share of the others, ``chains_most`` at most.
     """
     model = {"weights": np.zeros(1 << BITS, np.float32), "bias": -8.0, "trans": np.zeros((2, 2)), "scale": (1.0, 0.0)}
     toxic = np.array([y for _, y in sample], np.int64)
     if not len(sample) or not toxic.any() or toxic.all():
-        model["scale"] = (0.0, float(np.log((toxic.sum() + 1) / ((1 - toxic).sum() + 1))) if len(sample) else -2.0)
+        clean_n, toxic_n = counts or ((1 - toxic).sum(), toxic.sum())
+        model["scale"] = (0.0, float(np.log((toxic_n + 1) / (clean_n + 1))) if len(sample) else -2.0)
         return model
     words = common.Words()
     parts = [features(pa.array([t for t, _ in sample[i : i + 200]], pa.string()), words)[3:] for i in range(0, len(sample), 200)]
@@ -192,7 +194,8 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000
         w[np.abs(grads[0]) < 1e-12] *= 0.9
     model.update(weights=w.astype(np.float32), bias=float(bias), trans=trans)
     x = evidence(first, codes, model)[0]
-    model["scale"] = calibrate(x, toxic)
+    slope, intercept = calibrate(x, toxic)
+    model["scale"] = (slope, intercept + labelled.prior_shift(toxic, counts))
     return model
 
 
@@ -260,7 +263,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    return fit(labelled.sample(docs, labels, "toxic", PARTS, HELD, SAMPLE_DOCS, SAMPLE_CHARS))
+    sample = labelled.sample(docs, labels, "toxic", PARTS, HELD, SAMPLE_DOCS, SAMPLE_CHARS)
+    return fit(sample, counts=labelled.counts(labels, "toxic", PARTS, HELD))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

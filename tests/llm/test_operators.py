@@ -432,6 +432,18 @@ def test_quality_model_separates_held_out():
     assert np.mean((s >= 0.3) == [bool(y) for _, y in test]) > 0.97
 
 
+@pytest.mark.parametrize("module, name", [(toxicity, "toxic"), (quality_model, "quality")])
+def test_scores_keep_their_meaning_when_the_sample_is_capped(spark, monkeypatch, module, name):
+    rng = np.random.default_rng(12)
+    docs = spark.createDataFrame([(i, words(rng, int(n))) for i, n in enumerate(rng.integers(5, 30, 3000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], f"doc_id long, {name} int")  # no text tells the label
+    whole = labelled.sample
+    for most in (3000, 150):
+        monkeypatch.setattr(labelled, "sample", lambda docs, labels, label, parts, held, *_: whole(docs, labels, label, parts, held, most))
+        scores = [r.score for r in module.score(docs, module.train(docs, labels)).select("score").collect()]
+        assert abs(np.mean(scores) - 0.1) < 0.05
+
+
 @pytest.mark.parametrize("module", [toxicity, quality_model])
 def test_classifiers_on_odd_tables(module, docs, corpus, nothing, labels):
     rows = module.digest(docs, labels).collect()
