@@ -187,7 +187,7 @@ def _model_panel(spark, sf):
 
 @query()
 def qgbdt_walkforward(spark, sf):
-    return models.walk_forward(_model_panel(spark, sf).filter("i < 160"), ["a", "b", "c"], alphas=(0.1, 0.5, 0.9), rounds=10)
+    return models.walk_forward(_model_panel(spark, sf), ["a", "b", "c"], alphas=(0.1, 0.5, 0.9))
 
 
 @query()

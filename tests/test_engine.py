@@ -354,6 +354,20 @@ def test_walk_forward_never_trains_late(spark):
     assert out.count() > 0 and ops.late_training(out, "train_max", "refit").count() == 0
 
 
+def test_walk_forward_query_predicts_to_the_last_week(spark):
+    from paneltide.plans import portfolio_queries as pq
+
+    sf, features = "/root/testdata/sf0.001", ["a", "b", "c"]
+    p = pq._model_panel(spark, sf).toPandas()
+    out = pq.qgbdt_walkforward(spark, sf).toPandas()
+    last = out["refit"].max()
+    assert out["i"].max() == p["i"].max() and set(p[p["i"] >= out["i"].min()]["i"]) == set(out["i"])
+    fit, new = (x.sort_values(["i", "code"]) for x in (p[(p["i"] <= last - 23) & p["y"].notna()], p[p["i"] >= last]))
+    want = models.QuantileBoost(0.5).fit(fit[features].to_numpy(float), fit["y"].to_numpy(float)).predict(new[features].to_numpy(float))
+    got = out[(out["refit"] == last) & (out["alpha"] == 0.5)].sort_values(["i", "code"])
+    assert np.allclose(got["q"], want)
+
+
 def test_cpcv_purges_the_stretch_between_blocks():
     splits = models.cpcv_splits(600)
     assert len(splits) == 15
