@@ -37,6 +37,27 @@ def upsert_nav(spark, sf):
     return rel.upsert(p.filter("i < 200"), _arrived(p), ["code", "d"], "n").select("code", "i", r("price", 6).alias("price"))
 
 
+_UPSERT_WHOLE_SQL = """
+corrected AS (
+  SELECT code, d, i, price * (1 + 0.01e0 * n) AS price, n FROM panel CROSS JOIN (SELECT unnest([1, 2]) AS n) WHERE i % 10 = 0
+  UNION ALL SELECT code, CAST(d + INTERVAL 70 DAY AS DATE), i + 10, price, 1 FROM panel WHERE i > (SELECT max(i) - 10 FROM panel)
+)"""
+
+
+@query("""
+SELECT code, i, round(price, 6) + 0e0 AS price FROM panel s WHERE NOT EXISTS (SELECT 1 FROM corrected a WHERE a.code = s.code AND a.d = s.d)
+UNION ALL SELECT code, i, round(price, 6) + 0e0 FROM corrected WHERE n = 2 OR i > (SELECT max(i) FROM panel)
+""", PANEL_SQL, _UPSERT_WHOLE_SQL)
+def upsert_nav_whole(spark, sf):
+    """All weeks stored; corrections in all parts of the panel, and ten new weeks after it."""
+    p = ad.panel(spark, sf)
+    twice = p.filter("i % 10 = 0").crossJoin(spark.range(1, 3).withColumnRenamed("id", "n")).withColumn("price", F.col("price") * (1 + F.lit(0.01) * F.col("n")))
+    end = p.agg(F.max("i").alias("last"))
+    new = p.crossJoin(F.broadcast(end)).filter(F.col("i") > F.col("last") - 10).drop("last")
+    new = new.withColumns({"d": F.date_add("d", 70), "i": F.col("i") + 10, "n": F.lit(1).cast("bigint")})
+    return rel.upsert(p, twice.unionByName(new), ["code", "d"], "n").select("code", "i", r("price", 6).alias("price"))
+
+
 @query("SELECT fund_code, snapshot_date, score FROM master WHERE snapshot_date <> DATE '1998-02-02' UNION ALL SELECT fund_code, snapshot_date, score + 1 FROM master WHERE snapshot_date = DATE '1998-02-02' AND score > 0", MASTER_SQL)
 def replace_partition(spark, sf):
     m = ad.master(spark, sf).select("fund_code", "snapshot_date", "score")
@@ -66,7 +87,7 @@ def backfill_flag(spark, sf):
 
 @query("SELECT CAST(1 AS BIGINT) AS changed", PANEL_SQL)
 def prefix_equal(spark, sf):
-    p = ad.panel(spark, sf).select("code", "i", "price").filter("i < 100")
+    p = ad.panel(spark, sf).select("code", "i", "price")
     other = p.withColumn("price", F.when((F.col("i") == 50) & (F.col("code") == "SMALL"), F.coalesce("price", F.lit(1.0)) + 1).otherwise(F.col("price")))
     return rel.differences(p, other).filter("side = 'right'").agg(F.count("*").alias("changed"))
 
@@ -78,6 +99,20 @@ def prefix_y_maturation(spark, sf):
     return rel.matured_only(p, new, ["code", "i"], "price").select("code", "i")
 
 
+@query("SELECT code, i FROM panel WHERE i % 7 = 2", PANEL_SQL)
+def whole_differences(spark, sf):
+    p = ad.panel(spark, sf).select("code", "i", "price")
+    other = p.withColumn("price", F.when(F.col("i") % 7 == 2, F.coalesce("price", F.lit(1.0)) + 1).otherwise(F.col("price")))
+    return rel.differences(p, other).filter("side = 'right'").select("code", "i")
+
+
+@query("SELECT code, i FROM panel WHERE price IS NOT NULL AND i % 40 = 3", PANEL_SQL)
+def whole_y_maturation(spark, sf):
+    p = ad.panel(spark, sf).select("code", "i", "price")
+    new = p.withColumn("price", F.when(F.col("i") % 40 == 3, F.lit(None)).otherwise(F.coalesce("price", F.lit(1.0))))
+    return rel.matured_only(p, new, ["code", "i"], "price").select("code", "i")
+
+
 @query("SELECT code, count(*) AS violations FROM panel WHERE i >= 46 AND (i % 50 + i // 2) > i - 23 GROUP BY code", PANEL_SQL)
 def train_max_t_check(spark, sf):
     p = ad.panel(spark, sf).filter("i >= 46").withColumn("train_max", F.col("i") % 50 + F.floor(F.col("i") / 2))

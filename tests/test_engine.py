@@ -406,6 +406,25 @@ def test_synthetic_source_is_deterministic(spark):
     assert a.count() == 120 and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_store_queries_over_the_whole_panel(spark, monkeypatch):
+    from paneltide.plans import adapters as ad, store_queries as sq
+
+    sf = "/root/testdata/sf0.001"
+    p = ad.panel(spark, sf).toPandas()
+    last, cells = p["i"].max(), lambda df: sorted(map(tuple, df.select("code", "i").collect()))
+    pairs = lambda flag: sorted(zip(p["code"][flag], p["i"][flag]))
+    assert cells(sq.whole_differences(spark, sf)) == pairs(p["i"] % 7 == 2)
+    assert cells(sq.whole_y_maturation(spark, sf)) == pairs((p["i"] % 40 == 3) & p["price"].notna())
+    price = {(r.code, r.i): r.price for r in p.itertuples()}
+    want = {k: v * 1.02 if k[1] % 10 == 0 else v for k, v in price.items()} | {(c, i + 10): v for (c, i), v in price.items() if i > last - 10}
+    got = sq.upsert_nav_whole(spark, sf).collect()
+    assert len(got) == len(want) and {(r.code, r.i) for r in got} == set(want)
+    assert all(r.price == pytest.approx(want[r.code, r.i], abs=1e-6) if r.price is not None else math.isnan(want[r.code, r.i]) for r in got)
+    seen, compare = [], rel.differences
+    monkeypatch.setattr(rel, "differences", lambda a, b: seen.append(a.agg(F.max("i")).first()[0]) or compare(a, b))
+    assert sq.prefix_equal(spark, sf).first().changed == 1 and seen == [last]
+
+
 def test_catalogue_names_match():
     from paneltide.plans import catalogue
 
