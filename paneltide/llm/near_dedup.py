@@ -1,7 +1,7 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-1. A text's shingles are its distinct runs of five words, weighted by 1 + ln(count). Each shingle
-   is a Poisson process of rate equal to its weight whose arrivals fall on random registers; a
+1. A text's shingles are its distinct runs of five words. All weigh the same, as in the similarity
+   that decides. Each is a Poisson process of rate equal to its weight whose arrivals fall on random registers; a
    register keeps the shingle of its earliest arrival. A shingle stops as soon as its next arrival
    is later than every register's (early termination), so most of them arrive a few times only.
 2. Texts with equal shingle sets become one node. Nodes that agree in a band of registers meet in
@@ -88,7 +88,7 @@ def _sign(bands: int, rows: int, registers: int):
                 for a in range(0, big.num_rows, 4096):
                     batch = big.slice(a, 4096)
                     docs = batch.num_rows
-                    d, h, count = shingles(batch.column("text"), words)
+                    d, h, _ = shingles(batch.column("text"), words)
                     n = np.bincount(d, minlength=docs)
                     set1, set2 = np.zeros(docs, np.uint64), np.zeros(docs, np.uint64)
                     some = np.flatnonzero(n)
@@ -96,7 +96,7 @@ def _sign(bands: int, rows: int, registers: int):
                         begins = np.searchsorted(d, some)
                         set1[some] = common.mix(np.add.reduceat(common.mix(h), begins))
                         set2[some] = common.mix(np.add.reduceat(common.mix(h ^ np.uint64(_GOLDEN)), begins))
-                    sig = signatures(d, h, 1.0 + np.log(count), docs, max(registers, bands * rows))
+                    sig = signatures(d, h, np.ones(len(h)), docs, max(registers, bands * rows))
                     low = (common.mix(sig) >> np.uint64(56)).astype(np.uint8)
                     sig = sig[:, : bands * rows].reshape(docs, bands, rows)
                     key = np.zeros((docs, bands), np.uint64)

@@ -283,6 +283,18 @@ def test_edited_copies_are_linked(spark):
     assert Counter((r.doc_id, r.class_id) for r in near_dedup.digest(df).collect()) == want
 
 
+def test_repeated_lines_hide_no_copy(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(24):
+        base = words(rng, 104)
+        rows += [(2 * i, base), (2 * i + 1, " ".join([base] + [words(rng, 16)] * 100))]  # 100 of 120 shingles, 16 of them about 100 times
+    want, classes = plain_classes(rows)
+    assert classes == 24
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.class_id) for r in near_dedup.digest(df).collect()) == want
+
+
 def test_probminhash_estimates_jaccard():
     rng = np.random.default_rng(2)
     pool = common.mix(np.arange(1, 1500, dtype=np.uint64))
