@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +29,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
-    """64-bit key of a row by id and text. Rows that agree in both are handled alike, so they may share it."""
+    """64-bit hash of a row's id and text. Tables are joined by the id and this hash together (:func:`same_row`), so only
+    rows that share an id could ever be confused. Rows that agree in both are handled alike and share it."""
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def same_row(left: DataFrame, right: DataFrame, doc: str = "doc", uid: str = "uid") -> Column:
+    """Join condition: the same document id (null equals null) and the same row hash."""
+    return (left[uid] == right[uid]) & left[doc].eqNullSafe(right[doc])
+
+
 # -- scratch tables in the shared folder ------------------------------------------------------
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own; a cluster is refused."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/")
-    got = spark.sparkContext.getCheckpointDir()
-    if got:
-        return got.rstrip("/")
-    own = "file://" + os.path.join(tempfile.gettempdir(), f"paneltide-{uuid.uuid4().hex[:8]}")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for tables that are read twice")
+    if spark not in _own:
+        _own[spark] = "file://" + tempfile.mkdtemp(prefix="paneltide-")
+    return _own[spark]
+
+
+_own: dict[SparkSession, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, has known statistics."""
+def written(df: DataFrame, name: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, has known statistics.
+
+    The tables ``instead_of`` are used up by then and deleted; what is left goes when the interpreter ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/paneltide/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    for used in instead_of:
+        release(used)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind a DataFrame that :func:`written` gave; nothing may read it any more."""
+    _drop(df.sparkSession, df._scratch)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

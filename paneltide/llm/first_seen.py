@@ -119,11 +119,13 @@ def later_occurrences(rows: DataFrame, least: int, by_place: bool = False, large
     (null after all); with ``by_place`` the smallest (doc, uid, pos).
     """
     parts = common.partitions(rows.sparkSession)
+    # Ranges are found by reading the rows once more, so they are written first: texts are hashed once only.
+    rows = common.written(rows, "rows")
     order = [F.col("h1"), F.col("h2"), F.desc_nulls_last("doc") if largest_first else F.asc_nulls_first("doc")]
     order += [F.col("uid")] if by_place else []
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, *[F.col(c) for c in ("uid", "pos")][by_place:])
     schema = ROWS + ", units long, kind int"
-    seen = common.written(dealt.mapInArrow(_stream(least, by_place), schema), "stream")
+    seen = common.written(dealt.mapInArrow(_stream(least, by_place), schema), "stream", [rows])
     top = F.struct("doc", "uid", "pos")
     edges = seen.filter(F.col("kind") == _SUMMARY).groupBy("h1", "h2").agg(F.sum("units").alias("_units"), (F.max(top) if largest_first else F.min(top)).alias("_top"))
     edges = edges.filter(F.col("_units") >= least)

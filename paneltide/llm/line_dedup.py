@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from paneltide.llm import common, first_seen
 
+
 def _line_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -69,7 +70,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(uid, doc, n_lines, keep): the compressed keep bitmap of each document that loses a line.
 
-    ``uid`` is :func:`common.row_key`. A document is a doc_id: rows that repeat an id count once,
+    ``uid`` is :func:`common.row_key`; ``doc`` and ``uid`` together name the row. A document is a doc_id: rows that repeat an id count once,
     and all of them keep a line that the largest id holds. A null id is smaller than any other.
     Documents without a bitmap keep all their lines.
     """
@@ -96,8 +97,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``row`` (all columns of ``docs``) and ``keep`` (null: all lines stay)."""
-    rows = docs.select(common.row_key(text, doc_id).alias("uid"), F.struct("*").alias("row"))
-    return rows.join(bitmaps.select("uid", "keep"), "uid", "left").select("row", "keep")
+    rows = docs.select(common.row_key(text, doc_id).alias("uid"), F.col(doc_id).cast("long").alias("doc"), F.struct("*").alias("row"))
+    return rows.join(bitmaps, common.same_row(rows, bitmaps), "left").select("row", "keep")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
@@ -122,6 +123,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's rows, one for each row of ``docs``: a null or empty text is one empty line and drops none; lines that tie
+    (one id in several rows) all stay; repeated rows are counted each; an empty table gives none; other columns are ignored."""
     slim = docs.select("doc_id", "text")
     joined = with_bitmaps(slim, keep_bitmaps(slim)).select("row.doc_id", "row.text", "keep")
     return joined.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

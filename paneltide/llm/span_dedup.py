@@ -91,7 +91,8 @@ def _span_rows(least_sentences: int, least_words: int):
 def repeated_spans(docs: DataFrame, least_sentences: int = MIN_SENTENCES, least_words: int = MIN_WORDS) -> DataFrame:
     """(uid, doc, spans): for each row with a repeated run, the runs (first, last sentence) that are not the first of their hash.
 
-    Runs are ordered by doc_id (null before all), row key and place. Rows that agree in id and text are one.
+    Runs are ordered by doc_id (null before all), row key and place. Rows that agree in id and text are one here;
+    :func:`dedup_spans` tells them apart.
     """
     slim = docs.select(common.row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc"), "text")
     rows = slim.mapInArrow(_span_rows(least_sentences, least_words), first_seen.ROWS)
@@ -99,63 +100,98 @@ def repeated_spans(docs: DataFrame, least_sentences: int = MIN_SENTENCES, least_
     return later.groupBy("uid", "doc").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = common.Words()
-    for whole in batches:
-        for batch in common.slices(whole, "t"):
-            texts = batch.column("t")
-            raw, off, starts, ends, begins, text_of = _parts(texts, words)  # sentences do not depend on case
-            data = raw.tobytes()
-            origin = np.searchsorted(text_of, np.arange(batch.num_rows + 1))
-            spans = batch.column("spans").to_pylist()
-            kept, count, gone, where = [], [], [], []
-            for i in range(batch.num_rows):
-                a, b = int(off[i]), int(off[i + 1])
-                firsts = begins[origin[i] : origin[i + 1]]
-                count.append(len(firsts))
-                if not spans[i]:
-                    kept.append(None if not texts[i].is_valid else data[a:b].decode())
-                    gone.append(0)
-                    where.append("")
-                    continue
-                cut = np.zeros(len(firsts) + 1, np.int64)
-                for s in spans[i]:
-                    cut[s["pos"]] += 1
-                    cut[s["n"] + 1] -= 1
-                cut = np.cumsum(cut[:-1]) > 0
-                at = np.r_[starts[firsts], b]  # a sentence reaches up to the next one
-                at[0] = a if cut[0] else at[0]
-                text, spots, last, chars = [], [], a, 0
-                for k in np.flatnonzero(cut & ~np.r_[False, cut[:-1]]):
-                    stop = k
-                    while stop < len(cut) and cut[stop]:
-                        stop += 1
-                    before, inside = data[last : at[k]].decode(), data[at[k] : at[stop]].decode()
-                    text.append(before)
-                    chars += len(before)
-                    spots.append(f"{chars}:{chars + len(inside)}")
-                    chars += len(inside)
-                    last = at[stop]
-                text.append(data[last:b].decode())
-                kept.append("".join(text))
-                gone.append(int(cut.sum()))
-                where.append(",".join(spots))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(where, pa.string())], names=["row", "text", "n_sentences", "n_removed", "removed"])
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """Adds ``again``: true for each but one of the rows that agree in doc and uid.
+
+    Only such rows are written and numbered; all others pass as they are.
+    """
+    many = rows.groupBy("doc", "uid").agg(F.count("*").alias("_n")).filter("_n > 1")
+    if many.isEmpty():
+        return rows.withColumn("again", F.lit(False))
+    many = common.written(many.select("doc", "uid"), "copies")
+    once = rows.join(many, common.same_row(rows, many), "left_anti").withColumn("again", F.lit(False))
+    copies = common.written(rows.join(many, common.same_row(rows, many), "left_semi").withColumn("_tag", F.monotonically_increasing_id()), "copies")
+    first = common.written(copies.groupBy("doc", "uid").agg(F.min("_tag").alias("_first")), "copies")
+    told = copies.join(first, common.same_row(copies, first)).select(*[copies[c] for c in rows.columns], (F.col("_tag") != F.col("_first")).alias("again"))
+    return once.unionByName(told)
+
+
+def _remover(least_sentences: int, least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = common.Words()
+        for whole in batches:
+            for batch in common.slices(whole, "t"):
+                yield _removed(batch, words, least_sentences, least_words)
+
+    return run
+
+
+def _removed(batch: pa.RecordBatch, words: common.Words, least_sentences: int, least_words: int) -> pa.RecordBatch:
+    texts = batch.column("t")
+    raw, off, starts, ends, begins, text_of = _parts(texts, words)  # sentences do not depend on case
+    data = raw.tobytes()
+    origin = np.searchsorted(text_of, np.arange(batch.num_rows + 1))
+    spans = batch.column("spans").to_pylist()
+    again = np.flatnonzero(batch.column("again").to_numpy(zero_copy_only=False))
+    if again.size:  # every run of a copy is there already
+        runs = np.stack(_runs(begins, text_of, len(starts), least_sentences, least_words), 1)
+        bounds = np.searchsorted(runs[:, 0], origin)  # runs are in order of their first sentence
+        for i in again.tolist():
+            mine = runs[bounds[i] : bounds[i + 1]] - origin[i]
+            spans[i] = [{"pos": int(p), "n": int(n)} for p, n in mine]
+    kept, count, gone, where = [], [], [], []
+    for i in range(batch.num_rows):
+        a, b = int(off[i]), int(off[i + 1])
+        firsts = begins[origin[i] : origin[i + 1]]
+        count.append(len(firsts))
+        if not spans[i]:
+            kept.append(None if not texts[i].is_valid else data[a:b].decode())
+            gone.append(0)
+            where.append("")
+            continue
+        cut = np.zeros(len(firsts) + 1, np.int64)
+        for s in spans[i]:
+            cut[s["pos"]] += 1
+            cut[s["n"] + 1] -= 1
+        cut = np.cumsum(cut[:-1]) > 0
+        at = np.r_[starts[firsts], b]  # a sentence reaches up to the next one
+        at[0] = a if cut[0] else at[0]
+        text, spots, last, chars = [], [], a, 0
+        for k in np.flatnonzero(cut & ~np.r_[False, cut[:-1]]):
+            stop = k
+            while stop < len(cut) and cut[stop]:
+                stop += 1
+            before, inside = data[last : at[k]].decode(), data[at[k] : at[stop]].decode()
+            text.append(before)
+            chars += len(before)
+            spots.append(f"{chars}:{chars + len(inside)}")
+            chars += len(inside)
+            last = at[stop]
+        text.append(data[last:b].decode())
+        kept.append("".join(text))
+        gone.append(int(cut.sum()))
+        where.append(",".join(spots))
+    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(where, pa.string())], names=["row", "text", "n_sentences", "n_removed", "removed"])
 
 
 def dedup_spans(docs: DataFrame, least_sentences: int = MIN_SENTENCES, least_words: int = MIN_WORDS) -> DataFrame:
-    """``row`` (all columns of ``docs``), ``text`` without the repeated sentences, n_sentences, n_removed, removed.
+    """``row`` (all columns of ``docs`` but the text), ``text`` without the repeated sentences, n_sentences, n_removed, removed.
 
-    ``removed`` lists start:end in code points of the original text. Null text stays null, empty
-    text stays empty: neither has a sentence. An empty table stays empty.
+    ``removed`` lists start:end in code points of the original text. Of equal runs the one of the smallest doc_id (null
+    before all), row key and place stays. Of rows that agree in id and text one counts as the first; the others lose every
+    sentence that a run covers. Null text stays null, empty text stays empty: neither has a sentence. An empty table stays empty.
     """
     spans = repeated_spans(docs, least_sentences, least_words)
-    rows = docs.select(common.row_key().alias("uid"), F.struct("*").alias("row")).join(spans.select("uid", "spans"), "uid", "left")
-    rows = rows.select("row", F.col("row.text").alias("t"), "spans")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(common.row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc"), F.struct(*others).alias("row"), F.col("text").alias("t"))
+    rows = _with_copies(rows)
     kind = rows.select("row").schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_remove, f"row {kind}, text string, n_sentences long, n_removed long, removed string")
+    rows = rows.join(spans, common.same_row(rows, spans), "left").select("row", "t", "spans", "again")
+    return rows.mapInArrow(_remover(least_sentences, least_words), f"row {kind}, text string, n_sentences long, n_removed long, removed string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's rows, one for each row of ``docs``. Null text: null, no sentence, none removed; very long texts are read whole;
+    an empty table gives none; other columns are ignored. See :func:`dedup_spans` for ties and repeated rows."""
     out = dedup_spans(docs.select("doc_id", "text"))
     return out.select("row.doc_id", "n_sentences", "n_removed", "removed", "text")
