@@ -1,18 +1,24 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-1. A text's shingles are its distinct runs of five words. All weigh the same, as in the similarity
-   that decides. Each is a Poisson process of rate equal to its weight whose arrivals fall on random registers; a
-   register keeps the shingle of its earliest arrival. A shingle stops as soon as its next arrival
-   is later than every register's (early termination), so most of them arrive a few times only.
-2. Texts with equal shingle sets become one node. Nodes that agree in a band of registers meet in
-   a bucket. Each is first compared with its bucket's hub, the member that meets most others (in a
-   group of edited copies that is the text they were made from); the exact Jaccard similarity of
-   the shingle sets decides.
+1. A text's shingles are its distinct runs of five words. Each is a Poisson process of rate equal to its weight whose
+   arrivals fall on random registers; a register keeps the shingle of its earliest arrival. A shingle stops as soon as its
+   next arrival is later than every register's (early termination), so most of them arrive a few times only. Two
+   signatures agree in a register with the texts' probability Jaccard similarity. Here all shingles of a text weigh the
+   same: their probability Jaccard is then the Jaccard similarity of the shingle sets, which decides. (With weights by
+   count a signature would estimate another similarity than the one that decides, and links would be lost.)
+2. Texts with equal shingle sets become one node, named by 128 bits. Nodes that agree in a band of registers meet in a
+   bucket. Each is first compared with its bucket's hub, the member that meets most others (in a group of edited copies
+   that is the text they were made from); the exact Jaccard similarity of the shingle sets decides.
 3. Connected components are found by star contraction on tables in the shared folder.
-4. Buckets that still hold several components are searched again: every member outside the largest
-   component meets all members of other components, and pairs whose whole signatures agree well
-   enough (3.5 standard errors below the threshold) are verified. No candidate pair of any bucket
-   is left out, though groups of copies are never expanded into all their pairs.
+4. Buckets that still hold several components are searched again. In buckets of at most 64 nodes, every member outside
+   the largest component meets all members of other components; pairs whose 256 registers agree five standard errors
+   worse than the threshold are left out, which hits a pair at the threshold with probability 3e-7. The nodes of larger
+   buckets are joined exactly by prefix filter: shingles in order of how many of these nodes hold them, and two sets of
+   sufficient similarity must have one in common among their rarest. Texts that share a template but are not similar
+   enough have only frequent shingles in common, so they do not meet, however many they are.
+
+Groups of copies are thus never expanded into all their pairs, and of the pairs that share a band only those of point 4's
+five standard errors go unverified. Two texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
 """
 
 from __future__ import annotations
@@ -22,13 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneltide.llm import common
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4  # a pair of similarity 0.8 meets with probability 1 - (1 - 0.8**4)**20 = 0.99997
+BANDS, ROWS = 20, 4
+#: Nodes of a bucket whose pairs are tested one by one; larger buckets are joined by prefix filter.
+SMALL_BUCKET = 64
 
 #: Registers of a signature. Bands use the first ones; all of them estimate similarity before a pair is verified.
 REGISTERS = 256
@@ -76,13 +84,13 @@ def signatures(d: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, re
     return holder.reshape(n_docs, registers)
 
 
-_SIGNED = "uid long, doc_id long, node long, node2 long, n int, bands array<long>, sketch array<int>"
+_SIGNED = "uid long, doc_id long, node binary, n int, bands array<long>, sketch array<int>"
 
 
 def _sign(bands: int, rows: int, registers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = common.Words()
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
         for whole in batches:
             for big in common.slices(whole, "text"):
                 for a in range(0, big.num_rows, 4096):
@@ -106,14 +114,16 @@ def _sign(bands: int, rows: int, registers: int):
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
                     low = np.ascontiguousarray(np.pad(low, ((0, 0), (0, -low.shape[1] % 4)))).view(np.int32)
                     packed = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * low.shape[1]), pa.array(low.reshape(-1)))
-                    yield common.record(schema, uid=batch.column("uid"), doc_id=batch.column("doc_id"), node=set1.view(np.int64), node2=set2.view(np.int64), n=n, bands=lists, sketch=packed)
+                    both = np.stack([common.mix(set1 + n.astype(np.uint64)), set2], 1).tobytes()
+                    node = pa.Array.from_buffers(pa.binary(16), docs, [None, pa.py_buffer(both)])
+                    yield common.record(schema, uid=batch.column("uid"), doc_id=batch.column("doc_id"), node=node, n=n, bands=lists, sketch=packed)
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = common.Words()
-    schema = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.binary()), ("set", pa.list_(pa.int64()))])
     for whole in batches:
         for batch in common.slices(whole, "text"):
             d, h, _ = shingles(batch.column("text"), words)
@@ -158,7 +168,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        now = common.written(small.filter("u != v").distinct(), "edges")
+        now = common.written(small.filter("u != v").distinct(), "edges", [now])
         if (then := _state(now)) == mark:
             break
         mark = then
@@ -169,6 +179,41 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
 
 
+def _small_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float, registers: int) -> DataFrame:
+    """Pairs (a, b) to verify of buckets of few nodes: (key, node, n, root, main)."""
+    full = mixed.join(nodes.select("node", "sketch", "bands"), "node")
+    x = full.filter("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("s_a"), F.col("bands").alias("b_a"))
+    y = full.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main", F.col("sketch").alias("s_b"), F.col("bands").alias("b_b"))
+    enough = registers * (similarity - 5 * (similarity * (1 - similarity) / registers) ** 0.5)
+    across = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b"))) & _alike(F.col("n_a"), F.col("n_b"), similarity)
+    across = across & (_agreeing("s_a", "s_b", -(-registers // 4)) - (-registers % 4) >= enough)
+    across = across & (F.array_min(F.array_intersect("b_a", "b_b")) == F.col("key"))  # in one of its buckets only
+    return x.join(y, "key").filter(across).select("a", "b")
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, n, root) that have different roots and can reach the similarity.
+
+    Shingles are put in order of how many of the nodes hold them. Of two sets that reach similarity s, the smaller one's
+    first n - ceil(2s / (1 + s) n) + 1 shingles and the larger one's first n - ceil(s n) + 1 have one in common.
+    """
+    held = sets.join(members, "node").select("node", "n", "root", F.explode("set").alias("h"))
+    often = held.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")
+    mine = Window.partitionBy("node")
+    # Shingles of one node alone come first and are only counted.
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held", "h"))
+    first = lambda share: F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 6)) + 1
+    ranked = held.join(often, "h").withColumn("place", place).filter(F.col("place") <= first(similarity))
+    ranked = common.written(ranked.withColumn("index", F.col("place") <= first(2 * similarity / (1 + similarity))), "prefixes")
+    side = lambda rows, p: rows.select("h", *[F.col(c).alias(f"{c}_{p}") for c in ("node", "n", "root", "place")])
+    x, y = side(ranked.filter("index"), "a"), side(ranked, "b")
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    left = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    can = left >= F.round(F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")), 6)
+    found = x.join(y, "h").filter(smaller & (F.col("root_a") != F.col("root_b")) & _alike(F.col("n_a"), F.col("n_b"), similarity) & can)
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(uid, doc_id, class_id, class_key, n_shingles), one row for each row of ``docs``; class_id is the class's smallest
     doc_id. Where rows repeat a doc_id, two classes may have the same; class_key tells them apart.
@@ -180,9 +225,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     """
     slim = docs.select(common.row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = common.written(slim.mapInArrow(_sign(bands, rows, REGISTERS), _SIGNED), "signed")
-    nodes = signed.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.min(F.struct("bands", "sketch")).alias("b"))
-    nodes = nodes.select("node", "n", "doc_id", "uid", "b.bands", "b.sketch")
-    nodes = common.written(nodes, "nodes")
+    nodes = signed.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "uid")).alias("at"), F.min(F.struct("bands", "sketch")).alias("b"))
+    nodes = common.written(nodes.select("node", "n", "doc_id", "at", "b.bands", "b.sketch"), "nodes")
     member = nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     crowd = common.written(member.join(sizes, "key"), "crowd")
@@ -191,29 +235,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
     first = crowd.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & _alike(F.col("n"), F.col("hub.n"), similarity))
     first = common.written(first.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "pairs")
-    wanted = nodes.join(crowd.select("node").distinct(), "node", "left_semi").select("node", "uid")
-    texts = docs.select(common.row_key().alias("uid"), "text").join(wanted, "uid").select("node", "text")
-    sets = common.written(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    wanted = nodes.join(crowd.select("node").distinct(), "node", "left_semi").select("node", F.col("at.doc_id").alias("doc"), F.col("at.uid").alias("uid"))
+    rows_of = slim.withColumnRenamed("doc_id", "doc")
+    texts = rows_of.join(wanted, common.same_row(rows_of, wanted)).select("node", "text")
+    sets = common.written(texts.mapInArrow(_sets, "node binary, set array<long>").dropDuplicates(["node"]), "sets")
     links = common.written(_verified(first, sets, similarity), "links")
     found = common.written(components(links), "components")
 
     placed = crowd.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     tally = placed.groupBy("key", "root").count()
-    split = tally.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "root")).alias("most")).filter("parts > 1")
-    mixed = placed.join(split.select("key", F.col("most.root").alias("main")), "key")
-    mixed = common.written(mixed.join(nodes.select("node", "sketch", "bands"), "node"), "mixed")
-    x = mixed.filter("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("s_a"), F.col("bands").alias("b_a"))
-    y = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main", F.col("sketch").alias("s_b"), F.col("bands").alias("b_b"))
-    registers = max(REGISTERS, bands * rows)
-    enough = registers * (similarity - 3.5 * (similarity * (1 - similarity) / registers) ** 0.5)
-    across = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b"))) & _alike(F.col("n_a"), F.col("n_b"), similarity)
-    across = across & (_agreeing("s_a", "s_b", -(-registers // 4)) - (-registers % 4) >= enough)
-    across = across & (F.array_min(F.array_intersect("b_a", "b_b")) == F.col("key"))  # in one of its buckets only
-    rest = x.join(y, "key").filter(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    split = tally.groupBy("key").agg(F.count("*").alias("parts"), F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("most")).filter("parts > 1")
+    mixed = common.written(placed.join(split.select("key", "size", F.col("most.root").alias("main")), "key"), "mixed", [crowd])
+    few = _small_pairs(mixed.filter(F.col("size") <= SMALL_BUCKET), nodes, similarity, max(REGISTERS, bands * rows))
+    many = _prefix_pairs(mixed.filter(F.col("size") > SMALL_BUCKET).select("node", "n", "root").distinct(), sets, similarity)
+    rest = few.unionByName(many).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = common.written(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links")
+    more = common.written(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links", [links, mixed, first, sets])
     if not more.isEmpty():
-        found = common.written(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
+        found = common.written(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components", [found, more])
 
     rooted = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -228,14 +267,19 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = common.written(classes(docs, similarity), "classes")
     best = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", "uid")).alias("k"))
-    chosen = best.select(F.col("k.uid").alias("uid"))
-    copies = rows.join(chosen, "uid", "left_semi").groupBy("uid").agg((F.count("*") > 1).alias("_again"))
+    chosen = common.written(best.select(F.col("k.doc_id").alias("doc"), F.col("k.uid").alias("uid")), "chosen")
+    held = rows.select("uid", F.col("doc_id").alias("doc"))
+    times = held.join(chosen, common.same_row(held, chosen), "left_semi").groupBy("doc", "uid").agg((F.count("*") > 1).alias("_again"))
+    times = common.written(times, "chosen", [rows, chosen])
     names = docs.columns
-    packed = docs.select(common.row_key().alias("uid"), F.struct("*").alias("row")).join(copies, "uid")
+    packed = docs.select(common.row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc"), F.struct("*").alias("row"))
+    packed = packed.join(times, common.same_row(packed, times)).select(times["doc"], times["uid"], "row", "_again")
     once = packed.filter(~F.col("_again")).select("row")
-    again = packed.filter("_again").groupBy("uid").agg(F.first("row").alias("row")).select("row")
+    again = packed.filter("_again").groupBy("doc", "uid").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(again).select(*[F.col("row").getField(n).alias(n) for n in names])
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's rows (doc_id, class_id, n_shingles), one for each row of ``docs``: null and empty texts are one class of their
+    own, very long texts are read whole, ties and repeated rows share a class, an empty table gives none, other columns are ignored."""
     return classes(docs).select("doc_id", "class_id", "n_shingles")
