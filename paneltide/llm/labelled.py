@@ -35,16 +35,21 @@ def prior_shift(y: np.ndarray, counts: tuple[int, int] | None) -> float:
 def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """(text, label) of training documents: those whose id's fold is not ``held``, each text once, the same at every run.
 
-    The ids are chosen by hash from the labels, so at most ``2 * most`` rows meet the documents. The cap holds for each label, so the
-    sample has another share of label 1 than the table; :func:`prior_shift` restores it.
+    The first ``most`` documents of each label, in the order of a hash of the id, of those of at most ``chars`` characters. Twice
+    as many ids are looked up, so that longer texts leave no gap (were more than half of all texts longer, the sample would be
+    smaller). The cap holds for each label, so the sample has another share of label 1 than the table; :func:`prior_shift` restores it.
     """
     known = _known(labels, label, parts, held)
     order = F.xxhash64("doc_id")
-    chosen = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(most) for v in (0, 1)]
+    chosen = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(2 * most) for v in (0, 1)]
     few = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= chars)
-    rows = texts.join(F.broadcast(few), "doc_id").select("text", "label", "doc_id").collect()
-    once: dict[str, tuple[int, int]] = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        once.setdefault(r["text"], (r["label"], r["doc_id"]))
-    return [(t, label) for t, (label, _) in once.items()]
+    rows = texts.join(F.broadcast(few), "doc_id").select("text", "label", "doc_id", order.alias("at")).collect()
+    once: dict[str, int] = {}
+    seen: dict[int, set[int]] = {0: set(), 1: set()}
+    for r in sorted(rows, key=lambda r: (r["at"], r["doc_id"], r["text"])):
+        ids = seen[r["label"]]
+        if r["doc_id"] in ids or len(ids) < most:
+            ids.add(r["doc_id"])
+            once.setdefault(r["text"], r["label"])
+    return list(once.items())

@@ -3,8 +3,9 @@
 Labels come for whole documents, so tokens are labelled first: a greedy cover picks the words and
 word beginnings that explain the most toxic documents and hardly any other, and the tokens that
 carry them are the toxic ones. A two-state chain over word, prefix and suffix features is trained
-on those tokens; forward-backward gives each token's marginal; a document's score is a calibrated
-function of the expected number of toxic tokens, and tokens over one half are its offending spans.
+on those tokens. Forward-backward over the whole text gives each token's marginal; a document's
+score is a calibrated function of the sum of its tokens' squared marginals (a doubtful token counts
+little, none is cut off), and tokens over one half are its offending spans.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paneltide.llm import common, labelled
 
@@ -24,7 +25,10 @@ BITS = 18
 PREFIXES = (3, 4, 5, 6, 7)
 #: Training takes at most this many documents of each label, of at most this many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 10_000
-WINDOW = 64  # tokens of a chain; a longer text is several chains
+#: Training also takes at most this many windows and words or word beginnings of the cover.
+CHAINS, RULES = 5000, 200
+#: Tokens of a matrix row. A longer text is several rows, and the chain's state is carried from each to the next, both ways.
+WINDOW = 64
 
 
 def features(texts: pa.Array, words: common.Words):
@@ -45,7 +49,7 @@ def features(texts: pa.Array, words: common.Words):
     return raw, a, b, first, codes
 
 
-def _cover(doc: np.ndarray, codes: np.ndarray, toxic: np.ndarray, least: int = 3, most_rules: int = 200) -> np.ndarray:
+def _cover(doc: np.ndarray, codes: np.ndarray, toxic: np.ndarray, least: int = 3, most_rules: int = RULES) -> np.ndarray:
     """Codes of toxic words and word beginnings: those far too frequent in toxic documents to be chance, and a
     greedy cover of the toxic documents by codes that each explain at least ``least`` more and are rare elsewhere."""
     candidates = codes[:, :-1]
@@ -88,46 +92,59 @@ def distinct_texts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def chains(first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, int]:
-    """Row and column of each token in a (chains x window) matrix; a chain holds tokens of one text."""
+def chains(first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column of each token in a (rows x window) matrix, and each row's number within its text."""
     n = np.diff(first)
     rows_of = -(-n // window)
     start = np.cumsum(rows_of) - rows_of
     place = np.arange(first[-1]) - np.repeat(first[:-1], n)
-    return np.repeat(start, n) + place // window, place % window, int(rows_of.sum())
+    return np.repeat(start, n) + place // window, place % window, np.arange(rows_of.sum()) - np.repeat(start, rows_of)
 
 
-def marginals(score: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """P(toxic) of each token, expected transitions (2x2) and the log partition function, of chains x window emissions."""
+def marginals(score: np.ndarray, mask: np.ndarray, trans: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of each token and the expected transitions (2x2) of rows x window emissions.
+
+    ``part``: each row's number within its text (all 0 if not given); rows with a larger one go on where the row before
+    ended. First every row's transfer matrices are multiplied up, side by side for all rows; then the state is passed from
+    row to row; then both give the marginals.
+    """
     rows, width = score.shape
-    e1 = np.exp(np.clip(score, -30, 30))
+    part = np.zeros(rows, np.int64) if part is None else part
     step = np.exp(trans)
-    alpha = np.zeros((width, rows, 2))
-    scale = np.ones((width, rows))
-    a = np.stack([np.ones(rows), e1[:, 0]], 1)
+    weight = np.stack([np.ones_like(score), np.exp(np.clip(score, -30, 30))], 2)
+    prefix = np.zeros((width, rows, 2, 2))
+    now = np.where((part == 0)[:, None, None], 1.0, step[None]) * weight[:, 0, None, :]
     for t in range(width):
         if t:
-            prev = alpha[t - 1]
-            a = np.stack([prev[:, 0] * step[0, 0] + prev[:, 1] * step[1, 0], (prev[:, 0] * step[0, 1] + prev[:, 1] * step[1, 1]) * e1[:, t]], 1)
-        z = a.sum(1)
-        live = mask[:, t]
-        scale[t] = np.where(live, z, 1)
-        alpha[t] = np.where(live[:, None], a / z[:, None], alpha[t - 1] if t else 0.5)
-    beta = np.ones((rows, 2))
+            then = (now[:, :, 0, None] * step[0] + now[:, :, 1, None] * step[1]) * weight[:, t, None, :]
+            now = np.where(mask[:, t, None, None], then / then.sum((1, 2), keepdims=True), now)
+        prefix[t] = now
+    begin, end = np.full((rows, 2), 0.5), np.ones((rows, 2))
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(part.max(initial=0) + 2))
+    for k in range(1, len(edges) - 1):
+        r = order[edges[k] : edges[k + 1]]
+        v = (begin[r - 1, :, None] * now[r - 1]).sum(1)
+        begin[r] = v / v.sum(1, keepdims=True)
+    for k in range(len(edges) - 2, 0, -1):
+        r = order[edges[k] : edges[k + 1]]
+        v = (now[r] * end[r, None, :]).sum(2)
+        end[r - 1] = v / v.sum(1, keepdims=True)
     p = np.zeros((rows, width))
     pairs = np.zeros((2, 2))
+    beta = end
     for t in range(width - 1, -1, -1):
         live = mask[:, t]
-        g = alpha[t] * beta
+        g = (begin[:, :, None] * prefix[t]).sum(1) * beta
         p[:, t] = np.where(live, g[:, 1] / np.maximum(g.sum(1), 1e-300), 0)
-        if t:
-            w = np.stack([beta[:, 0], beta[:, 1] * e1[:, t]], 1)
-            joint = alpha[t - 1][:, :, None] * step[None] * w[:, None, :] / scale[t][:, None, None]
-            joint /= np.maximum(joint.sum((1, 2)), 1e-300)[:, None, None]
-            pairs += joint[live].sum(0)
-            new = np.stack([step[0, 0] * w[:, 0] + step[0, 1] * w[:, 1], step[1, 0] * w[:, 0] + step[1, 1] * w[:, 1]], 1) / scale[t][:, None]
-            beta = np.where(live[:, None], new, beta)
-    return p, pairs, float(np.log(scale).sum())
+        w = weight[:, t] * beta
+        before = (begin[:, :, None] * prefix[t - 1]).sum(1) if t else begin
+        joint = before[:, :, None] * step[None] * w[:, None, :]
+        joint /= np.maximum(joint.sum((1, 2)), 1e-300)[:, None, None]
+        pairs += joint[live if t else live & (part > 0)].sum(0)
+        new = np.stack([(step[0] * w).sum(1), (step[1] * w).sum(1)], 1)
+        beta = np.where(live[:, None], new / np.maximum(new.sum(1, keepdims=True), 1e-300), beta)
+    return p, pairs
 
 
 def _emissions(codes: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -135,30 +152,19 @@ def _emissions(codes: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarra
     return (weights[slot] * (codes != 0)).sum(1) + bias
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000, counts: tuple[int, int] | None = None) -> dict:
-    """The model: hashed weights, bias, transitions, and the calibration of document scores.
+def _train(first: np.ndarray, codes: np.ndarray, toxic: np.ndarray, rounds: int, chains_most: int) -> dict:
+    """Weights, bias and transitions from texts (``first``: index of each one's first token) and their labels.
 
-    ``counts``: documents of label 0 and 1 that the sample stands for; scores are probabilities among those.
-    Trains on the chains with toxic tokens and a fixed share of the others, ``chains_most`` at most.
+    Trains on the windows with toxic tokens and on others in hash order, ``chains_most`` at most, each as a chain of its own.
     """
-    model = {"weights": np.zeros(1 << BITS, np.float32), "bias": -8.0, "trans": np.zeros((2, 2)), "scale": (1.0, 0.0)}
-    toxic = np.array([y for _, y in sample], np.int64)
-    if not len(sample) or not toxic.any() or toxic.all():
-        clean_n, toxic_n = counts or ((1 - toxic).sum(), toxic.sum())
-        model["scale"] = (0.0, float(np.log((toxic_n + 1) / (clean_n + 1))) if len(sample) else -2.0)
-        return model
-    words = common.Words()
-    parts = [features(pa.array([t for t, _ in sample[i : i + 200]], pa.string()), words)[3:] for i in range(0, len(sample), 200)]
-    first = np.cumsum(np.r_[0, np.concatenate([np.diff(f) for f, _ in parts])])
-    codes = np.concatenate([c for _, c in parts])
-    del parts
-    doc = np.repeat(np.arange(len(sample)), np.diff(first))
+    doc = np.repeat(np.arange(len(toxic)), np.diff(first))
     alone = distinct_texts(codes[:, 0], first)[doc]
     lexicon = _cover(doc[alone], codes[alone], toxic)
     hit = np.isin(codes[:, :-1], lexicon).any(1)
     label = hit & (toxic[doc] == 1)
-    known = (toxic[doc] == 0) | (np.bincount(doc, weights=label, minlength=len(sample)) > 0)[doc]
-    row, col, n = chains(first)
+    known = (toxic[doc] == 0) | (np.bincount(doc, weights=label, minlength=len(toxic)) > 0)[doc]
+    row, col, part = chains(first)
+    n = len(part)
     has = np.bincount(row, weights=label, minlength=n) > 0
     usable = np.bincount(row, weights=~known, minlength=n) == 0
     order = np.argsort(common.mix(np.arange(n, dtype=np.uint64)))
@@ -169,6 +175,8 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000
     r, c, y = at[row[inside]], col[inside], label[inside].astype(float)
     slot = (codes[inside] >> np.uint64(64 - BITS)).astype(np.int64)
     there = (codes[inside] != 0).astype(float)
+    # Half of the tokens are seen without their whole word, so beginnings and ends carry weight of their own.
+    there[common.mix(np.arange(len(there), dtype=np.uint64)) >> np.uint64(63) == 1, 0] = 0
     mask = np.zeros((len(order), WINDOW), bool)
     mask[r, c] = True
     truth = np.zeros((len(order), WINDOW))
@@ -182,7 +190,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000
     for it in range(1, rounds + 1):
         score = np.zeros((len(order), WINDOW))
         score[r, c] = (w[slot] * there).sum(1) + bias
-        p, pairs, _ = marginals(score, mask, trans)
+        p, pairs = marginals(score, mask, trans)
         err = p[r, c] - y
         grads = (np.bincount(slot.reshape(-1), weights=(err[:, None] * there).reshape(-1), minlength=1 << BITS) / total + 2e-4 * w, err.sum() / total, (pairs - seen) / total + 1e-3 * trans)
         new = []
@@ -191,28 +199,56 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = 5000
             v[i] = 0.99 * v[i] + 0.01 * g * g
             new.append(value - 0.25 * (m[i] / (1 - 0.8**it)) / (np.sqrt(v[i] / (1 - 0.99**it)) + 1e-8))
         w, bias, trans = new
-        w[np.abs(grads[0]) < 1e-12] *= 0.9
-    model.update(weights=w.astype(np.float32), bias=float(bias), trans=trans)
-    x = evidence(first, codes, model)[0]
+    return {"weights": w.astype(np.float32), "bias": float(bias), "trans": trans}
+
+
+def fit(sample: list[tuple[str, int]], rounds: int = 30, chains_most: int = CHAINS, counts: tuple[int, int] | None = None) -> dict:
+    """The model: hashed weights, bias, transitions, and the calibration of document scores.
+
+    ``counts``: documents of label 0 and 1 that the sample stands for; scores are probabilities among those. The
+    calibration is fitted to each half of the sample as scored by a model of the other half, so what a model has learnt
+    by heart does not count as evidence.
+    """
+    toxic = np.array([y for _, y in sample], np.int64)
+    if not len(sample) or not toxic.any() or toxic.all():
+        clean_n, toxic_n = counts or ((1 - toxic).sum(), toxic.sum())
+        scale = (0.0, float(np.log((toxic_n + 1) / (clean_n + 1))) if len(sample) else -2.0)
+        return {"weights": np.zeros(1 << BITS, np.float32), "bias": -8.0, "trans": np.zeros((2, 2)), "scale": scale}
+    words = common.Words()
+    parts = [features(pa.array([t for t, _ in sample[i : i + 200]], pa.string()), words)[3:] for i in range(0, len(sample), 200)]
+    lengths = np.concatenate([np.diff(f) for f, _ in parts])
+    first = np.cumsum(np.r_[0, lengths])
+    codes = np.concatenate([c for _, c in parts])
+    del parts
+    model = _train(first, codes, toxic, rounds, chains_most)
+    # Equal shares of both labels in each half.
+    half = np.zeros(len(toxic), bool)
+    for y in (0, 1):
+        half[np.flatnonzero(toxic == y)[::2]] = True
+    x = np.zeros(len(toxic))
+    for side in (half, ~half):
+        if toxic[~side].any() and not toxic[~side].all():
+            other = np.repeat(~side, lengths)
+            judge = _train(np.cumsum(np.r_[0, lengths[~side]]), codes[other], toxic[~side], rounds, chains_most // 2)
+        else:
+            judge = model
+        x[side] = evidence(np.cumsum(np.r_[0, lengths[side]]), codes[np.repeat(side, lengths)], judge)[0]
     slope, intercept = calibrate(x, toxic)
-    model["scale"] = (slope, intercept + labelled.prior_shift(toxic, counts))
-    return model
+    return {**model, "scale": (slope, intercept + labelled.prior_shift(toxic, counts))}
 
 
 def evidence(first: np.ndarray, codes: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the expected number of toxic tokens of each text, and each token's marginal."""
+    """Log of the sum of squared marginals of each text, and each token's marginal."""
     n = len(first) - 1
-    row, col, rows = chains(first)
+    row, col, part = chains(first)
     p = np.zeros(len(codes))
-    if rows:
-        score, mask = np.zeros((rows, WINDOW)), np.zeros((rows, WINDOW), bool)
+    if len(part):
+        score, mask = np.zeros((len(part), WINDOW)), np.zeros((len(part), WINDOW), bool)
         score[row, col] = _emissions(codes, model["weights"], model["bias"])
         mask[row, col] = True
-        p = marginals(score, mask, model["trans"])[0][row, col]
+        p = marginals(score, mask, model["trans"], part)[0][row, col]
     doc = np.repeat(np.arange(n), np.diff(first))
-    # Doubtful tokens do not add up: a long text has thousands of them.
-    hits = np.where(p >= 0.3, -np.log1p(-np.minimum(p, 1 - 1e-9)), 0)
-    return np.log(np.bincount(doc, weights=hits, minlength=n) + 1e-2), p
+    return np.log(np.bincount(doc, weights=p * p, minlength=n) + 1e-4), p
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -251,15 +287,19 @@ def _score(model: dict):
     return run
 
 
+def _scored(docs: DataFrame, row: Column, model: dict) -> DataFrame:
+    rows = docs.select(row.alias("row"), "text")
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_score(model), f"row {kind}, score double, spans string")
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``row`` (all columns of ``docs``), ``score`` from 0 to 1 and ``spans`` (start:end of the offending words, in code points).
 
     Null and empty texts have no token and get the least score. Repeated rows are scored each; an
     empty table stays empty; columns of any name stay inside ``row``.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_score(model), f"row {kind}, score double, spans string")
+    return _scored(docs, F.struct("*"), model)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -268,7 +308,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    slim = docs.select(F.col("doc_id"), "text")
-    out = score(slim, train(docs, labels))
+    """The query's rows, one for each row of ``docs``. Null and empty texts get the least score, a null id is not held out,
+    very long texts are read whole, repeated rows are scored each, an empty table gives none; other columns are ignored."""
+    out = _scored(docs, F.struct("doc_id"), train(docs, labels))
     held = F.coalesce(labelled.fold("row.doc_id", PARTS) == HELD, F.lit(False))
     return out.select("row.doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
