@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paneltide.llm import common, labelled
 from paneltide.llm.quality_rules import STOP_WORDS
@@ -161,15 +161,19 @@ def _score(model: dict):
     return run
 
 
+def _scored(docs: DataFrame, row: Column, model: dict) -> DataFrame:
+    rows = docs.select(row.alias("row"), "text")
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_score(model), f"row {kind}, score double")
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``row`` (all columns of ``docs``) and ``score`` from 0 to 1, higher for label 1.
 
     Null and empty texts are scored by the statistics of an empty text. Repeated rows are scored
     each; an empty table stays empty; columns of any name stay inside ``row``.
     """
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_score(model), f"row {kind}, score double")
+    return _scored(docs, F.struct("*"), model)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -177,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    slim = docs.select("doc_id", "text")
-    out = score(slim, train(docs, labels))
+    """The query's rows, one for each row of ``docs``. Null and empty texts are scored as an empty text, a null id is not held
+    out, very long texts are read whole, repeated rows are scored each, an empty table gives none; other columns are ignored."""
+    out = _scored(docs, F.struct("doc_id"), train(docs, labels))
     held = F.coalesce(labelled.fold("row.doc_id", PARTS) == HELD, F.lit(False))
     return out.select("row.doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
