@@ -3,16 +3,19 @@
 Strong patterns are reported as they are. Weak candidates (short or unlabelled parts, and
 endpoints) are mostly noise alone, so each is reported only if the parts that would make it a
 usable credential stand within the same scope: an access identifier needs a secret, a secret
-needs an identifier, an endpoint needs both. The interval join runs inside the row, over the
-document's own sorted parts, so no text and no part is shuffled.
+needs an identifier, an endpoint needs both.
+
+One pass over the texts takes the lengths of all matches and of what stands between them; no text
+goes further. Their running sums are the parts' places. Linking is an interval join within each
+text, done as a sweep: the parts' beginnings and the ends of the scopes that look for them are put
+in one order, and the running maximum of the parts' ends tells each scope whether one reaches into
+it. Sorting is all that it costs, however many parts a text has. Texts are named by 128 bits of
+hash, so copies of a text share their parts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,78 +30,89 @@ ENDPOINT = r"""https?://[^\s"'<>]{4,}|[a-z0-9-]+\.amazonaws\.com"""
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 
 
-def _spans(matches: str, gaps: str, kind: int, keep) -> Column:
-    """Sorted (s, k, e) of the matches for which ``keep(match, index)`` holds, in code points."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out"))
-
-    def step(a: Column, i: Column) -> Column:
-        m = F.get(matches, i)
-        s = a["at"] + F.length(F.get(gaps, i))
-        e = s + F.length(m)
-        one = F.array(F.struct(s.cast("int").alias("s"), F.lit(kind).alias("k"), e.cast("int").alias("e")))
-        return F.struct(e.alias("at"), F.when(keep(m, i), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+#: The patterns that are searched, by the kind of their matches; an ``assign`` match is judged by its value.
+PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}", "id": WEAK_ID, "secret": WEAK_SECRET, "endpoint": ENDPOINT}
+#: Characters of an assignment's value: from ``LONG`` on it is a base span, from ``SHORT`` on a weak secret.
+LONG, SHORT = 12, 6
 
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    n = F.size(matches)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["out"])).otherwise(none)
+_SPAN = "struct<s:int,k:int,e:int>"
+_KEY = ("_h1", "_h2")
 
 
-def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The row in ``row`` and sorted arrays of (s, k, e): ``base`` spans and weak ``ids``, ``secrets``, ``endpoints``.
-
-    Null text counts as empty. Weak parts that touch a base span are left out: that span stands already.
-    """
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """The row in ``row``, its text (null: empty) in ``_t`` and 128 bits of the text's hash."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(F.struct("*").alias("row"), t.alias("_t"))
-    patterns = {"a": ASSIGN, "c": r"AKIA[A-Z0-9]{14,}", "h": r"[0-9a-f]{16,}", "i": WEAK_ID, "s": WEAK_SECRET, "e": ENDPOINT}
-    out = out.select("*", *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(f"_m{k}") for k, p in patterns.items()])
-    gaps = [F.when(F.size(f"_m{k}") > 0, F.split("_t", p, -1)).alias(f"_g{k}") for k, p in patterns.items()]
-    values = F.when(F.size("_ma") > 0, F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2))).alias("_va")
-    out = out.select("row", *[f"_m{k}" for k in patterns], *gaps, values)
-    always = lambda m, i: F.lit(True)
-    long_value = lambda m, i: F.length(F.get("_va", i)) >= 12
-    short_value = lambda m, i: F.length(F.get("_va", i)).between(6, 11)
-    out = out.select(
-        "row",
-        F.array_sort(F.concat(_spans("_ma", "_ga", 0, long_value), _spans("_mc", "_gc", 1, always), _spans("_mh", "_gh", 2, always))).alias("base"),
-        _spans("_mi", "_gi", 3, always).alias("_ids"),
-        F.array_sort(F.concat(_spans("_ma", "_ga", 4, short_value), _spans("_ms", "_gs", 4, always))).alias("_secrets"),
-        _spans("_me", "_ge", 5, always).alias("_ends"),
-    )
-    clear = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return out.select("row", "base", F.filter("_ids", clear).alias("ids"), F.filter("_secrets", clear).alias("secrets"), F.filter("_ends", clear).alias("endpoints"))
+    return docs.select(F.struct("*").alias("row"), t.alias("_t"), F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(1), t).alias("_h2"))
+
+
+def find_parts(keyed: DataFrame) -> DataFrame:
+    """(_h1, _h2, s, k, e): all parts of each text, base and weak, in code points; ``k`` counts :data:`KINDS`."""
+    matches = [F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(f"_m{k}") for k, p in enumerate(PATTERNS.values())]
+    out = keyed.select(*_KEY, "_t", *matches)
+    gaps = [F.when(F.size(f"_m{k}") > 0, F.transform(F.split("_t", p, -1), F.length)).alias(f"_g{k}") for k, p in enumerate(PATTERNS.values())]
+    values = F.when(F.size("_m0") > 0, F.transform(F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)), F.length)).alias("_v")
+    lengths = [F.transform(f"_m{k}", F.length).alias(f"_m{k}") for k in range(len(PATTERNS))]
+    out = out.select(*_KEY, *lengths, *gaps, values)
+
+    def listed(k: int) -> Column:
+        zipped = F.arrays_zip(F.slice(f"_g{k}", F.lit(1), F.size(f"_m{k}")).alias("g"), F.col(f"_m{k}").alias("m"), F.col("_v" if k == 0 else f"_m{k}").alias("v"))
+        one = F.transform(zipped, lambda x, i: F.struct(F.lit(k).alias("p"), i.alias("i"), x["g"].alias("g"), x["m"].alias("m"), x["v"].alias("v")))
+        return F.when(F.size(f"_m{k}") > 0, one).otherwise(F.array().cast("array<struct<p:int,i:int,g:int,m:int,v:int>>"))
+
+    found = out.select(*_KEY, F.explode(F.concat(*[listed(k) for k in range(len(PATTERNS))])).alias("x")).select(*_KEY, "x.*")
+    # Copies of a text have the same parts: they are told once, before anything is sent on.
+    found = found.dropDuplicates([*_KEY, "p", "i"]).repartition(*_KEY)
+    upto = Window.partitionBy(*_KEY, "p").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    e = F.sum(F.col("g") + F.col("m")).over(upto).cast("int")
+    placed = found.withColumn("e", e).withColumn("s", F.col("e") - F.col("m"))
+    k = F.when(F.col("p") != 0, F.col("p")).when(F.col("v") >= LONG, 0).when(F.col("v") >= SHORT, KINDS.index("secret"))
+    return placed.select(*_KEY, "s", k.alias("k"), "e").filter("k IS NOT NULL")
+
+
+def _reached(parts: DataFrame, tests: dict[str, tuple[Column, Column]], reach: int) -> DataFrame:
+    """``parts`` with a flag for each test: a part that its first condition holds for begins before ``e + reach`` and ends
+    after ``s - reach``. The second condition tells which parts ask. The row's own span never counts as its own answer,
+    as no part both asks a test and answers it.
+    """
+    begin = F.struct(F.col("s").alias("at"), F.lit(1).alias("late"))
+    ask = F.struct((F.col("e") + F.lit(reach)).alias("at"), F.lit(0).alias("late"))  # before what begins just there
+    asks = F.lit(False)
+    for _, asking in tests.values():
+        asks = asks | asking
+    events = parts.select("*", F.explode(F.when(asks, F.array(begin, ask)).otherwise(F.array(begin))).alias("_x"))
+    sweep = Window.partitionBy(*_KEY).orderBy(F.col("_x.at"), F.col("_x.late")).rowsBetween(Window.unboundedPreceding, 0)
+    for name, (answers, _) in tests.items():
+        farthest = F.max(F.when(answers & (F.col("_x.late") == 1), F.col("e"))).over(sweep)
+        events = events.withColumn(name, F.coalesce(farthest > F.col("s") - F.lit(reach), F.lit(False)))
+    own = events.filter((F.col("_x.late") == 0) | ~asks)
+    return own.drop("_x")
 
 
 def link_parts(parts: DataFrame, reach: int = 200) -> DataFrame:
-    """Adds ``spans``: the base spans and the weak parts whose complements stand at most ``reach`` code points away."""
-
-    def near(x: Column, *tests) -> Column:
-        return reduce(or_, [t(x) for t in tests])
-
-    def within(array: str, kinds: tuple[int, ...] | None = None):
-        def test(x: Column) -> Column:
-            close = lambda y: (y["s"] < x["e"] + reach) & (x["s"] < y["e"] + reach)
-            return F.exists(array, lambda y: close(y) & (y["k"].isin(*kinds) if kinds else F.lit(True)))
-
-        return test
-
-    secret = (within("secrets"), within("base", (0, 2)))
-    ident = (within("ids"), within("base", (1,)))
-    linked = F.concat(
-        F.filter("ids", lambda x: near(x, *secret)),
-        F.filter("secrets", lambda x: near(x, *ident)),
-        F.filter("endpoints", lambda x: near(x, *secret) & near(x, *ident)),
-    )
-    return parts.withColumn("spans", F.array_sort(F.concat("base", linked)))
+    """(_h1, _h2, base, spans): sorted spans of each text that has any: the base spans, and these with the weak parts
+    whose complements stand at most ``reach`` code points away. Weak parts that touch a base span are left out: it stands already."""
+    k = F.col("k")
+    base = k <= KINDS.index("hex")
+    clear = _reached(parts, {"_touch": (base, ~base)}, 0).filter(base | ~F.col("_touch")).drop("_touch")
+    secret, ident = k.isin(0, 2, 4), k.isin(1, 3)
+    near = _reached(clear, {"_secret": (secret, k.isin(3, 5)), "_ident": (ident, k.isin(4, 5))}, reach)
+    linked = base | ((k == 3) & F.col("_secret")) | ((k == 4) & F.col("_ident")) | ((k == 5) & F.col("_secret") & F.col("_ident"))
+    told = near.filter(linked).select(*_KEY, base.alias("_base"), F.struct("s", "k", "e").alias("x"))
+    return told.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.when(F.col("_base"), F.col("x")))).alias("base"), F.array_sort(F.collect_list("x")).alias("spans"))
 
 
 def scan(docs: DataFrame, text: str = "text", reach: int = 200) -> DataFrame:
     """``row``, ``base`` and ``spans`` (arrays of s, k, e; k counts :data:`KINDS`) of every row.
 
-    Null and empty texts have no spans; repeated rows are scanned each; an empty table gives an
-    empty table; columns of any other name stay inside ``row``.
+    Null and empty texts have no spans; texts of any length are read whole; spans that tie in their start are in the order
+    of kinds; repeated rows are reported each; an empty table gives an empty table; columns of any other name stay inside ``row``.
     """
-    return link_parts(find_parts(docs, text), reach).select("row", "base", "spans")
+    return _joined(_keyed(docs, text).select("row", *_KEY), link_parts(find_parts(_keyed(docs.select(text), text)), reach))
+
+
+def _joined(rows: DataFrame, links: DataFrame) -> DataFrame:
+    none = F.array().cast(f"array<{_SPAN}>")
+    return rows.join(links, [*_KEY], "left").select("row", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def as_text(spans: str) -> Column:
@@ -107,7 +121,9 @@ def as_text(spans: str) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = scan(docs.select("doc_id", "text"))
+    """The query's rows, one for each row of ``docs``; null and empty texts have no span, other columns are ignored. See :func:`scan`."""
+    links = link_parts(find_parts(_keyed(docs.select("text"), "text")))
+    out = _joined(_keyed(docs.select("doc_id", "text"), "text").select(F.struct(F.col("row.doc_id")).alias("row"), *_KEY), links)
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return out.select(
         F.col("row.doc_id").alias("doc_id"),
