@@ -24,16 +24,19 @@ from paneltide.llm import common
 #: The element kinds of HTML that matter here.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style textarea title head noscript template iframe noembed noframes select option button svg math object audio video canvas datalist".split())
+#: Never text of a page: code, the head, stand-ins that browsers with frames do not show, and the controls of forms.
+UNSEEN = frozenset("script style title head template iframe noembed noframes textarea select option button datalist".split())
 #: What an opening tag ends, where that is open and nothing in between holds it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}}
 HOLDS = frozenset("table td th ul ol dl button object html body div article section main aside nav form".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
+_NAME = re.compile(r"[^\s/>]+")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
@@ -56,7 +59,10 @@ _ITAG = {t: i + 1 for i, t in enumerate(_TAGS)}
 
 
 class Page:
-    """Block elements and text blocks of a page, in page order."""
+    """Block elements and text blocks of a page, in page order.
+
+    Every step looks only at what it moves past or closes, so the work is linear in the length of the page, whatever it holds.
+    """
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.hints, self.begin, self.end = [], [], [], [], []
@@ -65,15 +71,20 @@ class Page:
         self.linked: list[int] = []
         self._buffer: list[str] = []
         self._link_chars = 0
-        self._open: list[tuple[str, int]] = []  # (tag, element or -1 for an inline one)
-        self._now = self._element("html", "")
-        self._open.append(("html", self._now))
+        # Open tags as (tag, element or -1 for an inline one), and where each name stands among them.
+        self._open: list[tuple[str, int]] = []
+        self._places: dict[str, list[int]] = {}
+        self._blocks: list[int] = []  # open block elements
+        self._inline: list[dict[str, list[int]]] = [{}]  # open inline tags since each open block
+        self._held: list[tuple[str, dict[str, list[int]]]] = [("", {})]  # open tags since each that holds others
         self._hidden = self._links = 0
+        self._push("html", self._element("html", ""))
         self._read(source)
-        self._flush()
-        for _, e in self._open:
-            if e >= 0:
-                self.end[e] = len(self.text)
+        self._pop(0)
+
+    @property
+    def _now(self) -> int:
+        return self._blocks[-1] if self._blocks else 0
 
     def _element(self, tag: str, attributes: str) -> int:
         words = set()
@@ -85,7 +96,7 @@ class Page:
                 elif name == "hidden" or (name == "style" and "display:none" in (a or b or c).replace(" ", "").lower()):
                     words.add("popup")
         self.tag.append(tag)
-        self.parent.append(self._open[-1][1] if self._open and self._open[-1][1] >= 0 else next((e for _, e in reversed(self._open) if e >= 0), -1))
+        self.parent.append(self._blocks[-1] if self._blocks else -1)
         self.hints.append({_HINT[w] for w in words if w in _HINT})
         self.begin.append(len(self.text))
         self.end.append(len(self.text))
@@ -107,17 +118,40 @@ class Page:
             if self._links:
                 self._link_chars += len(piece.strip())
 
+    def _push(self, tag: str, element: int) -> None:
+        at = len(self._open)
+        self._open.append((tag, element))
+        self._places.setdefault(tag, []).append(at)
+        if element >= 0:
+            self._blocks.append(element)
+            self._inline.append({})
+        else:
+            self._inline[-1].setdefault(tag, []).append(at)
+        if tag in HOLDS:
+            self._held.append((tag, {}))
+        else:
+            self._held[-1][1].setdefault(tag, []).append(at)
+        self._hidden += tag in UNSEEN
+        self._links += tag == "a"
+
     def _pop(self, to: int) -> None:
         while len(self._open) > to:
-            tag, e = self._open.pop()
+            tag, e = self._open[-1]
             if e >= 0:
                 self._flush()
                 self.end[e] = len(self.text)
-            if tag in UNSEEN:
-                self._hidden -= 1
-            if tag == "a":
-                self._links -= 1
-        self._now = next((e for _, e in reversed(self._open) if e >= 0), 0)
+                self._blocks.pop()
+                self._inline.pop()
+            else:
+                self._inline[-1][tag].pop()
+            self._open.pop()
+            self._places[tag].pop()
+            if tag in HOLDS:
+                self._held.pop()
+            else:
+                self._held[-1][1][tag].pop()
+            self._hidden -= tag in UNSEEN
+            self._links -= tag == "a"
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "html":
@@ -125,74 +159,91 @@ class Page:
         if tag == "br":
             self._say(" ")
             return
+        if tag in BLOCKS:
+            places = self._held[-1][1].get("p")  # an open paragraph ends, unless something holds this block
+            if places:
+                self._pop(places[0])
         if tag in VOID:
-            if tag == "hr":
-                self._close_p()
             return
-        if tag in BLOCKS:
-            self._close_p()
         ends = ENDS.get(tag)
         if ends:
-            for i in range(len(self._open) - 1, 0, -1):
-                if self._open[i][0] in ends:
-                    self._pop(i)
-                elif self._open[i][0] in HOLDS and self._open[i][0] not in ends:
+            while True:
+                holder, inside = self._held[-1]
+                first = min((inside[t][0] for t in ends if inside.get(t)), default=None)
+                if holder in ends:
+                    first = self._places[holder][-1]
+                if first is None:
                     break
+                self._pop(first)
         elif tag == "a" and self._links:
             self._finish("a")
         if tag in BLOCKS:
             self._flush()
-            self._now = self._element(tag, attributes)
-            self._open.append((tag, self._now))
+            self._push(tag, self._element(tag, attributes))
         else:
-            self._open.append((tag, -1))
-            self._hidden += tag in UNSEEN
-            self._links += tag == "a"
-
-    def _close_p(self) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            tag = self._open[i][0]
-            if tag == "p":
-                self._pop(i)
-                return
-            if tag in HOLDS:
-                return
+            self._push(tag, -1)
 
     def _finish(self, tag: str) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            name, e = self._open[i]
-            if name == tag:
-                self._pop(i)
-                return
-            if e >= 0 and tag not in BLOCKS and tag not in UNSEEN:
-                return  # an inline end tag does not close a block
+        """An end tag closes the last open tag of its name; that of an inline tag only within the block at hand."""
+        places = self._places.get(tag) if tag in BLOCKS or tag in UNSEEN else self._inline[-1].get(tag)
+        if places and tag != "html":
+            self._pop(places[-1])
 
     def _read(self, source: str) -> None:
-        at, size = 0, len(source)
+        at, size, paired = 0, len(source), True
+        last = source.rfind(">")
         while at < size:
-            m = _TAG.search(source, at)
-            if not m:
+            lt = source.find("<", at)
+            if lt < 0:
                 self._say(source[at:])
                 return
-            if m.start() > at:
-                self._say(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            self._say(source[at:lt])
+            if source.startswith("<!--", lt):
+                stop = source.find("-->", lt + 4)
+                at = size if stop < 0 else stop + 3
                 continue
-            name = name.lower()
-            if m[1] or m[4]:
-                self._finish(name)
+            mark = source[lt + 1 : lt + 2]
+            closing = mark == "/"
+            start = source[lt + 2 : lt + 3] if closing else mark
+            letter = start.isascii() and start.isalpha()
+            if not letter and not closing and mark not in ("!", "?"):
+                self._say("<")
+                at = lt + 1
                 continue
-            attributes = m[3] or m[6] or ""
-            self._start(name, attributes)
-            if name in RAW and not attributes.endswith("/"):
-                stop = re.compile(rf"</{name}\s*/?>", re.I).search(source, at)
-                at = stop.end() if stop else size
-                self._finish(name)
-
-
-
+            if lt > last:  # the tag never ends: it is dropped, what follows the next mark is read
+                at = source.find("<", lt + 1)
+                at = size if at < 0 else at
+                continue
+            name = _NAME.match(source, lt + 1 + closing) if letter else None
+            begin = name.end() if name else lt + 2
+            end, paired = self._tag_end(source, begin, paired and letter)
+            at = end + 1
+            if not letter:
+                continue
+            tag = name[0].lower()
+            if closing:
+                self._finish(tag)
+                continue
+            attributes = source[begin:end]
+            self._start(tag, attributes)
+            if tag in RAW and not attributes.endswith("/"):
+                stop = _RAW_END[tag].search(source, at)
+                close = source.find(">", stop.end()) if stop else -1
+                at = size if close < 0 else close + 1
+                self._finish(tag)
+
+    @staticmethod
+    def _tag_end(source: str, begin: int, paired: bool) -> tuple[int, bool]:
+        """Where a tag that begins before ``begin`` ends; there is a later ``>``. Quoted marks do not end it, unless the
+        quotes of the page do not pair up from here to its end: then, and from then on, every first mark ends a tag."""
+        at = begin
+        while paired:
+            m = _QUOTE_OR_END.search(source, at)
+            if m and m[0] == ">":
+                return m.start(), True
+            at = source.find(m[0], m.end()) + 1 if m else 0
+            paired = at > 0
+        return source.find(">", begin), False
 
 
 def node_features(page: Page) -> np.ndarray:
@@ -316,29 +367,44 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 def decode(page: Page, p: np.ndarray) -> list[bool]:
     """Which text blocks are kept: the likeliest choice of whole, nothing or opened for every element."""
-    n = len(page.tag)
-    own = np.bincount(page.owner, weights=[len(t) for t in page.text], minlength=n) if page.text else np.zeros(n)
-    p = np.clip(p, 1e-4, 1 - 1e-4)
-    weight = np.log1p(np.array([sum(len(t) for t in page.text[b:e]) for b, e in zip(page.begin, page.end)], float)) * 0.5
+    pick = choose(page, p)
+    state = np.zeros(len(page.tag), np.int64)
+    for i, q in enumerate(page.parent):
+        state[i] = state[q] if q >= 0 and state[q] != OPENED else pick[i]
+    return [bool(state[o] == KEPT or (state[o] == OPENED and p[o] >= 0.5)) for o in page.owner]
+
+
+KEPT, DROPPED, OPENED = 0, 1, 2
+
+
+def choice_scores(page: Page, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each element adds to the score of a tree's choices if it is kept (with all inside), dropped (with all inside), or opened."""
+    lengths = np.array([len(t) for t in page.text], float)
+    own = np.bincount(page.owner, weights=lengths, minlength=len(page.tag)) if page.text else np.zeros(len(page.tag))
+    upto = np.r_[0.0, np.cumsum(lengths)]
+    weight = np.log1p(upto[page.end] - upto[page.begin]) * 0.5
     plain = np.log1p(own)
-    keep, drop = (weight + plain) * np.log(p), (weight + plain) * np.log(1 - p)
-    mixed = plain * np.maximum(np.log(p), np.log(1 - p)) - weight  # most elements are of one piece
-    best = np.zeros(n)
-    pick = np.zeros(n, np.int64)
-    for i in range(n - 1, -1, -1):  # children come after their parent
-        options = (keep[i], drop[i], mixed[i])
-        pick[i] = int(np.argmax(options)) if page.begin[i] < page.end[i] else 1
-        best[i] = options[pick[i]] if page.begin[i] < page.end[i] else 0.0
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    # Most elements are of one piece, so opening one costs its weight.
+    return (weight + plain) * np.log(p), (weight + plain) * np.log(1 - p), plain * np.maximum(np.log(p), np.log(1 - p)) - weight
+
+
+def choose(page: Page, p: np.ndarray) -> np.ndarray:
+    """The choices of the largest sum, from the leaves up. An element without text is dropped, at no score."""
+    keep, drop, mixed = choice_scores(page, p)
+    pick = np.full(len(page.tag), DROPPED)
+    for i in range(len(page.tag) - 1, -1, -1):  # children come after their parent
+        best = 0.0
+        if page.begin[i] < page.end[i]:
+            options = (keep[i], drop[i], mixed[i])
+            pick[i] = int(np.argmax(options))
+            best = options[pick[i]]
         q = page.parent[i]
         if q >= 0:
             keep[q] += keep[i]
             drop[q] += drop[i]
-            mixed[q] += best[i]
-    state = np.zeros(n, np.int64)
-    for i in range(n):
-        q = page.parent[i]
-        state[i] = state[q] if q >= 0 and state[q] != 2 else pick[i]
-    return [bool(state[o] == 0 or (state[o] == 2 and p[o] >= 0.5)) for o in page.owner]
+            mixed[q] += best
+    return pick
 
 
 def extract(sources: list[str | None], model: dict) -> list[str]:
@@ -382,19 +448,22 @@ def _extract(model: dict):
     return run
 
 
+def _texts(rows: DataFrame, model: dict | None) -> DataFrame:
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_extract(model or train()), f"row {kind}, text string")
+
+
 def main_text(pages: DataFrame, model: dict | None = None, source: str = "html") -> DataFrame:
     """``row`` (all columns of ``pages``) and ``text``, the page's main text, empty if it has none.
 
-    Null and empty pages have none. Repeated rows are read each; an empty table stays empty.
+    Null and empty pages have none. Code, the head, and the controls of forms are never text; all other text is left to
+    the trees to judge. A tag that never ends is dropped as markup. Repeated rows are read each, ties do not arise; an
+    empty table stays empty; columns of any name stay inside ``row``.
     """
-    rows = pages.select(F.struct("*").alias("row"), F.col(source).alias("html"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_extract(model or train()), f"row {kind}, text string")
+    return _texts(pages.select(F.struct("*").alias("row"), F.col(source).alias("html")), model)
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    slim = pages.select("page_id", "url", "html")
-    rows = slim.select(F.struct("page_id", "url").alias("row"), "html")
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_extract(train()), f"row {kind}, text string")
+    """The query's rows, one for each row of ``pages``; null and empty pages have an empty text. See :func:`main_text`."""
+    out = _texts(pages.select(F.struct("page_id", "url").alias("row"), "html"), None)
     return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
