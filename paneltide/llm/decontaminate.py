@@ -4,7 +4,8 @@ A test item of m characters may be matched with k errors. It is split into k + 1
 occurrence with at most k errors leaves at least one piece untouched, so exact piece hits (one
 Aho-Corasick pass over each text) find every candidate, and Myers' bit-parallel algorithm verifies
 the edit distance in the window around it. Texts are compared lower-cased with white space
-collapsed. Items are handed to the executors in blocks of bounded size, however many there are.
+collapsed. Items are handed to the executors in broadcast blocks of bounded size, one at a time on the
+driver, however many there are; the items of one block share one pass over the documents.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from paneltide.llm import common
@@ -20,6 +22,8 @@ from paneltide.llm import common
 ERROR_RATE = 0.08
 #: Characters of test items that one pass over the documents looks for; more are searched in further passes.
 BLOCK_CHARS = 2_000_000
+#: Items of fewer words are not searched for: a word or two occur in clean texts too, and are evidence of nothing.
+MIN_WORDS = 5
 
 MATCHES = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -122,9 +126,9 @@ class Matcher:
         return distance, end - length, end
 
 
-def _match(items: list[tuple[int, str]], error_rate: float):
+def _match(items: Broadcast, error_rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, error_rate)
+        matcher = Matcher(items.value, error_rate)
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
         for whole in batches:
             for batch in common.slices(whole, "text"):
@@ -135,42 +139,49 @@ def _match(items: list[tuple[int, str]], error_rate: float):
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """All items with a text, in lists of about ``BLOCK_CHARS`` characters."""
+def _blocks(items: DataFrame, min_words: int) -> Iterator[Broadcast]:
+    """All items of enough words, in broadcast lists of about ``BLOCK_CHARS`` characters."""
     slim = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)
     chars = slim.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = chars // BLOCK_CHARS + 1
     for b in range(n):
-        yield [(r["item_id"], normal(r["text"])) for r in slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+        rows = slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
+        block = [(r["item_id"], normal(r["text"])) for r in rows]
+        yield items.sparkSession.sparkContext.broadcast([(i, t) for i, t in block if t.count(" ") + 1 >= min_words])
 
 
-def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the best occurrence of each item in each document that has one.
 
     An item of m characters occurs where the edit distance is at most ``int(m * error_rate)``;
     start and end count characters of the normalised text. Null and blank texts and items match
-    nothing. Rows that repeat an id are compared each; a null id stays null. Other columns of
-    either table are ignored. An empty table on either side gives none.
+    nothing, nor do items of fewer than ``min_words`` words. Texts of any length are read whole. Of
+    occurrences of equal distance the first counts. Rows that repeat an id are compared each; a null
+    id stays null. Other columns of either table are ignored. An empty table on either side gives none.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return reduce(DataFrame.unionByName, [slim.mapInArrow(_match(block, error_rate), MATCHES) for block in _blocks(items)])
+    return reduce(DataFrame.unionByName, [slim.mapInArrow(_match(block, error_rate), MATCHES) for block in _blocks(items, min_words)])
 
 
-def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` in which no item occurs, as they are."""
+def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no item occurs, as they are, null and empty texts too. See :func:`matches` for what occurs.
 
-    def unmatched(block: list[tuple[int, str]]):
+    The blocks of items stand one behind the other in one pass over the documents.
+    """
+
+    def unmatched(block: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, error_rate)
+            matcher = Matcher(block.value, error_rate)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(normal(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         return run
 
-    for block in _blocks(items):
+    for block in _blocks(items, min_words):
         docs = docs.mapInArrow(unmatched(block), docs.schema)
     return docs
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The query's rows: all of :func:`matches`, which see for nulls, ties, repeats and empty tables."""
     return matches(docs, items)
