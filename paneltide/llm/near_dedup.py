@@ -23,12 +23,14 @@ five standard errors go unverified. Two texts of similarity 0.8 share a band wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paneltide.llm import common
 
@@ -38,6 +40,8 @@ BANDS, ROWS = 20, 4
 #: Nodes of a bucket whose pairs are tested one by one; larger buckets are joined by prefix filter.
 SMALL_BUCKET = 64
 
+#: Slots of the table that counts how many nodes of crowded buckets hold a shingle; a power of two, the same at any size.
+SLOTS = 1 << 20
 #: Registers of a signature. Bands use the first ones; all of them estimate similarity before a pair is verified.
 REGISTERS = 256
 
@@ -191,20 +195,50 @@ def _small_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float, register
     return x.join(y, "key").filter(across).select("a", "b")
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        count += np.bincount(batch.column("set").flatten().to_numpy(zero_copy_only=False) & (SLOTS - 1), minlength=SLOTS)
+    slot = np.flatnonzero(count)
+    yield common.record(pa.schema([("slot", pa.int64()), ("held", pa.int64())]), slot=slot, held=count[slot])
+
+
+_PREFIX = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("root", pa.binary()), ("place", pa.int32()), ("index", pa.bool_()), ("h", pa.int64())])
+
+
+def _prefixes(often: Broadcast, similarity: float):
+    def first(n: int, share: float) -> int:
+        return n - math.ceil(round(share * n, 6)) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = often.value
+        for batch in batches:
+            sets = batch.column("set")
+            for i in range(batch.num_rows):
+                h = sets[i].values.to_numpy(zero_copy_only=False)
+                n = len(h)
+                chosen = h[np.lexsort((h, held[h & (SLOTS - 1)]))[: first(n, similarity)]]
+                place = np.arange(1, len(chosen) + 1)
+                same = {c: pa.repeat(batch.column(c)[i], len(chosen)) for c in ("node", "root")}
+                yield common.record(_PREFIX, **same, n=np.full(len(chosen), n), place=place, index=place <= first(n, 2 * similarity / (1 + similarity)), h=chosen)
+
+    return run
+
+
 def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the nodes (node, n, root) that have different roots and can reach the similarity.
+    """Pairs (a, b) of the nodes (node, root) that have different roots and can reach the similarity.
 
     Shingles are put in order of how many of the nodes hold them. Of two sets that reach similarity s, the smaller one's
-    first n - ceil(2s / (1 + s) n) + 1 shingles and the larger one's first n - ceil(s n) + 1 have one in common.
+    first n - ceil(2s / (1 + s) n) + 1 shingles and the larger one's first n - ceil(s n) + 1 have one in common. That holds
+    for any one order, so holders are counted in a table of fixed size, by the shingle's last bits, which is broadcast.
     """
-    held = sets.join(members, "node").select("node", "n", "root", F.explode("set").alias("h"))
-    often = held.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")
-    mine = Window.partitionBy("node")
-    # Shingles of one node alone come first and are only counted.
-    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held", "h"))
-    first = lambda share: F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 6)) + 1
-    ranked = held.join(often, "h").withColumn("place", place).filter(F.col("place") <= first(similarity))
-    ranked = common.written(ranked.withColumn("index", F.col("place") <= first(2 * similarity / (1 + similarity))), "prefixes")
+    held = sets.join(members, "node").select("node", "root", "set")
+    slots = held.select("set").mapInArrow(_slot_counts, "slot long, held long").groupBy("slot").agg(F.sum("held").alias("held")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[slots["slot"].to_numpy()] = slots["held"].to_numpy()
+    often = sets.sparkSession.sparkContext.broadcast(often)
+    kinds = "node binary, n int, root binary, place int, index boolean, h long"
+    ranked = common.written(held.mapInArrow(_prefixes(often, similarity), kinds), "prefixes")
     side = lambda rows, p: rows.select("h", *[F.col(c).alias(f"{c}_{p}") for c in ("node", "n", "root", "place")])
     x, y = side(ranked.filter("index"), "a"), side(ranked, "b")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
@@ -247,7 +281,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     split = tally.groupBy("key").agg(F.count("*").alias("parts"), F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("most")).filter("parts > 1")
     mixed = common.written(placed.join(split.select("key", "size", F.col("most.root").alias("main")), "key"), "mixed", [crowd])
     few = _small_pairs(mixed.filter(F.col("size") <= SMALL_BUCKET), nodes, similarity, max(REGISTERS, bands * rows))
-    many = _prefix_pairs(mixed.filter(F.col("size") > SMALL_BUCKET).select("node", "n", "root").distinct(), sets, similarity)
+    many = _prefix_pairs(mixed.filter(F.col("size") > SMALL_BUCKET).select("node", "root").distinct(), sets, similarity)
     rest = few.unionByName(many).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = common.written(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links", [links, mixed, first, sets])
