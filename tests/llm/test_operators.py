@@ -704,7 +704,7 @@ def test_links_equal_all_pairs_by_similarity(spark, monkeypatch, small):
     rng = np.random.default_rng(27)
     rows = []
     for g in range(20):
-        base = words(rng, 260).split(" ")
+        base = words(rng, 400).split(" ")
         rows += [(len(rows) + i, edited(rng, base, 1 + (g + i) % 9, f"e{g}n{i}")) for i in range(4)]
     template = words(rng, 100).split(" ")
     rows += [(len(rows) + i, " ".join(template) + " " + words(rng, 16)) for i in range(120)]  # similarity 0.75: none is linked
