@@ -41,7 +41,7 @@ BANDS, ROWS = 20, 4
 SMALL_BUCKET = 64
 
 #: Slots of the table that counts how many nodes of crowded buckets hold a shingle; a power of two, the same at any size.
-SLOTS = 1 << 20
+SLOTS = 1 << 17
 #: Registers of a signature. Bands use the first ones; all of them estimate similarity before a pair is verified.
 REGISTERS = 256
 
@@ -236,6 +236,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     slots = held.select("set").mapInArrow(_slot_counts, "slot long, held long").groupBy("slot").agg(F.sum("held").alias("held")).toArrow()
     often = np.zeros(SLOTS, np.int64)
     often[slots["slot"].to_numpy()] = slots["held"].to_numpy()
+    del slots
     often = sets.sparkSession.sparkContext.broadcast(often)
     kinds = "node binary, n int, root binary, place int, index boolean, h long"
     ranked = common.written(held.mapInArrow(_prefixes(often, similarity), kinds), "prefixes")
