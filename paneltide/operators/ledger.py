@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 @dataclass
@@ -50,9 +50,22 @@ class Ledger:
         return got
 
     def accrue(self, rate: float, tax: float) -> None:
-        gain = self.cash * rate
-        self.cash += gain - max(gain, 0.0) * tax
-        self.taxes += max(gain, 0.0) * tax
+        """The day's return on cash, less tax; nothing on cash that is not positive or on a rate that is not a number."""
+        if self.cash > 0 and np.isfinite(rate):
+            gain = self.cash * rate
+            self.cash += gain * (1 - tax)
+            self.taxes += gain * tax
+
+    def raise_cash(self, code: str, amount: float, price: float, day: int) -> float:
+        """Sells as many units as bring ``amount`` after tax, or all there are."""
+        units, missing = 0.0, amount
+        for lot in self.lots.get(code, ()):
+            if missing <= 0 or lot.available > day:
+                continue
+            net = price - lot.tax * max(price - lot.cost, 0.0)
+            take = min(lot.units, missing / net) if net > 0 else 0.0
+            units, missing = units + take, missing - take * net
+        return self.sell(code, units, price, day)[0] if units > 0 else 0.0
 
     def buy(self, code: str, amount: float, price: float, day: int, lag: int = 0, fee: float = 0.0, tax: float = 0.0) -> float:
         """Spends ``amount``, fee included; the lot can be sold from ``day + lag`` on and keeps today's tax rate."""
@@ -117,7 +130,25 @@ class Rules:
     haircut: float = 0.0
 
 
-Strategy = Callable[[pd.DataFrame, dict[str, float]], tuple[dict[str, float], float]]
+#: The cash fund inside the ledger: bought with all free cash at the end of a day, sold on the day that purchases need cash.
+SLOT = "@cash"
+
+
+@dataclass(frozen=True)
+class View:
+    """What a strategy may know on a day: the day before and earlier. ``known``: that day's rows (none on the first day);
+    ``prices``: all earlier days x codes; ``held``: weights at the last known prices."""
+
+    known: pd.DataFrame
+    prices: pd.DataFrame
+    held: dict[str, float]
+
+    def level(self, default: float) -> float:
+        got = self.known["level"].iloc[0] if "level" in self.known and len(self.known) else None
+        return float(got) if pd.notna(got) else default
+
+
+Strategy = Callable[[View], tuple[dict[str, float], float]]
 
 
 def rebalance(book: Ledger, target: dict[str, float], decision: dict[str, float], fill: dict[str, float], meta: dict[str, dict], day: int, rules: Rules, force: bool = False) -> None:
@@ -125,7 +156,7 @@ def rebalance(book: Ledger, target: dict[str, float], decision: dict[str, float]
     equity = book.value(decision)
     if equity <= 0:
         return
-    now = {c: book.units(c) * decision.get(c, 0.0) / equity for c in book.lots}
+    now = {c: book.units(c) * decision.get(c, 0.0) / equity for c in book.lots if c != SLOT}
     for c in sorted(set(now) | set(target)):
         gap, m = target.get(c, 0.0) - now.get(c, 0.0), meta.get(c, {})
         if gap >= 0 or c not in fill or not m.get("can_sell", False):
@@ -140,7 +171,10 @@ def rebalance(book: Ledger, target: dict[str, float], decision: dict[str, float]
         gap, m = t - now.get(c, 0.0), meta.get(c, {})
         if gap > 0 and c in fill and m.get("can_buy", False) and (gap >= rules.threshold or now.get(c, 0.0) <= 0):
             wants[c] = gap * equity
-    scale = min(1.0, book.cash / total) if (total := sum(wants.values())) > 0 else 0.0
+    total = sum(wants.values())
+    if SLOT in book.lots and total > book.cash:
+        book.raise_cash(SLOT, total - book.cash, fill[SLOT], day)
+    scale = min(1.0, book.cash / total) if total > 0 else 0.0
     for c in sorted(wants):
         m = meta[c]
         amount = min(wants[c] * scale, book.cash)
@@ -149,20 +183,29 @@ def rebalance(book: Ledger, target: dict[str, float], decision: dict[str, float]
 
 
 def replay(rows: pd.DataFrame, strategy: Strategy, rules: Rules) -> pd.DataFrame:
-    """Equity by day of one run. ``rows``: i, code, price and, where there, cash, scheduled, suspended, can_buy, can_sell, lags, fees, tax_rate, score."""
+    """Equity by day of one run. ``rows``: i, code, price and, where there, cash, scheduled, suspended, can_buy, can_sell, lags, fees,
+    tax_rate, slot_price and whatever the strategy reads.
+
+    Day by day: settle, accrue, decide on what was known the day before, trade at the day's prices, value. With ``slot_price``
+    cash earns nothing by itself but stands in the cash fund, taxed when sold.
+    """
     book = Ledger(rules.capital)
     peak, forced, out = rules.capital, False, []
     filled: dict[str, float] = {}
     events: list[str] = []
     days = sorted(rows["i"].unique())
     by_day = dict(tuple(rows.sort_values(["i", "code"]).groupby("i")))
+    wide = rows.pivot_table(index="i", columns="code", values="price", aggfunc="first", dropna=False).reindex(days)
+    slot = "slot_price" in rows
     for n, i in enumerate(days):
         today = by_day[i]
         events = []
         book.settle(int(i))
-        if n and "cash" in today:
+        if n and "cash" in today and not slot:
             book.accrue(float(today["cash"].iloc[0]), rules.cash_tax)
         prices = {c: float(p) for c, p in zip(today["code"], today["price"]) if pd.notna(p) and p > 0}
+        if slot and pd.notna(p := today["slot_price"].iloc[0]):
+            prices[SLOT] = float(p)
         decision = dict(filled) or dict(prices)
         equity = book.value(decision)
         down = 1 - equity / peak
@@ -175,7 +218,8 @@ def replay(rows: pd.DataFrame, strategy: Strategy, rules: Rules) -> pd.DataFrame
             forced = False
             events.append("release")
         if n >= rules.warm_up and (scheduled or trigger):
-            weights, exposure = strategy(today, {c: book.units(c) * decision.get(c, 0.0) / equity for c in book.lots} if equity > 0 else {})
+            held = {c: book.units(c) * decision.get(c, 0.0) / equity for c in book.lots if c != SLOT and book.units(c) > 0} if equity > 0 else {}
+            weights, exposure = strategy(View(by_day[days[n - 1]] if n else today.iloc[:0], wide.iloc[:n], held))
             exposure = min(exposure, rules.forced_exposure) if forced else exposure
             weights = {c: max(w, 0.0) for c, w in weights.items()}
             total = sum(weights.values())
@@ -186,13 +230,14 @@ def replay(rows: pd.DataFrame, strategy: Strategy, rules: Rules) -> pd.DataFrame
             tradable = {c: c in prices and not stop[c] for c in today["code"]}
             meta = {c: {"can_buy": tradable[c] and bool(buy[c]), "can_sell": tradable[c] and bool(sell[c]), **{k: v[c] for k, v in fields.items()}} for c in today["code"]}
             events += [f"blocked:{c}" for c in sorted(weights) if weights[c] > 0 and not meta.get(c, {}).get("can_buy", False)]
-            now = {c: book.units(c) * decision.get(c, 0.0) / equity for c in book.lots if book.units(c) > 0}
-            locked = {c: w for c, w in now.items() if not meta.get(c, {}).get("can_sell", False)}
+            locked = {c: w for c, w in held.items() if not meta.get(c, {}).get("can_sell", False)}
             free = {c: w for c, w in weights.items() if c not in locked}
             room = max(0.0, 1 - sum(locked.values()))
             shrink = min(1.0, room / s) if (s := sum(free.values())) > 0 else 0.0
             rebalance(book, {**{c: w * shrink for c, w in free.items()}, **locked}, decision, prices, meta, int(i), rules, force=trigger)
         filled.update(prices)
+        if slot and book.cash > 1e-9 and SLOT in prices:
+            book.buy(SLOT, book.cash, prices[SLOT], int(i), tax=rules.cash_tax)
         equity = book.value(filled)
         peak = max(peak, equity)
         held = {c: rules.haircut for c, s in (zip(today["code"], today["suspended"]) if "suspended" in today else ()) if s}
@@ -201,44 +246,61 @@ def replay(rows: pd.DataFrame, strategy: Strategy, rules: Rules) -> pd.DataFrame
 
 
 def top_n(n: int = 3, exposure: float = 1.0) -> Strategy:
-    """Equal weights on the n best scores of the day (ties by code)."""
+    """Equal weights on the n best scores of the day before (ties by code)."""
 
-    def choose(today: pd.DataFrame, held: dict[str, float]) -> tuple[dict[str, float], float]:
-        s = today.dropna(subset=["score"]).sort_values(["score", "code"], ascending=[False, True])["code"].head(n).tolist()
-        level = float(today["level"].iloc[0]) if "level" in today and pd.notna(today["level"].iloc[0]) else exposure
-        return {c: 1.0 / n for c in s}, level
+    def choose(view: View) -> tuple[dict[str, float], float]:
+        s = view.known.dropna(subset=["score"]).sort_values(["score", "code"], ascending=[False, True])["code"].head(n).tolist()
+        return {c: 1.0 / n for c in s}, view.level(exposure)
 
     return choose
 
 
-def cash_only(today: pd.DataFrame, held: dict[str, float]) -> tuple[dict[str, float], float]:
+def cash_only(view: View) -> tuple[dict[str, float], float]:
     return {}, 0.0
 
 
 EQUITY = "run_id string, i bigint, equity double, cash double, receivables double, stressed double, taxes double, turnover double, events string"
 
 
-def run_all(panel: DataFrame, runs: DataFrame, strategies: dict[str, Strategy] | None = None) -> DataFrame:
+def run_all(panel: DataFrame, runs: DataFrame, strategies: dict[str, Callable[[pd.Series], Strategy]] | None = None, rules: Rules = Rules()) -> DataFrame:
     """Equity of every run. ``runs``: run_id, strategy, n, every, start, tax, haircut; the panel is dealt to each run.
 
-    One task holds one run's rows, which is the panel itself: bounded by entities x days, not by runs.
+    ``strategies`` makes a run's strategy from its row, by name; ``cash`` and top-n are there. ``tax`` holds for all lots
+    unless the panel has a tax_rate of its own. One task holds one run's rows, which is the panel itself: bounded by entities x days, not by runs.
     """
-    strategies = strategies or {}
+    makers = {"cash": lambda run: cash_only, **(strategies or {})}
+    columns = ["strategy", "n", "every", "start", "tax", "haircut"]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        name = first["strategy"]
-        chosen = strategies.get(name) or (cash_only if name == "cash" else top_n(int(first["n"])))
-        rules = Rules(every=int(first["every"]), haircut=float(first["haircut"]))
-        rows = rows[rows["i"] >= first["start"]]
-        rows = rows.assign(tax_rate=float(first["tax"]))
-        got = replay(rows.drop(columns=["strategy", "n", "every", "start", "tax", "haircut"]), chosen, rules)
+        make = makers.get(first["strategy"], lambda run: top_n(int(run["n"])))
+        own = replace(rules, every=int(first["every"]), haircut=float(first["haircut"]))
+        rows = rows[rows["i"] >= first["start"]].drop(columns=columns)
+        if "tax_rate" not in rows:
+            rows = rows.assign(tax_rate=float(first["tax"]))
+        got = replay(rows, make(first), own)
         got.insert(0, "run_id", key[0])
         return got
 
     return panel.crossJoin(F.broadcast(runs)).groupBy("run_id").applyInPandas(one, EQUITY)
 
 
+def tax_rate_on(day: Column, category: Column, schedule: list[tuple[str, dict[str, float]]], fallback: Column) -> Column:
+    """Tax rate of a lot bought on ``day``: of the last regime that has begun and knows the category or a default; else ``fallback``.
+
+    ``schedule``: (first day, rates by category, ``default`` for the others). A few regimes, so they are one expression.
+    """
+
+    def of(rates: dict[str, float]) -> Column:
+        default = F.lit(rates.get("default")).cast("double")
+        named = [(c, r) for c, r in rates.items() if c != "default"]
+        known = F.element_at(F.create_map(*[F.lit(x) for c, r in named for x in (c, float(r))]), category) if named else F.lit(None).cast("double")
+        return F.coalesce(F.nanvl(known, default), default)
+
+    begun = [F.when(day >= F.lit(start).cast("date"), of(rates)) for start, rates in sorted(schedule, reverse=True)]
+    return F.coalesce(*begun, fallback)
+
+
 def fifo_matches(buys: DataFrame, sells: DataFrame, key: str) -> DataFrame:
     """Units of each sale matched to each purchase, first in first out, by overlapping running sums.
 
@@ -253,14 +315,11 @@ def fifo_matches(buys: DataFrame, sells: DataFrame, key: str) -> DataFrame:
 
 
 def drawdown_states(equity: DataFrame, by: str, fall: float = 0.12, recover: float = 0.06) -> DataFrame:
-    """Hysteresis over a given equity path: adds ``forced`` by an ordered fold of each run."""
+    """Hysteresis over a given equity path: adds ``down`` and ``forced``, which the last row beyond either limit decides."""
     w = Window.partitionBy(by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     down = equity.withColumn("down", 1 - F.col("equity") / F.max("equity").over(w))
-    arr = down.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "down"))).alias("p"))
-    step = lambda a, x: F.concat(a, F.array(F.when(x["down"] > fall, True).when(x["down"] < recover, False).otherwise(F.element_at(a, -1))))
-    path = F.aggregate("p", F.array(F.lit(False)), step)
-    out = arr.select(by, F.posexplode(path).alias("k", "forced"), "p").filter("k > 0")
-    return out.select(by, F.get("p", F.col("k") - 1)["i"].alias("i"), F.get("p", F.col("k") - 1)["down"].alias("down"), "forced")
+    turned = F.when(F.col("down") > fall, True).when(F.col("down") < recover, False)
+    return down.select(by, "i", "down", F.coalesce(F.last(turned, ignorenulls=True).over(w), F.lit(False)).alias("forced"))
 
 
 def turnover_per_year(fills: pd.DataFrame, equity: pd.DataFrame) -> float:

@@ -138,6 +138,30 @@ def market_trend(spark, sf):
     return ft.market_features(p).join(level, "d").select("d", "i", r("eq_trend63").alias("eq_trend63"), r("eq_vol21").alias("eq_vol21"), "log_level")
 
 
+@query("""
+SELECT m.d, m.i, eq_trend63, eq_trend252, eq_vol21, eq_vol63, breadth200, n_suspended FROM (
+  SELECT d, i, round(l - lag(l, 63) OVER (ORDER BY i), 8) + 0e0 AS eq_trend63, round(l - lag(l, 252) OVER (ORDER BY i), 8) + 0e0 AS eq_trend252,
+    CASE WHEN count(rr) OVER w >= 21 THEN round(stddev_samp(rr) OVER w * sqrt(252), 8) + 0e0 END AS eq_vol21,
+    CASE WHEN count(rr) OVER x >= 63 THEN round(stddev_samp(rr) OVER x * sqrt(252), 8) + 0e0 END AS eq_vol63
+  FROM (SELECT *, l - lag(l) OVER (ORDER BY i) AS rr FROM (SELECT d, i, sum(ln(1 + ret)) OVER (ORDER BY i) AS l FROM (
+    SELECT d, i, CASE WHEN avg(CASE WHEN ret IS NOT NULL THEN 1e0 ELSE 0e0 END) >= 0.8 THEN coalesce(avg(least(greatest(ret, -0.2e0), 0.2e0)), 0e0) ELSE 0e0 END AS ret
+    FROM ret WHERE code <> (SELECT min(code) FROM panel) GROUP BY d, i)))
+  WINDOW w AS (ORDER BY i ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), x AS (ORDER BY i ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) m
+JOIN (SELECT d, round(avg(CASE WHEN m IS NOT NULL AND p IS NOT NULL THEN CASE WHEN p > m THEN 1e0 ELSE 0e0 END END), 8) + 0e0 AS breadth200 FROM (
+  SELECT d, p, CASE WHEN count(p) OVER w >= 120 THEN avg(p) OVER w END AS m
+  FROM (SELECT code, d, i, last_value(price IGNORE NULLS) OVER (PARTITION BY code ORDER BY i) AS p FROM panel WHERE code <> (SELECT min(code) FROM panel))
+  WINDOW w AS (PARTITION BY code ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) GROUP BY d) b USING (d)
+JOIN (SELECT d, count(*) FILTER (WHERE since > 0) AS n_suspended FROM (
+  SELECT d, i - max(CASE WHEN price IS NOT NULL THEN i END) OVER (PARTITION BY code ORDER BY i) AS since FROM panel) GROUP BY d) s USING (d)
+""", PANEL_SQL, _RET_SQL)
+def market_features_all(spark, sf):
+    p = ad.panel(spark, sf)
+    least = p.agg(F.min("code").alias("least"))
+    out = ft.market_features(p, p.select("code").distinct().crossJoin(F.broadcast(least)).filter("code <> least"))
+    cols = ("eq_trend63", "eq_trend252", "eq_vol21", "eq_vol63", "breadth200")
+    return out.select("d", "i", *[r(c).alias(c) for c in cols], "n_suspended")
+
+
 @query("SELECT code, i, round(y, 8) + 0e0 AS y, round(cash_sum, 8) + 0e0 AS cash_sum FROM lab", PANEL_SQL, CASH_SQL, LABEL_SQL)
 def forward_label(spark, sf):
     return ad.labels(ad.panel(spark, sf)).select("code", "i", r("y").alias("y"), r("cash_sum").alias("cash_sum"))
@@ -210,6 +234,24 @@ def macro_features(spark, sf):
     return ft.macro_features(cal, ad.macro(spark, sf)).select("d", r("policy_rate").alias("policy_rate"), r("d_policy_63").alias("d_policy_63"))
 
 
+@query("""
+SELECT d, round(p, 8) + 0e0 AS policy_rate, round(p - lag(p, 63) OVER w, 8) + 0e0 AS d_policy_63, round(yoy, 8) + 0e0 AS cpi_yoy, round(p - yoy, 8) + 0e0 AS real_rate,
+  round(l - lag(l, 63) OVER w, 8) + 0e0 AS usdtry_ret63, CASE WHEN count(rr) OVER x >= 21 THEN round(stddev_samp(rr) OVER x * sqrt(252), 8) + 0e0 END AS usdtry_vol21
+FROM (SELECT *, l - lag(l) OVER (ORDER BY d) AS rr FROM (
+  SELECT cal.d, p.value / 100 AS p, ln(x.value) AS l, y.value AS yoy FROM cal
+  LEFT JOIN LATERAL (SELECT value FROM macro m WHERE m.series = 'policy_rate' AND m.available_from <= cal.d ORDER BY m.available_from DESC, m.date DESC LIMIT 1) p ON true
+  LEFT JOIN LATERAL (SELECT value FROM macro m WHERE m.series = 'usdtry' AND m.available_from <= cal.d ORDER BY m.available_from DESC, m.date DESC LIMIT 1) x ON true
+  LEFT JOIN LATERAL (SELECT value FROM yoy m WHERE m.available_from <= cal.d ORDER BY m.available_from DESC, m.date DESC LIMIT 1) y ON true))
+WINDOW w AS (ORDER BY d), x AS (ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)
+""", PANEL_SQL, MACRO_SQL, """
+yoy AS (SELECT date, available_from, value / lag(value, 12) OVER (ORDER BY date) - 1 AS value FROM macro WHERE series = 'cpi_index' QUALIFY lag(value, 12) OVER (ORDER BY date) IS NOT NULL)
+""")
+def macro_features_all(spark, sf):
+    cal = calendars.trading_calendar(ad.observations(spark, sf))
+    cols = ("policy_rate", "d_policy_63", "cpi_yoy", "real_rate", "usdtry_ret63", "usdtry_vol21")
+    return ft.macro_features(cal, ad.macro(spark, sf)).select("d", *[r(c).alias(c) for c in cols])
+
+
 @query("""
 SELECT date, round(value, 6) + 0e0 AS value FROM macro WHERE series = 'policy_rate'
 QUALIFY row_number() OVER (ORDER BY date) = 1 OR value IS DISTINCT FROM lag(value) OVER (ORDER BY date)

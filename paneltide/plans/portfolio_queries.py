@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from paneltide.functions import calendars
-from paneltide.operators import allocation, features as ft, ledger, models, relational as rel, robustness as rb, windows as w
+from paneltide.operators import allocation, features as ft, ledger, models, relational as rel, robustness as rb, strategies, windows as w
 from paneltide.plans import adapters as ad
 from paneltide.plans.adapters import CASH_SQL, LABEL_SQL, MASTER_SQL, PANEL_SQL
 from paneltide.plans.registry import query, rounded as r
@@ -148,6 +148,62 @@ def backtest_equity(spark, sf):
     return ledger.run_all(_backtest_panel(spark, sf), _runs(spark, [("top2", "top", 2, 4, 20, 0.175, 0.0), ("top3", "top", 3, 4, 20, 0.175, 0.0), ("cash", "cash", 0, 4, 20, 0.175, 0.0)]))
 
 
+@query("""
+SELECT 'once' AS run_id, p.i, round(any_value(q.cash) + sum(u.units * p.price), 6) + 0e0 AS equity, round(any_value(q.cash), 6) + 0e0 AS cash FROM (
+  SELECT code, i, last_value(price IGNORE NULLS) OVER (PARTITION BY code ORDER BY i) AS price FROM panel) p
+JOIN (SELECT b.code, CASE WHEN b.i IS NOT NULL AND n.price > 0 THEN 0.5e0 * e.equity / n.price ELSE 0e0 END AS units
+  FROM (SELECT code, i FROM (SELECT code, i, ln(price) - lag(ln(price), 13) OVER (PARTITION BY code ORDER BY i) AS score FROM panel)
+    WHERE i = 59 AND score IS NOT NULL ORDER BY score DESC, code LIMIT 2) b
+  JOIN panel n ON n.code = b.code AND n.i = 60, (SELECT 100e0 * exp(sum(ln(1 + rate))) AS equity FROM rates WHERE i BETWEEN 21 AND 60) e) u ON u.code = p.code
+JOIN (SELECT i, 100e0 * exp(sum(ln(1 + CASE WHEN i = 20 THEN 0e0 ELSE rate END)) OVER (ORDER BY i)) * CASE WHEN i < 60 THEN 1e0 ELSE
+    1 - 0.5e0 * (SELECT count(*) FROM (SELECT code FROM (SELECT code, i, ln(price) - lag(ln(price), 13) OVER (PARTITION BY code ORDER BY i) AS score FROM panel)
+      WHERE i = 59 AND score IS NOT NULL ORDER BY score DESC, code LIMIT 2) b JOIN panel n ON n.code = b.code AND n.i = 60 AND n.price > 0) END AS cash
+  FROM rates WHERE i >= 20) q ON q.i = p.i
+WHERE p.i >= 60 GROUP BY p.i
+""", PANEL_SQL, "rates AS (SELECT i, (0.0005e0 + 0.0001e0 * (i % 7)) * (1 - 0.175e0) AS rate FROM cal)")
+def backtest_once(spark, sf):
+    """One decision on day 60, from what was known on day 59, then held: the replay against arithmetic."""
+    p = _backtest_panel(spark, sf).withColumn("scheduled", F.col("i") == 60)
+    out = ledger.run_all(p, _runs(spark, [("once", "top", 2, 1, 20, 0.175, 0.0)]), rules=ledger.Rules(fall=2.0))
+    return out.filter("i >= 60").select("run_id", "i", r("equity", 6).alias("equity"), r("cash", 6).alias("cash"))
+
+
+@query()
+def momentum_hrp_equity(spark, sf):
+    p = _backtest_panel(spark, sf).withColumn("founder", F.substring("code", 1, 1))
+    p = p.withColumn("_x", F.col("score") - F.sum("cash").over(w.trailing(13))).withColumn("guard", strategies.matured_mean("_x", 26, 12)).drop("_x")
+    makers = {"hrp": lambda run: strategies.momentum_hrp(int(run["n"]), 52), "calm": lambda run: strategies.momentum_hrp(int(run["n"]), 52, refresh=3, smooth=0.5, guard="guard")}
+    return ledger.run_all(p, _runs(spark, [("hrp", "hrp", 3, 4, 20, 0.175, 0.0), ("calm", "calm", 3, 4, 20, 0.175, 0.0)]), makers)
+
+
+@query()
+def cash_slot_equity(spark, sf):
+    level = F.exp(F.sum(F.log1p("cash")).over(w.to_date()))
+    p = _backtest_panel(spark, sf).withColumn("slot_price", level)
+    return ledger.run_all(p, _runs(spark, [("slot", "top", 2, 4, 20, 0.175, 0.0), ("idle", "cash", 0, 4, 20, 0.175, 0.0)]))
+
+
+@query("""
+SELECT code, i, CASE WHEN d >= DATE '1996-01-01' THEN CASE WHEN code < 'M' THEN 0.175e0 ELSE 0.10e0 END WHEN d >= DATE '1994-01-01' THEN CASE WHEN code < 'M' THEN 0.05e0 ELSE 0.2e0 END ELSE 0.2e0 END AS rate FROM panel
+""", PANEL_SQL)
+def lot_tax_schedule(spark, sf):
+    schedule = [("1996-01-01", {"A": 0.175, "default": 0.10}), ("1994-01-01", {"A": 0.05})]
+    kind = F.when(F.col("code") < "M", "A").otherwise("B")
+    return ad.panel(spark, sf).select("code", "i", ledger.tax_rate_on(F.col("d"), kind, schedule, F.lit(0.2)).alias("rate"))
+
+
+@query("""
+SELECT run_id, round(avg(ex) / stddev_samp(CASE WHEN ex < 0 THEN ex END) * sqrt(252), 5) + 0e0 AS sortino,
+  round(avg(pow((ex - m) / s, 3)), 6) + 0e0 AS skew, round(avg(pow((ex - m) / s, 4)), 6) + 0e0 AS kurt,
+  round(pow(arg_max(cash_level, i) / arg_min(cash_level, i), 252e0 / count(r)) - 1, 8) + 0e0 AS cash_cagr,
+  round(pow(arg_max(equity, i) / arg_min(equity, i), 252e0 / count(r)) - pow(arg_max(cash_level, i) / arg_min(cash_level, i), 252e0 / count(r)), 5) + 0e0 AS excess_cagr
+FROM (SELECT *, avg(ex) OVER (PARTITION BY run_id) AS m, stddev_pop(ex) OVER (PARTITION BY run_id) AS s FROM er) GROUP BY run_id
+""", PANEL_SQL, CASH_SQL, LABEL_SQL, _EQ)
+def summary_excess(spark, sf):
+    s = rb.summary(_equity(spark, sf))
+    return s.select("run_id", r("sortino", 5).alias("sortino"), r("skew", 6).alias("skew"), r("kurt", 6).alias("kurt"), r("cash_cagr").alias("cash_cagr"), r("excess_cagr", 5).alias("excess_cagr"))
+
+
 @query()
 def start_sweep(spark, sf):
     starts = rb.start_positions(calendars.trading_calendar(ad.observations(spark, sf)), 30, 12)

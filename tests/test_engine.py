@@ -6,6 +6,7 @@ from datetime import date, datetime
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from paneltide import schema
@@ -334,7 +335,8 @@ def test_noise_has_middling_pbo(spark):
 
 
 def test_deflated_sharpe_falls_with_trials():
-    one, many = rb.deflated_sharpe(0.1, 1, 0.01, 500, 0.0, 3.0), rb.deflated_sharpe(0.1, 100, 0.01, 500, 0.0, 3.0)
+    assert np.isnan(rb.deflated_sharpe(0.1, 1, 0.01, 500, 0.0, 3.0))  # one trial has no best
+    one, many = rb.deflated_sharpe(0.1, 2, 0.0001, 500, 0.0, 3.0), rb.deflated_sharpe(0.1, 100, 0.01, 500, 0.0, 3.0)
     assert 0.9 < one <= 1 and many < one
     assert stats.normal_cdf(stats.normal_quantile(0.3)) == pytest.approx(0.3)
 
@@ -429,3 +431,114 @@ def test_catalogue_names_match():
     from paneltide.plans import catalogue
 
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+# -- what strategies know, and the rules of weights ---------------------------------------------
+
+
+def test_the_future_changes_no_decision():
+    """Prices and scores from a day on leave all weights up to that day as they were."""
+    rng = np.random.default_rng(3)
+    days, codes = 60, list("abcd")
+    price = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, (days, 4)), 0))
+    seen = []
+
+    def spy(n):
+        inner = lg.top_n(n)
+
+        def choose(view):
+            assert view.prices.index.max() < len(seen) * 5 if len(view.prices) else len(seen) == 0
+            seen.append(inner(view)[0])
+            return inner(view)
+
+        return choose
+
+    def rows(p):
+        return pd.DataFrame([(i, c, p[i, k], p[i, k] / p[max(0, i - 5), k] - 1) for i in range(days) for k, c in enumerate(codes)], columns=["i", "code", "price", "score"])
+
+    def decisions(p):
+        seen.clear()
+        out = lg.replay(rows(p), spy(2), lg.Rules(every=5, fall=2.0))
+        return list(seen), out["equity"].to_numpy()
+
+    before, equity = decisions(price)
+    for t in (20, 30):
+        other = price.copy()
+        other[t:] *= np.exp(rng.normal(0, 0.3, other[t:].shape))
+        after, changed = decisions(other)
+        assert after[: t // 5 + 1] == before[: t // 5 + 1] and np.allclose(changed[:t], equity[:t])
+        assert after != before
+
+
+def test_replay_by_hand():
+    """One decision at day 2 from the scores of day 1, bought at the prices of day 2."""
+    price = {"a": [10, 20, 40, 80], "b": [10, 5, 5, 5]}
+    rows = pd.DataFrame([(i, c, float(p[i]), float(p[i])) for c, p in price.items() for i in range(4)], columns=["i", "code", "price", "score"])
+    rows["scheduled"] = rows["i"] == 2
+    out = lg.replay(rows, lg.top_n(1), lg.Rules())
+    assert out["equity"].tolist() == [100.0, 100.0, 100.0, 200.0]
+
+
+def test_cash_slot_is_taxed_when_sold():
+    price = [1.0, 1.1, 1.2, 1.2]
+    rows = pd.DataFrame([(i, "a", 10.0, 1.0, p, i == 2) for i, p in enumerate(price)], columns=["i", "code", "price", "score", "slot_price", "scheduled"])
+    out = lg.replay(rows, lg.top_n(2), lg.Rules(cash_tax=0.175))
+    assert out["equity"][1] == pytest.approx(110)
+    # Half of 120 at the prices known the day before (110) is 55; each unit of the slot brings 1.2 less 0.175 of 0.2.
+    assert out["taxes"].iloc[-1] == pytest.approx(55 / (1.2 - 0.175 * 0.2) * 0.175 * 0.2)
+    assert out["equity"].iloc[-1] == pytest.approx(120 - out["taxes"].iloc[-1])
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.sampled_from(list("abcdefgh")), max_size=10), st.dictionaries(st.sampled_from(list("abcdefgh")), st.sampled_from(["X", "Y", "Z", "", " ", None])),
+    st.floats(0, 1.5), st.dictionaries(st.sampled_from(["X", "Y", "Z"]), st.floats(0, 0.6)),
+)
+def test_water_fill_keeps_all_limits(funds, groups, budget, used):
+    w_, left = allocation.water_fill(funds, groups, budget, used=used)
+    assert set(w_) == set(funds) and all(0 <= v <= 0.25 + 1e-9 for v in w_.values())
+    assert sum(w_.values()) + left == pytest.approx(budget)
+    for f, v in w_.items():
+        assert v == 0 or groups.get(f) in ("X", "Y", "Z")
+    for g in "XYZ":
+        mine = sum(v for f, v in w_.items() if groups.get(f) == g)
+        assert mine == 0 or mine + used.get(g, 0.0) <= 0.30 + 1e-9
+    open_ = [f for f, v in w_.items() if groups.get(f) in ("X", "Y", "Z") and v < 0.25 - 1e-9 and sum(x for h, x in w_.items() if groups.get(h) == groups[f]) + used.get(groups[f], 0.0) < 0.30 - 1e-9]
+    assert not open_ or left < 1e-9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.sampled_from(["X", "Y", "Z", None])), min_size=1, max_size=12))
+def test_caps_hold(rows):
+    w0, g = pd.Series([x for x, _ in rows]), pd.Series([x for _, x in rows])
+    out = allocation.apply_caps(w0, g)
+    assert (out >= 0).all() and out.max() <= 0.25 + 1e-9 and out.sum() <= 1 + 1e-9
+    assert (out.groupby(g.fillna("_")).sum() <= 0.30 + 1e-9).all() and (out[w0 == 0] == 0).all()
+
+
+def test_blank_founders_fail_closed_and_constant_prices_are_weighed():
+    assert allocation.water_fill(["a"], {"a": ""}, 1.0)[0]["a"] == 0
+    assert allocation.founder_limits(pd.Series({"a": 0.2}), pd.Series(dtype=float), pd.Series({"a": " "}))["a"] == 0
+    assert allocation.water_fill(["a", "b"], {"a": "X", "b": "Y"}, 1.0, used={"X": 0.5})[0] == {"a": 0.0, "b": pytest.approx(0.25)}
+    wts = allocation.hrp(np.diag([0.0, 1.0, 2.0]))
+    assert np.isfinite(wts).all() and wts.sum() == pytest.approx(1) and wts[0] > 0.99
+
+
+def test_switch_path_is_the_cheapest():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        cost = rng.random((6, 2))
+        path, total = models.switch_path(cost, 0.3)
+        price = lambda p: sum(cost[i, k] for i, k in enumerate(p)) + 0.3 * sum(a != b for a, b in zip(p, p[1:]))
+        best = min(price([(m >> i) & 1 for i in range(6)]) for m in range(64))
+        assert total == pytest.approx(best) and price(path.tolist()) == pytest.approx(best)
+
+
+def test_ewma_of_a_long_history(spark):
+    rng = np.random.default_rng(6)
+    n = 12_500
+    r = rng.normal(0, 0.01, n)
+    df = spark.createDataFrame([("a", i, float(v) if i % 9 else None) for i, v in enumerate(r)], "code string, i bigint, r double")
+    got = df.withColumn("v", w.ewma_vol()).orderBy("i").toPandas()
+    want = np.sqrt(pd.Series(np.where(np.arange(n) % 9, r, np.nan) ** 2).ewm(alpha=0.06, min_periods=21).mean() * 252)
+    assert np.allclose(got["v"].iloc[25:], want.iloc[25:], rtol=1e-9)
