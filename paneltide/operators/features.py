@@ -34,14 +34,21 @@ def index_level(panel: DataFrame, limit: float = 0.2, breadth: float = 0.8) -> D
     return day.select("d", "i", "ret", F.exp(F.sum(F.log1p("ret")).over(run)).alias("level"))
 
 
-def market_features(panel: DataFrame) -> DataFrame:
-    """(d, i, eq_trend63, eq_vol21, breadth200) from the index and from entities over their 200-row mean."""
-    s = index_level(panel).withColumn("code", F.lit("index"))
+def market_features(panel: DataFrame, equities: DataFrame | None = None, most_stale: int | None = None) -> DataFrame:
+    """(d, i, eq_trend63, eq_trend252, eq_vol21, eq_vol63, breadth200, n_suspended) of the index, of entities over their 200-row
+    mean, and of entities without a price for more than ``most_stale`` rows (by default without one on the day) that had one before.
+
+    ``equities``: the codes (code) that make up index and breadth; all of them if not given.
+    """
+    part = panel if equities is None else panel.join(equities.select("code").distinct(), "code", "left_semi")
+    s = index_level(part).withColumn("code", F.lit("index"))
     s = s.withColumn("_l", F.ln("level")).withColumn("r", F.col("_l") - F.lag("_l", 1).over(w.by_entity()))
-    s = s.select("d", "i", (F.col("_l") - F.lag("_l", 63).over(w.by_entity())).alias("eq_trend63"), w.rolling_vol(21).alias("eq_vol21"))
-    filled = panel.withColumn("_p", w.fill_forward())
+    trend = lambda k: (F.col("_l") - F.lag("_l", k).over(w.by_entity())).alias(f"eq_trend{k}")
+    s = s.select("d", "i", trend(63), trend(252), *[w.rolling_vol(k).alias(f"eq_vol{k}") for k in (21, 63)])
+    filled = part.withColumn("_p", w.fill_forward())
     above = filled.withColumn("_m", w.partial_mean(200, 120, "_p")).withColumn("_a", F.when(F.col("_m").isNotNull() & F.col("_p").isNotNull(), (F.col("_p") > F.col("_m")).cast("double")))
-    return s.join(above.groupBy("d").agg(F.avg("_a").alias("breadth200")), "d", "left")
+    stopped = panel.withColumn("_s", w.since_last()).groupBy("d").agg(F.count_if(F.col("_s") > (most_stale or 0)).alias("n_suspended"))
+    return s.join(above.groupBy("d").agg(F.avg("_a").alias("breadth200")), "d", "left").join(stopped, "d", "left")
 
 
 def yearly_change(observed: DataFrame, visible: str, value: str, order: str, lag: int = 12) -> DataFrame:

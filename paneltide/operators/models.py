@@ -75,6 +75,10 @@ class QuantileBoost:
         return f
 
 
+#: Fixed values for panels of full size: boosting rounds, least rows of a leaf, and 2**5 leaves at most.
+PRODUCTION = {"rounds": 300, "depth": 5, "rate": 0.05, "least": 1000}
+
+
 def refits(decisions: DataFrame) -> DataFrame:
     """(refit, next_refit): first decision position of each month."""
     from pyspark.sql import Window
@@ -86,7 +90,7 @@ def refits(decisions: DataFrame) -> DataFrame:
 def walk_forward(panel: DataFrame, features: list[str], alphas: tuple[float, ...] = (0.1, 0.5, 0.9), delay: int = 23, **params) -> DataFrame:
     """Monthly anchored refits, one group for each (refit, alpha): predictions of the month from all rows matured by then.
 
-    ``panel``: code, d, i, features, y. Training rows of a refit at position R have ``i <= R - delay``.
+    ``params`` are the model's; ``**PRODUCTION`` for panels of full size. ``panel``: code, d, i, features, y. Training rows of a refit at position R have ``i <= R - delay``.
     """
     r = refits(panel)
     grid = r.crossJoin(panel.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double"))
@@ -120,8 +124,8 @@ def cpcv_splits(n: int, blocks: int = 6, tested: int = 2, horizon: int = 22, emb
     return out
 
 
-def cpcv(panel: DataFrame, features: list[str], grid: list[dict], alpha: float = 0.5, blocks: int = 6) -> DataFrame:
-    """Mean pinball loss of every (split, parameters): one group each."""
+def cpcv(panel: DataFrame, features: list[str], grid: list[dict], alphas: tuple[float, ...] = (0.1, 0.5, 0.9), blocks: int = 6) -> DataFrame:
+    """Mean pinball loss over the alphas of every (split, parameters): one group each."""
     spark = panel.sparkSession
     n = panel.agg(F.max("i")).first()[0] + 1
     splits = cpcv_splits(n, blocks)
@@ -134,60 +138,70 @@ def cpcv(panel: DataFrame, features: list[str], grid: list[dict], alpha: float =
         a, b = g[g["i"].isin(train)], g[g["i"].isin(test)]
         if len(a) < 40 or b.empty:
             return pd.DataFrame({"split": [], "params": [], "loss": [], "n_train": [], "n_test": []})
-        q = QuantileBoost(alpha, **grid[key[1]]).fit(a[features].to_numpy(float), a["y"].to_numpy(float)).predict(b[features].to_numpy(float))
-        e = b["y"].to_numpy(float) - q
-        return pd.DataFrame({"split": [key[0]], "params": [key[1]], "loss": [float(np.where(e >= 0, alpha * e, (alpha - 1) * e).mean())], "n_train": [len(a)], "n_test": [len(b)]})
+        losses = []
+        for alpha in alphas:
+            q = QuantileBoost(alpha, **grid[key[1]]).fit(a[features].to_numpy(float), a["y"].to_numpy(float)).predict(b[features].to_numpy(float))
+            e = b["y"].to_numpy(float) - q
+            losses.append(float(np.where(e >= 0, alpha * e, (alpha - 1) * e).mean()))
+        return pd.DataFrame({"split": [key[0]], "params": [key[1]], "loss": [float(np.mean(losses))], "n_train": [len(a)], "n_test": [len(b)]})
 
     return rows.groupBy("split", "params").applyInPandas(one, "split int, params int, loss double, n_train bigint, n_test bigint")
 
 
-def jump_model(x: np.ndarray, states: int = 2, penalty: float = 10.0, starts: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, labels): nearest centres with a price on switching, solved by alternating paths and means from several starts."""
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(starts):
-        centres = x[rng.choice(len(x), states, replace=False)].astype(float)
-        labels = None
-        for _it in range(30):
-            cost = ((x[:, None, :] - centres[None]) ** 2).sum(2)
-            path, total = switch_path(cost, penalty)
-            if labels is not None and (path == labels).all():
-                break
-            labels = path
-            centres = np.array([x[labels == k].mean(0) if (labels == k).any() else centres[k] for k in range(states)])
-        if best is None or total < best[0]:
-            best = (total, centres, labels)
-    return best[1], best[2]
+def jump_model(x: np.ndarray, states: int = 2, penalty: float = 50.0, starts: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, labels) of least squared distance plus ``penalty`` a switch, the best of several random starts.
+
+    Either is optimal given the other: labels by dynamic programming, centres as means. So the total falls until it stays.
+    """
+    rng = np.random.default_rng(seed)
+
+    def descend(centres: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        total = np.inf
+        while True:
+            labels, now = switch_path(_squared(x, centres), penalty)
+            if now >= total - 1e-12:
+                return total, centres, labels
+            total = now
+            one = np.eye(states)[labels]
+            size = one.sum(0)[:, None]
+            centres = np.where(size > 0, one.T @ x / np.maximum(size, 1), centres)
+
+    runs = [descend(x[rng.choice(len(x), states, replace=False)].astype(float)) for _ in range(starts)]
+    return min(runs, key=lambda r: r[0])[1:]
+
+
+def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centres[None]) ** 2).sum(2)
 
 
 def switch_path(cost: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
-    """Cheapest path through states when each switch costs ``penalty``."""
-    t, k = cost.shape
-    v, back = cost[0].astype(float), np.zeros((t, k), np.int64)
-    for i in range(1, t):
-        low = int(v.argmin())
-        stay = v <= v[low] + penalty
-        back[i] = np.where(stay, np.arange(k), low)
-        v = np.where(stay, v, v[low] + penalty) + cost[i]
-    path = np.zeros(t, np.int64)
-    path[-1] = int(v.argmin())
-    for i in range(t - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path, float(v.min())
+    """Cheapest path through states when each switch costs ``penalty``.
+
+    From the end: what each state still costs from each row on. Then from the start: stay, unless another state is cheaper
+    by more than the price of a switch.
+    """
+    to_go = cost.astype(float)
+    for i in range(len(cost) - 2, -1, -1):
+        to_go[i] += np.minimum(to_go[i + 1], to_go[i + 1].min() + penalty)
+    path = np.zeros(len(cost), np.int64)
+    path[0] = to_go[0].argmin()
+    for i in range(1, len(cost)):
+        cheapest = to_go[i].argmin()
+        path[i] = path[i - 1] if to_go[i, path[i - 1]] <= to_go[i, cheapest] + penalty else cheapest
+    return path, float(to_go[0].min())
 
 
 def online_states(x: np.ndarray, centres: np.ndarray, penalty: float) -> np.ndarray:
-    """State by state, knowing only the past."""
-    out, s = np.zeros(len(x), np.int64), None
-    for i, row in enumerate(x):
-        cost = ((row - centres) ** 2).sum(1)
-        if s is not None:
-            cost = cost + penalty * (np.arange(len(centres)) != s)
-        s = int(cost.argmin())
-        out[i] = s
-    return out
+    """State by state, knowing only the past: the nearest centre, where leaving the last state costs ``penalty``."""
+    cost = _squared(x, centres)
+    out = [int(cost[0].argmin())] if len(x) else []
+    for row in cost[1:]:
+        best = int(row.argmin())
+        out.append(best if row[best] + penalty < row[out[-1]] else out[-1])
+    return np.array(out, np.int64)
 
 
-def regimes(features: DataFrame, columns: list[str], excess: str, states: int = 2, penalty: float = 10.0) -> DataFrame:
+def regimes(features: DataFrame, columns: list[str], excess: str, states: int = 2, penalty: float = 50.0) -> DataFrame:
     """(key, i, state, rank) by group: states ranked by mean excess return, the best first."""
     schema = "key string, i bigint, state int, rank int"
 

@@ -24,7 +24,7 @@ def summary(equity: DataFrame, by: str = "run_id") -> DataFrame:
         F.count("r").alias("n"), growth("equity").alias("cagr"), (F.stddev_samp("r") * sqrt(252)).alias("vol"),
         (F.try_divide(F.avg("ex"), F.stddev_samp("ex")) * sqrt(252)).alias("sharpe"),
         (F.try_divide(F.avg("ex"), F.stddev_samp(F.when(F.col("ex") < 0, F.col("ex")))) * sqrt(252)).alias("sortino"),
-        F.max("dd").alias("mdd"), F.skewness("r").alias("skew"), (F.kurtosis("r") + 3).alias("kurt"), growth("cash_level").alias("cash_cagr"),
+        F.max("dd").alias("mdd"), F.when(F.count("ex") > 3, F.skewness("ex")).alias("skew"), F.when(F.count("ex") > 3, F.kurtosis("ex") + 3).alias("kurt"), growth("cash_level").alias("cash_cagr"),
     )
     return out.withColumn("calmar", F.try_divide("cagr", "mdd")).withColumn("excess_cagr", F.col("cagr") - F.col("cash_cagr"))
 
@@ -78,12 +78,12 @@ def pbo(returns: DataFrame, blocks: int = 8) -> DataFrame:
 
 
 def deflated_sharpe(sr: float, trials: int, variance: float, n: int, skew: float, kurt: float) -> float:
-    """Probability that a Sharpe ratio (by period) is above what the best of so many trials would show by luck."""
-    if n < 2 or trials < 1:
+    """Probability that a Sharpe ratio (by period) is above what the best of so many trials would show by luck; one trial has no best."""
+    if n < 2 or trials < 2:
         return float("nan")
-    luck = sqrt(variance) * ((1 - EULER) * normal_quantile(1 - 1 / trials) + EULER * normal_quantile(1 - 1 / (trials * e))) if trials > 1 else 0.0
-    spread = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
-    return normal_cdf((sr - luck) * sqrt(n - 1) / sqrt(spread)) if spread > 0 else float("nan")
+    luck = sqrt(max(variance, 1e-12)) * ((1 - EULER) * normal_quantile(1 - 1 / trials) + EULER * normal_quantile(1 - 1 / (trials * e)))
+    spread = max(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)
+    return normal_cdf((sr - luck) * sqrt(n - 1) / sqrt(spread))
 
 
 def describe(results: DataFrame, columns: list[str]) -> DataFrame:

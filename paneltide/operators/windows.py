@@ -54,15 +54,19 @@ def rolling_vol(n: int, r: str = "r", annual: bool = True) -> Column:
     return full_window(n, F.col(r), F.stddev_samp(r)) * F.lit(ANNUAL**0.5 if annual else 1.0)
 
 
-def ewma_vol(r: str = "r", decay: float = 0.94, least: int = 21) -> Column:
+def ewma_vol(r: str = "r", decay: float = 0.94, least: int = 21, block: int = 2048) -> Column:
     """Annual volatility from exponentially weighted squared returns. Missing returns age the weights and carry the value.
 
-    Both sums are prefix sums with weights growing by row, re-based on the entity's own rows, so one window pass does.
+    Sums are prefix sums with weights that grow by row, within blocks of rows so that they stay finite, plus the block
+    before, whose weights the block's length has aged. What is older weighs less than 1e-55 of it; where the rows of
+    both blocks hold no return at all, the value is null.
     """
-    w = F.pow(F.lit(1.0 / decay), F.col("i").cast("double"))
-    num = F.sum(F.when(F.col(r).isNotNull(), F.col(r) * F.col(r) * w)).over(to_date())
-    den = F.sum(F.when(F.col(r).isNotNull(), w)).over(to_date())
-    return F.when(F.count(r).over(to_date()) >= least, F.sqrt(num / den * ANNUAL))
+    at = F.floor(F.col("i") / block)
+    weight = F.when(F.col(r).isNotNull(), F.pow(F.lit(1.0 / decay), (F.col("i") - at * block).cast("double")))
+    here = Window.partitionBy("code", at).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("code").orderBy(at).rangeBetween(-1, -1)
+    total = lambda v: F.coalesce(F.sum(v).over(here), F.lit(0.0)) + F.coalesce(F.sum(v).over(before), F.lit(0.0)) * F.lit(decay**block)
+    return F.when(F.count(r).over(to_date()) >= least, F.sqrt(F.try_divide(total(F.col(r) * F.col(r) * weight), total(weight)) * ANNUAL))
 
 
 def below_peak(n: int, c: str = "price") -> Column:
