@@ -29,6 +29,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1200, 10_000
 CHAINS, RULES = 5000, 200
 #: Tokens of a matrix row. A longer text is several rows, and the chain's state is carried from each to the next, both ways.
 WINDOW = 64
+#: Bytes of text scored at once; features and chain take about 60 bytes for each of them.
+SLICE_BYTES = 1 << 20
 
 
 def features(texts: pa.Array, words: common.Words):
@@ -268,7 +270,7 @@ def _score(model: dict):
         words = common.Words()
         slope, shift = model["scale"]
         for whole in batches:
-            for batch in common.slices(whole, "text"):
+            for batch in common.slices(whole, "text", SLICE_BYTES):
                 texts = batch.column("text")
                 raw, a, b, first, codes = features(texts, words)
                 x, p = evidence(first, codes, model)
