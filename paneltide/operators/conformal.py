@@ -101,16 +101,18 @@ def adaptive(predictions: DataFrame, targets: dict[str, float], gamma: float, le
 
 
 def alpha_path(errors: DataFrame, target: float, gamma: float, by: str = "code", low: float = 0.02, high: float = 0.5) -> DataFrame:
-    """The clipped recursion over given daily errors: an ordered fold of each key's array, emitted day by day."""
-    ordered = errors.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "err"))).alias("e"))
+    """(by, i, alpha): the clipped recursion over given daily errors, one step a day; a missing error leaves it as it is."""
 
-    def step(acc: Column, x: Column) -> Column:
-        now = F.least(F.greatest(F.element_at(acc, -1) + F.lit(gamma) * (F.lit(target) - x["err"]), F.lit(low)), F.lit(high))
-        return F.concat(acc, F.array(F.when(x["err"].isNull(), F.element_at(acc, -1)).otherwise(now)))
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("i")
+        alpha, path = float(target), []
+        for err in g["err"].to_numpy(float):
+            alpha = alpha if pd.isna(err) else min(max(alpha + gamma * (target - err), low), high)
+            path.append(alpha)
+        return pd.DataFrame({by: key[0], "i": g["i"].to_numpy(), "alpha": path})
 
-    path = F.aggregate("e", F.array(F.lit(float(target))), step)
-    out = ordered.select(by, F.posexplode(path).alias("_n", "alpha"), "e")
-    return out.filter("_n > 0").select(by, F.get("e", F.col("_n") - 1)["i"].alias("i"), "alpha")
+    slim = errors.select(by, F.col("i").cast("bigint").alias("i"), F.col("err").cast("double").alias("err"))
+    return slim.groupBy(by).applyInPandas(run, f"{by} {slim.schema[by].dataType.simpleString()}, i bigint, alpha double")
 
 
 def p_values(predictions: DataFrame, clipped: bool = False, least: int = LEAST) -> DataFrame:
@@ -127,7 +129,7 @@ def p_values(predictions: DataFrame, clipped: bool = False, least: int = LEAST)
     both = matured_pairs(days, residuals).select("at", F.lit(None).cast("string").alias("code"), "v", F.lit(0).alias("mark")).unionByName(marks)
     run = Window.partitionBy("at").orderBy("v", "mark").rowsBetween(Window.unboundedPreceding, 0)
     counted = both.withColumn("below", F.sum(F.lit(1) - F.col("mark")).over(run)).withColumn("n", F.sum(F.lit(1) - F.col("mark")).over(Window.partitionBy("at"))).filter("mark = 1").select("at", "code", "below", "n")
-    totals = matured_pairs(days, residuals).groupBy("at").agg(F.count("*").alias("n_day"))
+    totals = matured_pairs(days, residuals.groupBy("i").agg(F.count("*").alias("_n"))).groupBy("at").agg(F.sum("_n").alias("n_day"))
     out = predictions.withColumn("at", F.col("i") + 1).join(counted, ["at", "code"], "left").join(F.broadcast(totals), "at", "left")
     n = F.coalesce("n_day", F.lit(0)).cast("bigint")
     flag = F.when(n < least, "insufficient_calibration").when(F.col("q50").isNull(), "missing_q50").otherwise("ok")
@@ -177,7 +179,10 @@ def kill_switch(predictions: DataFrame, model: dict[float, str], baseline: dict[
     loss = lambda cols: sum((pinball(F.col("y"), F.col(c), a) for a, c in cols.items()), F.lit(0.0)) / len(cols)
     rows = predictions.filter(F.col("y").isNotNull()).select("i", loss(model).alias("_m"), loss(baseline).alias("_b")).filter(F.col("_m").isNotNull() & F.col("_b").isNotNull())
     days = predictions.select((F.col("i") + 1).alias("at")).distinct()
-    out = matured_pairs(days, rows).groupBy("at").agg(F.avg("_m").alias("model_loss"), F.avg("_b").alias("baseline_loss"))
+    # Days go to the decision days that they have matured for, not their rows.
+    by_day = rows.groupBy("i").agg(F.sum("_m").alias("_m"), F.sum("_b").alias("_b"), F.count("*").alias("_n"))
+    mean = lambda c: F.sum(c) / F.sum("_n")
+    out = matured_pairs(days, by_day).groupBy("at").agg(mean("_m").alias("model_loss"), mean("_b").alias("baseline_loss"))
     return days.join(out, "at", "left").select("at", "model_loss", "baseline_loss", F.coalesce(F.col("model_loss") >= F.col("baseline_loss"), F.lit(False)).alias("stop"))
 
 

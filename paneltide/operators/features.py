@@ -102,7 +102,7 @@ def build(panel: DataFrame, cash: DataFrame, macro: DataFrame, market: DataFrame
     cal = cal.select("d", F.coalesce(ahead(1), following).alias("decision_at"), ahead(HORIZON).alias("label_end"), ahead(HORIZON + 1).alias("_after"), F.max("d").over(Window.partitionBy(F.lit(0))).alias("_end"))
     terminal = F.expr("_end + CASE weekday(_end) WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 1 END")
     cal = cal.select("d", "decision_at", "label_end", F.when(F.col("label_end").isNotNull(), F.coalesce("_after", terminal)).alias("label_available_at"))
-    f = f.join(F.broadcast(cal), "d").join(F.broadcast(macro.drop("i")), "d", "left").join(F.broadcast(market.drop("i")), "d", "left").join(F.broadcast(attributes), "code", "left")
+    f = f.join(F.broadcast(cal), "d").join(F.broadcast(macro.drop("i")), "d", "left").join(F.broadcast(market.drop("i")), "d", "left").join(attributes, "code", "left")
     for k in (63, 252):
         f = f.withColumn(f"pct_rank_{k}", w.percentile_rank(f"log_ret_{k}", F.col("eligible_at_decision")))
     ready = all_present(FEATURE_COLUMNS)

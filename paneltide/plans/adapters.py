@@ -28,7 +28,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal = calendars.trading_calendar(obs)
     grid = w.dense_grid(obs, cal, "raw")
     ranks = obs.select("code").distinct().withColumn("k", F.dense_rank().over(w.Window.orderBy("code")).cast("bigint"))
-    out = grid.join(F.broadcast(ranks), "code")
+    out = grid.join(ranks, "code")
     price = F.when((F.col("k") * 5 + F.col("i")) % 17 != 0, F.col("raw") * F.exp((F.col("k") - 3) * F.lit(0.008) * F.col("i")))
     return out.select("code", "d", "i", price.alias("price"))
 
