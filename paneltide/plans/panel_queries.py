@@ -9,6 +9,7 @@ from paneltide.operators import features as ft, joins, relational as rel, univer
 from paneltide.plans import adapters as ad
 from paneltide.plans.adapters import CASH_SQL, LABEL_SQL, MACRO_SQL, MASTER_SQL, PANEL_SQL
 from paneltide.plans.registry import query, rounded as r
+from paneltide.schema import FEATURE_COLUMNS, MASK_COLUMNS, TIME_COLUMNS
 
 
 @query("SELECT code, d, i, round(price, 6) + 0e0 AS price FROM panel", PANEL_SQL)
@@ -203,6 +204,74 @@ def feature_panel(spark, sf):
     return out.select("feature_asof", "fund_code", "label_end", "eligible_at_decision", *[r(c).alias(c) for c in cols], "umbrella_type_code", r("y").alias("y"))
 
 
+_ALL_PARTS = """
+yoy AS (SELECT date, available_from, value / lag(value, 12) OVER (ORDER BY date) - 1 AS value FROM macro WHERE series = 'cpi_index' QUALIFY lag(value, 12) OVER (ORDER BY date) IS NOT NULL),
+fp AS (SELECT code, d, i, last_value(price IGNORE NULLS) OVER (PARTITION BY code ORDER BY i) AS price FROM panel),
+fc AS (SELECT *, sum(ln(1 + cash)) OVER (PARTITION BY code ORDER BY i) AS cash_sum FROM (SELECT *, 0.0005e0 + 0.0001e0 * (i % 7) AS cash FROM fp)),
+fr AS (SELECT *, ln(price) AS l, ln(price) - lag(ln(price)) OVER (PARTITION BY code ORDER BY i) AS r FROM fc),
+fe AS (
+  SELECT code, d, i, """ + ", ".join(f"l - lag(l, {k}) OVER w AS log_ret_{k}" for k in (1, 5, 21, 63, 126, 252)) + """,
+    """ + ", ".join(f"l - lag(l, {k}) OVER w - (cash_sum - lag(cash_sum, {k}) OVER w) AS cash_excess_{k}" for k in (21, 63)) + """,
+    CASE WHEN count(r) OVER w >= 21 THEN sqrt(sum(r * r * pow(1 / 0.94e0, i)) OVER w / sum(CASE WHEN r IS NOT NULL THEN pow(1 / 0.94e0, i) END) OVER w * 252) END AS ewma_vol,
+    CASE WHEN count(r) OVER w63 >= 63 THEN stddev_samp(r) OVER w63 * sqrt(252) END AS vol_63,
+    CASE WHEN count(price) OVER w126 >= 126 THEN price / max(price) OVER w126 - 1 END AS dd_from_peak_126,
+    CASE WHEN count(price) OVER w252 >= 252 THEN price / max(price) OVER w252 - 1 END AS dist_peak_252,
+    lead(l, 22) OVER w - lead(l, 1) OVER w - (lead(cash_sum, 22) OVER w - lead(cash_sum, 1) OVER w) AS y,
+    price IS NOT NULL AND count(price) OVER w >= 60 AND i - max(CASE WHEN price IS NOT NULL THEN i END) OVER w <= 5 AS eligible
+  FROM fr WINDOW w AS (PARTITION BY code ORDER BY i), w63 AS (PARTITION BY code ORDER BY i ROWS BETWEEN 62 PRECEDING AND CURRENT ROW),
+    w126 AS (PARTITION BY code ORDER BY i ROWS BETWEEN 125 PRECEDING AND CURRENT ROW), w252 AS (PARTITION BY code ORDER BY i ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)
+),
+fk AS (
+  SELECT *, """ + ", ".join(f"""CASE WHEN eligible AND log_ret_{k} IS NOT NULL THEN (rank() OVER (PARTITION BY d ORDER BY CASE WHEN eligible THEN log_ret_{k} END NULLS LAST)
+    + (count(CASE WHEN eligible THEN log_ret_{k} END) OVER (PARTITION BY d, CASE WHEN eligible THEN log_ret_{k} END) - 1) / 2e0)
+    / count(CASE WHEN eligible THEN log_ret_{k} END) OVER (PARTITION BY d) END AS pct_rank_{k}""" for k in (63, 252)) + """, dense_rank() OVER (ORDER BY code) - 1 AS umbrella_type_code, 0.175e0 AS tax_rate FROM fe
+),
+mi AS (
+  SELECT d, i, sum(ln(1 + ret)) OVER (ORDER BY i) AS l FROM (
+    SELECT d, i, CASE WHEN avg(CASE WHEN ret IS NOT NULL THEN 1e0 ELSE 0e0 END) >= 0.8 THEN coalesce(avg(least(greatest(ret, -0.2e0), 0.2e0)), 0e0) ELSE 0e0 END AS ret
+    FROM (SELECT d, i, price / nullif(lag(price) OVER (PARTITION BY code ORDER BY i), 0) - 1 AS ret FROM fp) GROUP BY d, i)
+),
+mk AS (
+  SELECT m.d, eq_trend63, eq_vol21, breadth200 FROM (
+    SELECT d, l - lag(l, 63) OVER (ORDER BY i) AS eq_trend63, CASE WHEN count(rr) OVER x >= 21 THEN stddev_samp(rr) OVER x * sqrt(252) END AS eq_vol21
+    FROM (SELECT *, l - lag(l) OVER (ORDER BY i) AS rr FROM mi) WINDOW x AS (ORDER BY i ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) m
+  JOIN (SELECT d, avg(CASE WHEN m IS NOT NULL AND price IS NOT NULL THEN CASE WHEN price > m THEN 1e0 ELSE 0e0 END END) AS breadth200 FROM (
+    SELECT d, price, CASE WHEN count(price) OVER w >= 120 THEN avg(price) OVER w END AS m FROM fp
+    WINDOW w AS (PARTITION BY code ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) GROUP BY d) b USING (d)
+),
+mc AS (
+  SELECT d, p AS policy_rate, p - lag(p, 63) OVER w AS d_policy_63, yoy AS cpi_yoy, p - yoy AS real_rate, l - lag(l, 63) OVER w AS usdtry_ret63,
+    CASE WHEN count(rr) OVER x >= 21 THEN stddev_samp(rr) OVER x * sqrt(252) END AS usdtry_vol21
+  FROM (SELECT *, l - lag(l) OVER (ORDER BY d) AS rr FROM (
+    SELECT cal.d, p.value / 100 AS p, ln(x.value) AS l, y.value AS yoy FROM cal
+    LEFT JOIN LATERAL (SELECT value FROM macro m WHERE m.series = 'policy_rate' AND m.available_from <= cal.d ORDER BY m.available_from DESC, m.date DESC LIMIT 1) p ON true
+    LEFT JOIN LATERAL (SELECT value FROM macro m WHERE m.series = 'usdtry' AND m.available_from <= cal.d ORDER BY m.available_from DESC, m.date DESC LIMIT 1) x ON true
+    LEFT JOIN LATERAL (SELECT value FROM yoy m WHERE m.available_from <= cal.d ORDER BY m.available_from DESC, m.date DESC LIMIT 1) y ON true))
+  WINDOW w AS (ORDER BY d), x AS (ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)
+),
+days AS (
+  SELECT d, coalesce(lead(d, 1) OVER w, d + CASE isodow(d) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) AS decision_at, lead(d, 22) OVER w AS label_end,
+    CASE WHEN lead(d, 22) OVER w IS NOT NULL THEN coalesce(lead(d, 23) OVER w, (SELECT max(d) + CASE isodow(max(d)) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END FROM cal)) END AS label_available_at
+  FROM cal WINDOW w AS (ORDER BY i)
+)"""
+
+
+@query("SELECT f.d AS feature_asof, f.code AS fund_code, CAST(decision_at AS DATE) AS decision_at, label_end, CAST(label_available_at AS DATE) AS label_available_at, "
+    + " AND ".join(f"{c} IS NOT NULL" for c in FEATURE_COLUMNS) + " AS feature_ready, label_end IS NOT NULL AS label_ready, eligible AS eligible_at_decision, false AS policy_today_excluded, "
+    + ", ".join("umbrella_type_code" if c == "umbrella_type_code" else f"round({c}, 7) + 0e0 AS {c}" for c in FEATURE_COLUMNS)
+    + ", round(y, 7) + 0e0 AS y FROM fk f JOIN days USING (d) LEFT JOIN mc USING (d) LEFT JOIN mk USING (d)", PANEL_SQL, MACRO_SQL, _ALL_PARTS)
+def feature_panel_all(spark, sf):
+    """All 35 columns of the panel, prices carried over gaps."""
+    p = ad.panel(spark, sf).withColumn("price", w.fill_forward())
+    cash = ad.with_cash(p).select("d", "cash").distinct()
+    cal = p.select("d", "i").distinct()
+    kinds = universe.category_code(p.select("code").distinct().withColumn("kind", F.col("code")), "kind", "umbrella_type_code")
+    kinds = kinds.select("code", "umbrella_type_code", F.lit(0.175).alias("tax_rate"), F.lit(False).alias("excluded"))
+    out = ft.build(p, cash, ft.macro_features(cal, ad.macro(spark, sf)), ft.market_features(p), kinds, least=60)
+    whole = {"umbrella_type_code"}
+    return out.select(*TIME_COLUMNS, *MASK_COLUMNS, *[F.col(c) if c in whole else r(c, 7).alias(c) for c in FEATURE_COLUMNS], r("y", 7).alias("y"))
+
+
 _STEP_SQL = """
 SELECT cal.d, {out} FROM cal LEFT JOIN LATERAL (
   SELECT value FROM {table} m WHERE {where} m.available_from <= cal.d ORDER BY m.available_from DESC, m.date DESC LIMIT 1) v ON true"""
