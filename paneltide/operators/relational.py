@@ -96,3 +96,17 @@ def pivot(df: DataFrame, ids: list[str], name: str, values: list[str], value: st
 
 def all_present(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def mode(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, n): the most frequent value of each group, the smallest of those that tie; null is no value."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col(value).alias("value")))
+    return counted.groupBy(by).agg(best.alias("_b")).select(by, F.col("_b.value").alias(value), (-F.col("_b.less")).alias("n"))
+
+
+def key_sets(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, in_left, in_right), one row for each key of either side: both flags are the intersection, one the difference."""
+    a = left.select(*keys).distinct().withColumn("in_left", F.lit(True))
+    b = right.select(*keys).distinct().withColumn("in_right", F.lit(True))
+    return a.join(b, keys, "full").select(*keys, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_left", "in_right")])

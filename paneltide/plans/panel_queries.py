@@ -442,3 +442,20 @@ SELECT fund_code, dense_rank() OVER (ORDER BY v) - 1 AS type_code FROM (
 def category_code(spark, sf):
     first = ad.master(spark, sf).filter("snapshot_date = DATE '1998-01-05'")
     return universe.category_code(first, "umbrella_type", "type_code").select("fund_code", "type_code")
+
+
+@query("""
+SELECT founder, umbrella_type, n FROM (SELECT *, row_number() OVER (PARTITION BY founder ORDER BY n DESC, umbrella_type) AS k FROM (
+  SELECT founder, umbrella_type, count(*) AS n FROM master GROUP BY 1, 2)) WHERE k = 1
+""", MASTER_SQL)
+def mode_by_founder(spark, sf):
+    return rel.mode(ad.master(spark, sf), "founder", "umbrella_type")
+
+
+@query("""
+SELECT code, i, bool_or(a) AS in_left, bool_or(NOT a) AS in_right FROM (
+  SELECT code, i, true AS a FROM panel WHERE price IS NOT NULL AND i % 3 <> 0 UNION ALL SELECT code, i, false FROM lab WHERE y IS NOT NULL) GROUP BY 1, 2
+""", PANEL_SQL, CASH_SQL, LABEL_SQL)
+def key_sets(spark, sf):
+    p = ad.panel(spark, sf)
+    return rel.key_sets(p.filter("price IS NOT NULL AND i % 3 <> 0"), ad.labels(p).filter("y IS NOT NULL"), ["code", "i"])
