@@ -259,6 +259,14 @@ def cash_only(view: View) -> tuple[dict[str, float], float]:
     return {}, 0.0
 
 
+class RunFailed(Exception):
+    """A strategy's error, by type and text."""
+
+    def __init__(self, cause: Exception):
+        super().__init__(f"{type(cause).__name__}: {cause}")
+
+
+REPLAY = ["i", "equity", "cash", "receivables", "stressed", "taxes", "turnover", "events"]
 EQUITY = "run_id string, i bigint, equity double, cash double, receivables double, stressed double, taxes double, turnover double, events string"
 
 
@@ -278,13 +286,39 @@ def run_all(panel: DataFrame, runs: DataFrame, strategies: dict[str, Callable[[p
         rows = rows[rows["i"] >= first["start"]].drop(columns=columns)
         if "tax_rate" not in rows:
             rows = rows.assign(tax_rate=float(first["tax"]))
-        got = replay(rows, make(first), own)
+        try:
+            got = replay(rows, make(first), own)
+        except RunFailed as failed:
+            got = pd.DataFrame(columns=REPLAY, index=[0]).assign(events=f"failed: {failed}")
         got.insert(0, "run_id", key[0])
         return got
 
     return panel.crossJoin(F.broadcast(runs)).groupBy("run_id").applyInPandas(one, EQUITY)
 
 
+def run_isolated(panel: DataFrame, runs: DataFrame, strategies: dict[str, Callable[[pd.Series], Strategy]] | None = None, rules: Rules = Rules()) -> DataFrame:
+    """``run_all`` where a strategy's error ends its own run only: that run is one row without figures, the error in ``events``."""
+
+    def guarded(make: Callable[[pd.Series], Strategy]) -> Callable[[pd.Series], Strategy]:
+        def safe(run: pd.Series) -> Strategy:
+            try:
+                inner = make(run)
+            except Exception as failed:
+                raise RunFailed(failed) from failed
+
+            def choose(view: View) -> tuple[dict[str, float], float]:
+                try:
+                    return inner(view)
+                except Exception as failed:
+                    raise RunFailed(failed) from failed
+
+            return choose
+
+        return safe
+
+    return run_all(panel, runs, {k: guarded(m) for k, m in (strategies or {}).items()}, rules)
+
+
 def tax_rate_on(day: Column, category: Column, schedule: list[tuple[str, dict[str, float]]], fallback: Column) -> Column:
     """Tax rate of a lot bought on ``day``: of the last regime that has begun and knows the category or a default; else ``fallback``.
 

@@ -72,3 +72,24 @@ def components_difference(before: DataFrame, after: DataFrame, key: str = "date"
     """Value, cash and receivables of two states side by side; internal moves change parts but not the sum."""
     total = lambda p: F.col(f"{p}.fund_value") + F.col(f"{p}.cash") + F.col(f"{p}.receivables")
     return before.alias("a").join(after.alias("b"), key).select(key, total("a").alias("before"), total("b").alias("after"), (total("b") - total("a")).alias("difference"))
+
+
+def weekly_excess(equity: DataFrame, base: str, start) -> DataFrame:
+    """(portfolio, n, ret, excess, latest): log return over the days since ``start`` that a portfolio shares with ``base``, and over its own.
+
+    ``equity``: portfolio, d, equity, one row for each day. Portfolios with fewer than two shared days are left out; ``latest`` is the
+    last equity of all days.
+    """
+    own = equity.filter(F.col("portfolio") != base)
+    other = equity.filter(F.col("portfolio") == base).select("d", F.col("equity").alias("_b"))
+    growth = lambda c: F.ln(F.max_by(c, "d") / F.min_by(c, "d"))
+    shared = own.filter(F.col("d") >= start).join(other, "d").groupBy("portfolio").agg(F.count("*").alias("n"), growth("equity").alias("ret"), growth("_b").alias("_r"))
+    latest = own.groupBy("portfolio").agg(F.max_by("equity", "d").alias("latest"))
+    return shared.filter("n >= 2").join(latest, "portfolio").select("portfolio", "n", "ret", (F.col("ret") - F.col("_r")).alias("excess"), "latest")
+
+
+def trailing_basket(returns: DataFrame, windows: tuple[int, ...] = (21, 63, 126)) -> DataFrame:
+    """One row, ``ret_<rows>``: log return of the last rows of a daily basket (i, r); null where it has fewer rows."""
+    back = returns.withColumn("_k", F.row_number().over(Window.orderBy(F.col("i").desc())))
+    last = lambda n: F.when(F.count("*") >= n, F.sum(F.when(F.col("_k") <= n, F.log1p("r"))))
+    return back.agg(*[last(n).alias(f"ret_{n}") for n in windows])

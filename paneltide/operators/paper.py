@@ -7,10 +7,13 @@ from collections import deque
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from paneltide.operators import allocation
 from paneltide.operators.allocation import founder_limits
-from paneltide.operators.ledger import Ledger, Lot
+from paneltide.operators.ledger import SLOT, Ledger, Lot
 
 LOTS = "fund_code string, units double, cost_per_unit double, tax_rate double, available_idx bigint"
 STATE = "cash double, due_json string"
@@ -39,8 +42,6 @@ class Order:
 
 def orders(book: Ledger, target: dict[str, float], prices: dict[str, float], day: int, founders: dict[str, str | None], blocked: dict[str, str] | None = None, threshold: float = 0.03, bought: dict[str, int] | None = None, min_hold: int = 21) -> tuple[list[Order], dict[str, str]]:
     """Orders towards a target and the reasons of what was left out. Held weight uses founder room before any sale."""
-    import pandas as pd
-
     blocked, bought, skipped = blocked or {}, bought or {}, {}
     equity = book.value(prices)
     held = {c: book.units(c) * prices[c] / equity for c in book.lots if book.units(c) > 0 and c in prices}
@@ -66,6 +67,34 @@ def orders(book: Ledger, target: dict[str, float], prices: dict[str, float], day
     return [Order(o.fund_code, o.side, o.value * scale) if o.side == "buy" else o for o in out], skipped
 
 
+def selected_weights(
+    selection: pd.DataFrame, prices: pd.DataFrame, founders: pd.Series, drawdown: float = 0.0, cov_rows: int = 126, height: float = 0.4, method: str = "single",
+    per_founder: int = 3, per_cluster: int = 3, fund: float = 0.25, founder: float = 0.30, ceiling: float = 0.30, fall: float = 0.12, fallen: float = 0.65,
+) -> pd.Series:
+    """Target weights of the selected funds, the rest in the cash slot.
+
+    ``selection``: code, lower, selected; ``prices``: days x codes. Covariance over the days on which all selected funds have a return,
+    clusters, at most so many funds of a founder and of a cluster (best lower end first), risk parity, caps, and a ceiling
+    on all of them together, which is ``fallen`` at most beyond a drawdown of ``fall``. Nothing selected or no prices: all in the slot.
+    """
+    wanted = selection.loc[selection["selected"].eq(True)]
+    lower = wanted.set_index("code")["lower"]
+    names = [c for c in lower.index if c in prices.columns]
+    returns = np.log(prices[names]).diff().dropna().iloc[-cov_rows:]
+    if returns.empty:
+        return pd.Series({SLOT: 1.0})
+    cov = allocation.shrunk_covariance(returns.to_numpy())
+    clusters = allocation.flat_clusters(allocation.linkage(allocation.distances(cov), method), len(names), height)
+    chosen = allocation.greedy(lower.reindex(names), set(), founders, pd.Series(clusters, names), len(names), per_founder, per_cluster)
+    if not chosen:
+        return pd.Series({SLOT: 1.0})
+    at = [names.index(c) for c in chosen]
+    weights = allocation.apply_caps(pd.Series(allocation.hrp(cov[np.ix_(at, at)], method), chosen), founders.reindex(chosen), fund, founder)
+    most = min(ceiling, fallen) if drawdown > fall else ceiling
+    weights = weights * min(1.0, most / weights.sum())
+    return pd.concat([weights, pd.Series({SLOT: max(0.0, 1.0 - weights.sum())})])
+
+
 def propose(existing: list[dict], day: date, made: list[Order], now: datetime, evidence: list[str]) -> tuple[dict, bool]:
     """A proposal for a day and whether it is new: one for each day, valid until noon of the next."""
     for p in existing:
@@ -117,3 +146,38 @@ def pilot_window(runs: DataFrame, moment: datetime, days: int, epoch: datetime |
     """Runs since the later of the window's start and the epoch."""
     start = max(moment - timedelta(days=days), epoch) if epoch else moment - timedelta(days=days)
     return runs.filter((F.col("started_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("started_at") < F.lit(moment).cast("timestamp_ntz")))
+
+
+def shadow_snapshot(results: DataFrame, days: DataFrame, asof: date) -> tuple[DataFrame, DataFrame]:
+    """(status, equity) of the runs of ``ledger.run_isolated``, as of a day. ``days``: i, d.
+
+    A run has failed if it has an error, no equity, or one that is not a finite number; then it has no equity row. Otherwise its
+    last equity is one row of that day.
+    """
+    value = F.col("equity")
+    odd = F.isnan(value) | (F.abs(value) == float("inf"))
+    error = F.max(F.when(F.col("events").startswith("failed: "), F.substring("events", 9, 10**6)))
+    held = F.when(value.isNotNull(), F.col("i"))
+    run = results.groupBy(F.col("run_id").alias("portfolio")).agg(
+        F.count(value).alias("_n"), F.count_if(odd).alias("_odd"), error.alias("_error"), F.max_by(value, held).alias("equity"), F.max(held).alias("i")
+    )
+    reason = F.coalesce("_error", F.when(F.col("_n") == 0, "no equity"), F.when(F.col("_odd") > 0, "equity is not finite"))
+    run = run.withColumn("error", reason).withColumn("asof", F.lit(asof))
+    ok = F.col("error").isNull()
+    status = run.select("portfolio", F.col("asof").alias("date"), F.when(ok, "ok").otherwise("failed").alias("status"), "error", F.when(ok, F.col("_n")).otherwise(0).alias("n_rows"))
+    return status, run.filter(ok).join(days, "i").select("portfolio", F.col("d").alias("date"), "equity", F.col("asof").alias("nav_asof"))
+
+
+def store_shadows(stored: tuple[DataFrame, DataFrame], made: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a snapshot; a repeat changes nothing. A failed portfolio loses what the same day's snapshot wrote before."""
+    (old_status, old_equity), (status, equity) = stored, made
+    failed = status.filter("status = 'failed'").select("portfolio", F.col("date").alias("nav_asof"))
+    kept = old_equity.join(failed, ["portfolio", "nav_asof"], "left_anti").join(equity.select("portfolio", "date"), ["portfolio", "date"], "left_anti")
+    keys = status.select("portfolio", "date")
+    return old_status.join(keys, ["portfolio", "date"], "left_anti").unionByName(status), kept.select(*equity.columns).unionByName(equity)
+
+
+def overall(status: DataFrame) -> str:
+    """``ok``, ``partial`` or ``failed`` for a snapshot's statuses."""
+    n, bad = status.agg(F.count("*"), F.count_if(F.col("status") == "failed")).first()
+    return "failed" if n and bad == n else "partial" if bad else "ok"

@@ -115,3 +115,95 @@ def test_suite(spark):
     text = suites.report(panel, runs, "Suite")
     assert text.count("top1") == 2 and "| pbo |" in text
     assert suites.friction(panel, runs.filter("tax > 0")).filter("drag < 0").count() == 0
+
+
+def test_shadow_snapshot_isolates_errors_and_repeats(spark):
+    import numpy as np
+
+    from paneltide.operators import ledger as lg, strategies as st
+
+    rng = np.random.default_rng(3)
+    panel = spark.createDataFrame(
+        [(f"F{c}", i, float(10 * np.exp(0.002 * c * i + rng.normal(0, 0.01))), 0.0002, 0.01 * (c - 1), c > 0, False, float(c), f"x{c}") for c in range(4) for i in range(40)],
+        "code string, i bigint, price double, cash double, lower double, selected_q20 boolean, stop boolean, score double, founder string",
+    )
+
+    def broken(view):
+        raise RuntimeError("no data")
+
+    makers = {"conformal": lambda run: st.conformal_hrp(3, 20), "fdr": lambda run: st.selected_hrp(3, 20), "broken": lambda run: broken}
+    runs = spark.createDataFrame([(k, k, 3, 5, 0, 0.1, 0.0) for k in [*makers, "cash"]], "run_id string, strategy string, n int, every int, start bigint, tax double, haircut double")
+    out = lg.run_isolated(panel, runs, makers)
+    days = spark.createDataFrame([(i, date(2026, 1, 1 + i % 28)) for i in range(40)], "i bigint, d date")
+    status, equity = paper.shadow_snapshot(out, days, date(2026, 3, 2))
+    got = {r.portfolio: (r.status, r.error, r.n_rows) for r in status.collect()}
+    assert got["broken"] == ("failed", "RuntimeError: no data", 0) and got["cash"] == got["fdr"] == ("ok", None, 40)
+    assert paper.overall(status) == "partial" and {r.portfolio for r in equity.collect()} == {"conformal", "fdr", "cash"}
+    last = {r.portfolio: r.equity for r in equity.collect()}
+    # Lower ends of F0 and F1 are not positive: the conformal run holds F2 and F3 alone, each capped.
+    assert last["conformal"] > last["cash"] and last["fdr"] > last["cash"] and last["conformal"] != last["fdr"]
+    once = paper.store_shadows((status.limit(0), equity.limit(0)), (status, equity))
+    twice = paper.store_shadows(once, (status, equity))
+    assert [sorted(map(str, a.collect())) for a in once] == [sorted(map(str, b.collect())) for b in twice]
+
+
+def test_conformal_ranks_and_stop():
+    import numpy as np
+    import pandas as pd
+
+    from paneltide.operators import ledger as lg, strategies as st
+
+    rng = np.random.default_rng(1)
+    prices = pd.DataFrame(np.exp(rng.normal(0, 0.01, (60, 4)).cumsum(0)), columns=list("ABCD"))
+    known = pd.DataFrame({"code": list("ABCD"), "lower": [0.02, -0.01, 0.01, np.nan], "score": [1.0, 2.0, 3.0, 4.0], "stop": False, "selected_q20": [False, True, False, None], "founder": list("wxyz"), "tax": [0.9, 0.0, 0.0, 0.0], "calm": 0.35})
+    held = lambda strategy, k=known: set(strategy(lg.View(k, prices, {}))[0])
+    assert held(st.conformal_hrp(2, 50)) == {"A", "C"} and held(st.conformal_hrp(1, 50)) == {"A"}
+    assert held(st.conformal_hrp(1, 50, taxed="tax")) == {"C"}
+    assert held(st.conformal_hrp(2, 50), known.assign(stop=True)) == {"C", "D"}
+    assert held(st.selected_hrp(3, 50)) == {"B"} and held(st.selected_hrp(3, 50), known.assign(selected_q20=False)) == set()
+    assert held(st.conformal_hrp(2, 50), known.assign(lower=-1.0)) == set()
+    assert st.gated(st.conformal_hrp(2, 50), "calm")(lg.View(known, prices, {}))[1] == 0.35
+
+
+def test_selected_weights():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    prices = pd.DataFrame(np.exp(rng.normal(0, 0.01, (80, 5)).cumsum(0)), columns=list("ABCDE"))
+    sel = pd.DataFrame({"code": list("ABCDX"), "lower": [0.1, 0.2, 0.3, 0.4, 0.5], "selected": [True, True, True, None, True]})
+    founders = pd.Series({"A": "p", "B": "p", "C": "q", "D": "q"})
+    w = paper.selected_weights(sel, prices, founders)
+    assert set(w.index) == {"A", "B", "C", paper.SLOT} and w.sum() == pytest.approx(1) and w.drop(paper.SLOT).sum() == pytest.approx(0.30)
+    assert paper.selected_weights(sel, prices, founders, drawdown=0.2, fallen=0.1)[paper.SLOT] == pytest.approx(0.9)
+    assert set(paper.selected_weights(sel, prices, founders, per_founder=1).index) == {"B", "C", paper.SLOT}
+    for none in (sel.assign(selected=False), sel[sel.code == "X"], sel.iloc[:0]):
+        assert paper.selected_weights(none, prices, founders).to_dict() == {paper.SLOT: 1.0}
+
+
+def test_proxy_basket_and_reports(spark):
+    from paneltide.operators import ops, universe as un
+
+    rows = [
+        ("A", "Para Piyasası Şemsiye Fonu", "Bir", "t1", 1.0, 1.0, "İşlem Görüyor", datetime(2026, 10, 1, 8), date(2026, 10, 1), "YAT", "Emeklilik Katkı", "c"),
+        ("B", "PARA PİYASASI", "İki", None, 1.0, 1.0, "İşlem Görüyor", datetime(2026, 9, 1, 8), date(2026, 10, 1), "EMK", "Devlet Katkısı", "c"),
+        ("C", "Para Piyasası", "  ", "t1", 1.0, 1.0, "İşlem Görüyor", datetime(2026, 10, 1, 8), date(2026, 10, 1), "EMK", "x", None),
+        ("D", "Para Piyasası", "Üç", "t2", 1.0, 1.0, "İşlem Görüyor", datetime(2026, 10, 1, 8), date(2026, 10, 1), None, None, None),
+        ("E", "Para Piyasası", "Kara Liste", "t1", 1.0, 1.0, "İşlem Görüyor", datetime(2026, 10, 1, 8), date(2026, 10, 1), "emk", None, "DEVLET KATKISI"),
+        ("F", "Para Piyasası", "Dört", "t1", 0.5, 1.0, "İşlem Görüyor", datetime(2026, 10, 1, 8), date(2026, 10, 1), "YAT", "devlet katkısı", "c"),
+        ("G", "Hisse", "Beş", "t1", 1.0, 1.0, "İşlem Görüyor", datetime(2026, 10, 1, 8), date(2026, 10, 1), "YAT", "y", "c"),
+    ]
+    m = spark.createDataFrame(rows, "fund_code string, umbrella_type string, founder string, tax_category string, buy_valor double, sell_valor double, tefas_status string, last_success_at timestamp_ntz, snapshot_date date, fund_class string, name string, category string")
+    cov = spark.createDataFrame([(c, 1.0 if c != "F" else 0.995, 100 + (c == "F")) for c in "ABCDEFG"], "fund_code string, share double, n_nav int")
+    ranks = lambda df: [x.fund_code for x in df.orderBy("rank").collect()]
+    assert ranks(un.proxy_basket(m, cov, "Para Piyasası", ("kara",))) == ["F", "A", "B"]
+    now = {"asof": F.lit(datetime(2026, 10, 2, 9, 15)).cast("timestamp_ntz")}
+    assert ranks(un.proxy_basket(m, cov, "Para Piyasası", ("kara",), **now)) == ["A"]
+    assert ranks(un.proxy_basket(m, cov, "Para Piyasası", ("kara",), first_day="2026-10-02", **now)) == []
+    assert sorted(x.fund_code for x in un.state_excluded(m, ("devlet katkısı",)).collect()) == ["B", "E"]
+    assert un.state_excluded(m, ()).count() == 0
+    eq = spark.createDataFrame([("base", date(2026, 1, d), 100.0) for d in (1, 2, 3, 5)] + [("p", date(2026, 1, d), 100.0 + d) for d in (1, 3, 4, 5)] + [("q", date(2026, 1, 4), 9.0)], "portfolio string, d date, equity double")
+    [x] = ops.weekly_excess(eq, "base", F.lit(date(2026, 1, 2))).collect()
+    assert (x.portfolio, x.n, x.latest) == ("p", 2, 105.0) and x.ret == pytest.approx(x.excess)
+    [x] = ops.trailing_basket(spark.createDataFrame([(i, 0.01) for i in range(30)], "i int, r double")).collect()
+    assert x.ret_63 is None and x.ret_21 == pytest.approx(0.20895693)
