@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window, functions as F
 
 from paneltide.functions import calendars
-from paneltide.operators import allocation, features as ft, ledger, models, relational as rel, robustness as rb, strategies, windows as w
-from paneltide.plans import adapters as ad
+from paneltide.operators import allocation, conformal as cf, features as ft, ledger, models, ops, paper, relational as rel, robustness as rb, strategies, windows as w
+from paneltide.plans import adapters as ad, suites
 from paneltide.plans.adapters import CASH_SQL, LABEL_SQL, MASTER_SQL, PANEL_SQL
 from paneltide.plans.registry import query, rounded as r
 
@@ -176,6 +178,57 @@ def momentum_hrp_equity(spark, sf):
     return ledger.run_all(p, _runs(spark, [("hrp", "hrp", 3, 4, 20, 0.175, 0.0), ("calm", "calm", 3, 4, 20, 0.175, 0.0)]), makers)
 
 
+def suite_panel(spark, sf):
+    """The panel with all that the suites' strategies and gates read: each row carries what was issued for the day after it."""
+    p = _backtest_panel(spark, sf).withColumn("founder", F.substring("code", 1, 1))
+    index = ft.index_level(ad.panel(spark, sf))
+    pred = ad.predictions(ad.panel(spark, sf)).filter("q50 IS NOT NULL")
+    lower = cf.fixed_alpha(pred, 0.2).select("code", "i", "lower")
+    chosen = cf.select_bh(cf.p_values(pred)).select("code", "i", "selected_q10", "selected_q20", "selected_q30")
+    stop = cf.kill_switch(pred.withColumn("zero", F.lit(0.0)), {0.5: "q50"}, {0.5: "zero"}).select((F.col("at") - 1).alias("i"), "stop")
+    market = ad.with_cash(index.select(F.lit("index").alias("code"), "i", F.col("level").alias("price"))).withColumn("cash_sum", w.running_log_growth("cash"))
+    spread = strategies.spread_levels(market, 26).select("i", F.col("level").alias("spread"))
+    rule = strategies.rule_levels(index, 40, 8).select("i", F.col("level").alias("rule"))
+    return p.join(lower, ["code", "i"], "left").join(chosen, ["code", "i"], "left").join(spread, "i", "left").join(stop, "i", "left").join(rule, "i", "left")
+
+
+@query()
+def suite_full(spark, sf):
+    """All named strategies and gates of the suites side by side, each run isolated from the errors of the others."""
+    return suites.run_suite(suite_panel(spark, sf), "full", 3, 8, 52, 20).select("run_id", "i", "equity", "cash", "turnover", "events")
+
+
+@query()
+def shadow_status(spark, sf):
+    """A shadow snapshot of the baseline suite and of a strategy that fails."""
+    panel = _backtest_panel(spark, sf).withColumn("founder", F.substring("code", 1, 1))
+    out = suites.run_suite(panel, "baseline", 3, 8, 52, 20, also=("conformal_hrp",))
+    days = calendars.trading_calendar(ad.observations(spark, sf)).select("i", "d")
+    status, equity = paper.shadow_snapshot(out, days, date(1998, 12, 1))
+    return status.join(equity.select("portfolio", "equity"), "portfolio", "left")
+
+
+@query("""
+SELECT o.run_id AS portfolio, count(*) AS n, round(ln(arg_max(o.equity, d) / arg_min(o.equity, d)), 8) + 0e0 AS ret,
+  round(ln(arg_max(o.equity, d) / arg_min(o.equity, d)) - ln(arg_max(b.equity, d) / arg_min(b.equity, d)), 8) + 0e0 AS excess, round(arg_max(o.equity, d), 8) + 0e0 AS latest
+FROM eq o JOIN eq b USING (d) WHERE b.run_id = 'PROMO' AND o.run_id <> 'PROMO' AND d >= DATE '1998-06-01' GROUP BY 1
+""", PANEL_SQL, CASH_SQL, LABEL_SQL, _EQ)
+def weekly_excess(spark, sf):
+    e = _equity(spark, sf).select(F.col("run_id").alias("portfolio"), "d", "equity")
+    out = ops.weekly_excess(e, "PROMO", F.lit("1998-06-01").cast("date"))
+    return out.select("portfolio", "n", *[r(c).alias(c) for c in ("ret", "excess", "latest")])
+
+
+@query("""
+SELECT round(sum(x) FILTER (WHERE k <= 21), 8) + 0e0 AS ret_21, round(sum(x) FILTER (WHERE k <= 126), 8) + 0e0 AS ret_126, CAST(NULL AS DOUBLE) AS ret_5000
+FROM (SELECT i, ln(1 + avg(coalesce(exp(r) - 1, 0))) AS x, row_number() OVER (ORDER BY i DESC) AS k FROM lab GROUP BY i)
+""", PANEL_SQL, CASH_SQL, LABEL_SQL)
+def trailing_basket(spark, sf):
+    day = ad.labels(ad.panel(spark, sf)).groupBy("i").agg(F.avg(F.coalesce(F.exp("r") - 1, F.lit(0.0))).alias("r"))
+    out = ops.trailing_basket(day, (21, 126, 5000))
+    return out.select(*[r(c).alias(c) for c in out.columns])
+
+
 @query()
 def cash_slot_equity(spark, sf):
     level = F.exp(F.sum(F.log1p("cash")).over(w.to_date()))

@@ -338,3 +338,39 @@ def bad_cells(spark, sf):
 def aligned_vectors(spark, sf):
     m = ad.master(spark, sf).select("fund_code", "snapshot_date", "score")
     return joins.aligned(m.filter("snapshot_date = DATE '1998-01-05' AND score > 0"), m.filter("snapshot_date = DATE '1998-02-02' AND score < 5000"), "fund_code", "score", ("old_w", "new_w"))
+
+
+_COVER_SQL = """
+cover AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS fund_code, count(DISTINCT l_shipdate) AS n_nav FROM lineitem GROUP BY 1),
+cov AS (SELECT *, n_nav / (SELECT max(n_nav) FROM cover)::DOUBLE AS share FROM cover),
+cand AS (SELECT * FROM master JOIN cov USING (fund_code) WHERE snapshot_date = DATE '1998-03-02' AND umbrella_type LIKE '%Şemsiye  Fonu%' AND founder <> 'BRAZIL' AND share >= 0.5e0),
+best AS (SELECT tax_category AS m FROM cand WHERE tax_category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+basket AS (SELECT * FROM cand WHERE coalesce(tax_category, (SELECT m FROM best)) = (SELECT m FROM best))"""
+
+
+def _proxy(spark, sf, **strict):
+    li = ad.table(spark, sf, "lineitem")
+    cover = li.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("fund_code")).agg(F.countDistinct("l_shipdate").alias("n_nav"))
+    cover = cover.crossJoin(F.broadcast(cover.agg(F.max("n_nav").alias("_m")))).select("fund_code", "n_nav", (F.col("n_nav") / F.col("_m")).alias("share"))
+    out = universe.proxy_basket(rel.latest_snapshot(ad.master(spark, sf)), cover, "Şemsiye Fonu", ("BRAZIL",), 0.5, **strict)
+    return out.select("fund_code", "n_nav", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT fund_code, n_nav, row_number() OVER (ORDER BY n_nav DESC, fund_code) AS rank FROM basket ORDER BY rank LIMIT 5", MASTER_SQL, _COVER_SQL)
+def proxy_basket(spark, sf):
+    return _proxy(spark, sf)
+
+
+@query(f"""
+SELECT fund_code, n_nav, row_number() OVER (ORDER BY n_nav DESC, fund_code) AS rank FROM basket
+WHERE tax_category IS NOT NULL AND {STATUS_FOLD_SQL} LIKE '%işlem görüyor%' AND buy_valor = floor(buy_valor) AND sell_valor = floor(sell_valor)
+  AND last_success_at BETWEEN TIMESTAMP '1998-02-23 09:15:00' AND TIMESTAMP '1998-03-02 09:15:00'
+ORDER BY rank LIMIT 5
+""", MASTER_SQL, _COVER_SQL)
+def proxy_basket_strict(spark, sf):
+    return _proxy(spark, sf, asof=F.lit("1998-03-02 09:15:00").cast("timestamp_ntz"), first_day="1998-02-01")
+
+
+@query("SELECT fund_code, name, category, umbrella_type FROM master WHERE snapshot_date = DATE '1998-03-02' AND fund_class = 'EMK' AND (category = 'Hisse' OR name LIKE '%IRAN%')", MASTER_SQL)
+def state_excluded(spark, sf):
+    return universe.state_excluded(rel.latest_snapshot(ad.master(spark, sf)), ("hisse", "IRAN"))

@@ -207,3 +207,20 @@ def test_proxy_basket_and_reports(spark):
     assert (x.portfolio, x.n, x.latest) == ("p", 2, 105.0) and x.ret == pytest.approx(x.excess)
     [x] = ops.trailing_basket(spark.createDataFrame([(i, 0.01) for i in range(30)], "i int, r double")).collect()
     assert x.ret_63 is None and x.ret_21 == pytest.approx(0.20895693)
+
+
+def test_named_suites(spark):
+    import numpy as np
+
+    from paneltide.plans import suites
+
+    rng = np.random.default_rng(4)
+    rows = [(f"F{c}", i, float(10 * np.exp(0.002 * c * i + rng.normal(0, 0.01))), 0.0002, 0.01 * (c - 1), c > 0, float(c), f"x{c}", 0.35) for c in range(4) for i in range(40)]
+    panel = spark.createDataFrame(rows, "code string, i bigint, price double, cash double, lower double, selected_q20 boolean, score double, founder string, spread double")
+    out = suites.run_suite(panel, "baseline", 3, 5, 20, also=("selected_q20", "momentum_hrp@spread", "nosuch")).toPandas()
+    failed = out[out.events.str.startswith("failed")]
+    assert list(failed.run_id) == ["nosuch"] and "ValueError" in failed.events.iloc[0] and len(out) == 5 * 40 + 1
+    cash = out[out.i == 30].set_index("run_id")["cash"]
+    assert cash["momentum_hrp"] < cash["momentum_hrp@spread"] < cash["cash"]
+    with pytest.raises(KeyError):
+        suites.run_suite(panel, "other")
