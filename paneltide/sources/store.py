@@ -56,6 +56,12 @@ class Store:
         if self.read_only:
             raise ReadOnlyError(f"{what}: the store is read-only")
 
+    def catalog(self) -> DataFrame:
+        """(table, column, type, position) of every table of the generation, canonical or not."""
+        found = sorted(p for p in Path(resolve(self.root)).glob("*.parquet"))
+        rows = [(p.stem, f.name, f.dataType.simpleString(), n) for p in found for n, f in enumerate(self.spark.read.parquet(str(p)).schema)]
+        return self.spark.createDataFrame(rows, "table string, column string, type string, position int")
+
     def table(self, name: str) -> DataFrame:
         return migrated(self.spark.read.parquet(f"{self.folder}/{name}.parquet"), STORE_TABLES[name])
 

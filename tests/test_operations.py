@@ -224,3 +224,30 @@ def test_named_suites(spark):
     assert cash["momentum_hrp"] < cash["momentum_hrp@spread"] < cash["cash"]
     with pytest.raises(KeyError):
         suites.run_suite(panel, "other")
+
+
+def test_tracking_catalog_and_weekly_report(spark, tmp_path):
+    from paneltide.plans import reports
+    from paneltide.sources import tracking as tr
+    from paneltide.sources.store import Store
+
+    assert tr.config_hash({"a": 1, "b": date(2026, 1, 1)}) == tr.config_hash({"b": date(2026, 1, 1), "a": 1}) != tr.config_hash({"a": 2})
+    assert tr.revision(str(tmp_path)) == "nogit"
+    path = str(tmp_path / "log")
+    assert tr.log_runs(spark, path, [{"strategy": "s", "cagr": 0.5, "vol": float("nan"), "note": "x" * 300, "none": None}], {}, "e", "2026-01-01", str(tmp_path))
+    [x] = tr.read_log(spark, path).collect()
+    assert x.run == "s" and x.metrics == {"cagr": 0.5} and len(x.params["note"]) == 200 and x.tags["data_asof"] == "2026-01-01"
+    (tmp_path / "file").write_text("")
+    assert not tr.log_runs(spark, str(tmp_path / "file" / "log"), [{}], {}, "e")
+    got = Store(spark, str(tmp_path / "store"), read_only=False).catalog()
+    assert {r.table for r in got.collect()} == {"fund_master", "fund_nav", "macro", "runs"}
+    assert got.groupBy("table", "position").count().filter("count > 1").count() == 0
+
+    assert reports.gate([True, None], 40) is reports.gate([True], 27) is reports.gate([True], None) is None
+    assert reports.gate([True, True], 28) is True and reports.gate([True, False], 28) is False
+    excess = spark.createDataFrame([("b<1>", 5, 0.02, 0.01, 103.0), ("a", 5, -0.01, -0.02, 99.0)], "portfolio string, n int, ret double, excess double, latest double")
+    text, message = reports.weekly(date(2026, 3, 2), excess, {"episodes": 3, "rate": 0.75, "ready": True}, None, 4, {"status": "ok", "n": 5, "difference": 0.004})
+    assert text.index("| a | -1.00 | -2.00 | 99.00 |") < text.index("| b<1> | 2.00 | +1.00 | 103.00 |") and "+0.40 pp over 5 days (met)" in text
+    assert "real capital" in text and "operations gate: no data" in text and "b&lt;1&gt;" in message
+    text, _ = reports.weekly(date(2026, 3, 2), excess.limit(0), None, False, 0, None)
+    assert "not assessed (no data)" in text and "gate: not met" in text and "real capital" not in text
