@@ -7,7 +7,7 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +120,23 @@ def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
+#: Bytes of one text that are split into words at once.
+STRETCH = 1 << 20
+
+
+def byte_words(raw: bytes, stretch: int = STRETCH) -> Iterator[list[bytes]]:
+    """Words between ASCII white space, a stretch of the text at a time; cuts are made at spaces only."""
+    at = 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + stretch)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
 # -- hashing ----------------------------------------------------------------------------------
 
 

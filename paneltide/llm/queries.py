@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.llm import common, decontaminate, html_text, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, span_dedup, toxicity
+from paneltide.llm import common, decontaminate, dominance, html_text, importance, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, simhash, span_dedup, toxicity
 from paneltide.llm.sql import ORACLE
 
 
@@ -50,8 +50,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(common.table(spark, sf_dir, "documents"))
 
 
+def op11_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(common.table(spark, sf_dir, "documents"))
+
+
+def op12_crc_ring_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op13_dominance_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.digest(common.table(spark, sf_dir, "sales"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_edit_match, op2_toxic_spans, op3_best_two_fit, op4_line_dedup, op5_main_text, op6_credential_links, op7_quadratic_discriminant, op8_sentence_spans, op9_near_duplicates, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_edit_match, op2_toxic_spans, op3_best_two_fit, op4_line_dedup, op5_main_text, op6_credential_links, op7_quadratic_discriminant, op8_sentence_spans, op9_near_duplicates, op10_quality_rules, op11_pigeonhole_simhash, op12_crc_ring_resampling, op13_dominance_tiles)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -97,3 +97,53 @@ SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHE
 FROM (SELECT doc_id, ['assign', 'access', 'hex', 'id', 'secret', 'endpoint'] AS name FROM d) d LEFT JOIN allspans a ON a.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
+
+#: CRC-32 of what a list of bytes holds, bit by bit.
+_crc = lambda values: f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295)"
+
+ORACLE["op13_dominance_tiles"] = f"""
+WITH a AS (
+  SELECT sale_id, CAST(floor(epoch(CAST(sold_at AS TIMESTAMP)) / 3600) AS BIGINT) AS slot,
+    CASE WHEN isfinite(total) AND abs(total) < 1e15 THEN CAST(floor(floor(100 * total + 0.5) / 100) AS BIGINT) END AS level,
+    1 + {_crc("list_transform(string_split(coalesce(sale_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)")} % 2 AS stands
+  FROM sales
+),
+c AS (SELECT slot, level, count(*) AS n, sum(stands) AS w FROM a WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
+u AS (
+  SELECT x.slot, x.level, sum(y.n) AS n_sales, sum(y.w) AS n_rows
+  FROM c x LEFT JOIN c y ON y.slot <= x.slot AND y.level > x.level GROUP BY ALL
+)
+SELECT sale_id, a.slot, a.level, CASE WHEN a.slot IS NOT NULL AND a.level IS NOT NULL THEN CAST(coalesce(n_sales, 0) AS BIGINT) END AS n_sales,
+  CASE WHEN a.slot IS NOT NULL AND a.level IS NOT NULL THEN CAST(coalesce(n_rows, 0) AS BIGINT) END AS n_rows
+FROM a LEFT JOIN u ON u.slot = a.slot AND u.level = a.level
+"""
+
+_digits = "0123456789ABCDEF"
+_bytes = f"list_transform(range(1, length(hx), 2), lambda p: ((instr('{_digits}', substr(hx, p, 1)) - 1) * 16 + instr('{_digits}', substr(hx, p + 1, 1)) - 1)::BIGINT)"
+ORACLE["op12_crc_ring_resampling"] = f"""
+WITH tx AS (
+  SELECT 0 AS src, row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), item_id, coalesce(text, '') FROM benchmark
+),
+w AS (
+  SELECT src, rid, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM tx
+),
+f AS (
+  SELECT src, rid, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS feature FROM w
+),
+h AS (SELECT feature, hex(encode(feature)) AS hx FROM (SELECT DISTINCT feature FROM f)),
+b AS (SELECT feature, {_crc(_bytes)} % 10000 AS bucket FROM h),
+fb AS (SELECT src, rid, bucket FROM f JOIN b USING (feature)),
+k AS (SELECT bucket, count(*) FILTER (WHERE src = 0) AS s, count(*) FILTER (WHERE src = 1) AS t FROM fb GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM k)::BIGINT + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM k)::BIGINT + 10000)))) AS gain FROM k
+),
+m AS (SELECT rid, count(*) AS n_features, floor(sum(gain) / count(*)) AS weight FROM fb JOIN g USING (bucket) WHERE src = 0 GROUP BY rid),
+n AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, len(ws)::BIGINT AS n_words,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN m USING (rid) WHERE src = 0
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS fit FROM n)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank, n_words FROM r
+"""
