@@ -32,6 +32,10 @@ END_ID = 2
 #: Fixed value: how byte-level vocabularies split a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+#: Fixed value: what the split's ``\\s`` matches. A run of so many is cut out before the split, whose matcher would recurse along it.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = re.compile(f"[{BLANKS}]{{1000,}}")
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -66,12 +70,22 @@ def encoder(vocabulary: str):
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     between = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
+    def plain(text: str) -> list[int]:
+        ids: list[int] = []
+        at = 0
+        for run in LONG_BLANK.finditer(text):
+            # A run before a word is one piece but for its last character, which goes with the word; a run at the end is one piece.
+            cut = run.end() - (run.end() < len(text))
+            ids += own.encode_ordinary(text[at : run.start()]) + own.encode_ordinary(text[run.start() : cut])
+            at = cut
+        return ids + own.encode_ordinary(text[at:])
+
     def encode(text: str) -> list[int]:
         if between is None or not any(t in text for t in special):
-            return own.encode_ordinary(text)
+            return plain(text)
         ids: list[int] = []
         for i, part in enumerate(between.split(text)):
-            ids += [special[part]] if i % 2 else own.encode_ordinary(part)
+            ids += [special[part]] if i % 2 else plain(part)
         return ids
 
     return encode
