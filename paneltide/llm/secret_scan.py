@@ -27,11 +27,15 @@ WEAK_ID = r"AKIA[A-Z0-9]{6,}|(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}"
 WEAK_SECRET = r"[A-Za-z0-9+/]{32,}={0,2}|[0-9a-f]{12,15}"
 ENDPOINT = r"""https?://[^\s"'<>]{4,}|[a-z0-9-]+\.amazonaws\.com"""
 
+#: ``ENDPOINT`` for one scan: a host begins where its run of characters does (or where the last match ended), so no run is read
+#: from each of its positions. It has the same matches.
+_ENDPOINT = r"""https?://[^\s"'<>]{4,}|(?:(?<![a-z0-9-])|\G)[a-z0-9-]++\.amazonaws\.com"""
+
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 
 
 #: The patterns that are searched, by the kind of their matches; an ``assign`` match is judged by its value.
-PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}", "id": WEAK_ID, "secret": WEAK_SECRET, "endpoint": ENDPOINT}
+PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}", "id": WEAK_ID, "secret": WEAK_SECRET, "endpoint": _ENDPOINT}
 #: Characters of an assignment's value: from ``LONG`` on it is a base span, from ``SHORT`` on a weak secret.
 LONG, SHORT = 12, 6
 
