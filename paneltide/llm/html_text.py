@@ -216,10 +216,11 @@ class Page:
                 continue
             name = _NAME.match(source, lt + 1 + closing) if letter else None
             begin = name.end() if name else lt + 2
-            end, paired = self._tag_end(source, begin, paired and letter)
+            end, pairing = self._tag_end(source, begin, paired and letter)
             at = end + 1
-            if not letter:
+            if not letter:  # a declaration: quoted marks end it, which says nothing about the tags that follow
                 continue
+            paired = pairing
             tag = name[0].lower()
             if closing:
                 self._finish(tag)

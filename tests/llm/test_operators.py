@@ -1,6 +1,7 @@
 """Each corpus operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import html.parser
 import re
 import time
 import zlib
@@ -837,3 +838,66 @@ def test_used_up_tables_are_deleted(spark):
     assert folder.exists()
     two = common.written(one.filter("id > 2"), "two", [one])
     assert not folder.exists() and two.count() == 2
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\r\n", "\u3000", "\xa0 "])
+def test_blank_runs_of_megabytes_have_the_ids_of_tokenizers(both_encoders, run):
+    ours, theirs = both_encoders
+    for n, sides in ((2_000_000, [("a", "b")]), (1500, [("", "b"), ("a", ""), ("it's ", " 1"), ("", ""), ("x<|endoftext|>", "<|endoftext|>y")]), (999, [("a", "b")])):
+        for before, after in sides:
+            text = before + (run * n)[:n] + after
+            assert ours(text) == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_blank_run_is_packed(spark):
+    text = "a" + "\n" * 1_200_000 + "b"
+    rows = packing.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(r.length for r in rows) == len(packing.encoder(packing.default_vocabulary())(text)) + 1
+
+
+def test_quotes_after_a_declaration(page_model):
+    for lead in ("", "<!DOCTYPE html>", "<?xml version='1'?>", "<!-- \" --><!doctype html>"):
+        assert html_text.Page(lead + '<p title="a > b">x</p>').text == ["x"]
+    assert html_text.Page('<!DOCTYPE html "a>b"><p>x</p>').text == ['b">', "x"]
+
+
+class Reader(html.parser.HTMLParser):
+    """Text as the standard parser sees it, white space aside."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.said = []
+
+    def handle_data(self, data):
+        self.said.append(data)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(
+    st.sampled_from(["<p>", "</p>", "<div class='a b'>", "</div>", "<b>", "</b>", "<br>", "<li>", "<a href=\"x>y\">", "</a>", "<td title='1 > 0'>", "<!doctype html>", "<!-- a > b -->", "<span data-x=\"<p>\">", "</span>", "<img alt='>' src=x>"]),
+    st.text("abc &;x19<> ", max_size=6).filter(lambda t: "<" not in t),
+    st.sampled_from(["&amp;", "&lt;", "&#65;", "&nbsp;"]),
+), max_size=25))
+def test_reader_against_the_standard_parser(parts):
+    source = "".join(parts)
+    reader = Reader()
+    reader.feed(source)
+    reader.close()
+    squeeze = lambda t: "".join(t.split())
+    assert squeeze("".join(html_text.Page(source).text)) == squeeze("".join(reader.said))
+
+
+@pytest.mark.parametrize("unit", ["a", "-", "a-", "9f", "http", "AKIA", "token ", "x.amazonaws.com"])
+def test_secrets_in_long_runs_are_linear(spark, unit):
+    began = time.perf_counter()
+    rows = secret_scan.digest(spark.createDataFrame([(1, unit * (4_000_000 // len(unit)))], "doc_id long, text string")).collect()
+    assert len(rows) == 1 and time.perf_counter() - began < 60
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "-", ".amazonaws.com", "http://", "https://", "abcd", " ", '"', ".", "é", "A"]), max_size=14))
+def test_anchored_endpoint_has_the_same_matches(parts):
+    import regex
+
+    text = "".join(parts)
+    assert [m.span() for m in regex.finditer(secret_scan._ENDPOINT, text)] == [m.span() for m in regex.finditer(secret_scan.ENDPOINT, text)]
