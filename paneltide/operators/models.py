@@ -1,153 +1,12 @@
-"""Models without outside libraries: quantile boosting, walk-forward refits, purged cross-validation, jump regimes."""
+"""Jump regimes without outside libraries (boosting: ``boosting.py``; hidden-Markov regimes and the gate: ``regimes.py``)."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-class QuantileBoost:
-    """Histogram gradient boosting for a quantile: leaves take the quantile of their residuals."""
-
-    def __init__(self, alpha: float, rounds: int = 60, depth: int = 3, rate: float = 0.1, least: int = 20, bins: int = 32) -> None:
-        self.alpha, self.rounds, self.depth, self.rate, self.least, self.bins = alpha, rounds, depth, rate, least, bins
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> QuantileBoost:
-        self.cuts = [np.unique(np.nanquantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
-        b = self._binned(x)
-        self.base = float(np.quantile(y, self.alpha))
-        f, self.trees = np.full(len(y), self.base), []
-        for _ in range(self.rounds):
-            g = np.where(y > f, self.alpha, self.alpha - 1)
-            tree: dict[int, tuple] = {}
-            node = np.ones(len(y), np.int64)
-            for _level in range(self.depth):
-                for k in np.unique(node):
-                    if k in tree or (m := node == k).sum() < 2 * self.least:
-                        continue
-                    split = self._split(b[m], g[m])
-                    if split:
-                        tree[int(k)] = split
-                go = np.zeros(len(y), bool)
-                for k in np.unique(node):
-                    if int(k) in tree and (m := node == k).any():
-                        j, c = tree[int(k)]
-                        node[m] = 2 * k + (b[m, j] > c)
-                        go |= m
-                if not go.any():
-                    break
-            leaf = {int(k): self.rate * float(np.quantile((y - f)[node == k], self.alpha)) for k in np.unique(node)}
-            f = f + np.vectorize(leaf.get)(node)
-            self.trees.append((tree, leaf))
-        return self
-
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.where(np.isnan(c), len(q) + 1, np.searchsorted(q, c, "left")) for q, c in zip(self.cuts, x.T)], 1)
-
-    def _split(self, b: np.ndarray, g: np.ndarray) -> tuple[int, int] | None:
-        best, out, n = 1e-9, None, len(g)
-        for j in range(b.shape[1]):
-            s = np.bincount(b[:, j], g, self.bins + 2).cumsum()[:-1]
-            c = np.bincount(b[:, j], minlength=self.bins + 2).cumsum()[:-1]
-            ok = (c >= self.least) & (n - c >= self.least)
-            if ok.any():
-                gain = np.where(ok, s**2 / np.maximum(c, 1) + (g.sum() - s) ** 2 / np.maximum(n - c, 1) - g.sum() ** 2 / n, -1)
-                k = int(gain.argmax())
-                if gain[k] > best:
-                    best, out = gain[k], (j, k)
-        return out
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        b = self._binned(x)
-        f = np.full(len(x), self.base)
-        for tree, leaf in self.trees:
-            node = np.ones(len(x), np.int64)
-            for _ in range(self.depth):
-                for k in np.unique(node):
-                    if int(k) in tree:
-                        m = node == k
-                        j, c = tree[int(k)]
-                        node[m] = 2 * k + (b[m, j] > c)
-            f += np.array([leaf.get(int(k), 0.0) for k in node])
-        return f
-
-
-#: Fixed values for panels of full size: boosting rounds, least rows of a leaf, and 2**5 leaves at most.
-PRODUCTION = {"rounds": 300, "depth": 5, "rate": 0.05, "least": 1000}
-
-
-def refits(decisions: DataFrame) -> DataFrame:
-    """(refit, next_refit): first decision position of each month."""
-    from pyspark.sql import Window
-
-    first = decisions.select("i", "d").distinct().groupBy(F.trunc("d", "month").alias("m")).agg(F.min("i").alias("refit"))
-    return first.select("refit", F.lead("refit").over(Window.orderBy("refit")).alias("next_refit"))
-
-
-def walk_forward(panel: DataFrame, features: list[str], alphas: tuple[float, ...] = (0.1, 0.5, 0.9), delay: int = 23, **params) -> DataFrame:
-    """Monthly anchored refits, one group for each (refit, alpha): predictions of the month from all rows matured by then.
-
-    ``params`` are the model's; ``**PRODUCTION`` for panels of full size. ``panel``: code, d, i, features, y. Training rows of a refit at position R have ``i <= R - delay``.
-    """
-    r = refits(panel)
-    grid = r.crossJoin(panel.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double"))
-    used = panel.select("code", "d", "i", "y", *features)
-    train = (F.col("i") <= F.col("refit") - delay) & F.col("y").isNotNull()
-    predict = (F.col("i") >= F.col("refit")) & (F.col("next_refit").isNull() | (F.col("i") < F.col("next_refit")))
-    rows = used.crossJoin(F.broadcast(grid)).filter(train | predict)
-    schema = "code string, d date, i bigint, alpha double, q double, refit bigint, train_max bigint"
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        refit, alpha = key
-        fit = g[(g["i"] <= refit - delay) & g["y"].notna()]
-        out = g[g["i"] >= refit]
-        if len(fit) < 40 or out.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        fit, out = fit.sort_values(["i", "code"]), out.sort_values(["i", "code"])
-        model = QuantileBoost(alpha, **params).fit(fit[features].to_numpy(float), fit["y"].to_numpy(float))
-        return out[["code", "d", "i"]].assign(alpha=alpha, q=model.predict(out[features].to_numpy(float)), refit=refit, train_max=int(fit["i"].max()))
-
-    return rows.groupBy("refit", "alpha").applyInPandas(one, schema)
-
-
-def cpcv_splits(n: int, blocks: int = 6, tested: int = 2, horizon: int = 22, embargo: int = 5) -> list[tuple[int, set[int], set[int]]]:
-    """(split, training positions, test positions): every pair of blocks is tested once; training keeps clear of the whole tested stretch."""
-    edges = np.linspace(0, n, blocks + 1).astype(int)
-    out = []
-    for k, c in enumerate(combinations(range(blocks), tested)):
-        test = {i for b in c for i in range(edges[b], edges[b + 1])}
-        first, last = min(test), max(test)
-        out.append((k, {i for i in range(n) if i not in test and (i + horizon < first or i > last + embargo)}, test))
-    return out
-
-
-def cpcv(panel: DataFrame, features: list[str], grid: list[dict], alphas: tuple[float, ...] = (0.1, 0.5, 0.9), blocks: int = 6) -> DataFrame:
-    """Mean pinball loss over the alphas of every (split, parameters): one group each."""
-    spark = panel.sparkSession
-    n = panel.agg(F.max("i")).first()[0] + 1
-    splits = cpcv_splits(n, blocks)
-    jobs = spark.createDataFrame([(s, p) for s, _, _ in splits for p in range(len(grid))], "split int, params int")
-    rows = panel.select("code", "i", "y", *features).filter("y IS NOT NULL").crossJoin(F.broadcast(jobs))
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        _, train, test = splits[key[0]]
-        g = g.sort_values(["i", "code"])
-        a, b = g[g["i"].isin(train)], g[g["i"].isin(test)]
-        if len(a) < 40 or b.empty:
-            return pd.DataFrame({"split": [], "params": [], "loss": [], "n_train": [], "n_test": []})
-        losses = []
-        for alpha in alphas:
-            q = QuantileBoost(alpha, **grid[key[1]]).fit(a[features].to_numpy(float), a["y"].to_numpy(float)).predict(b[features].to_numpy(float))
-            e = b["y"].to_numpy(float) - q
-            losses.append(float(np.where(e >= 0, alpha * e, (alpha - 1) * e).mean()))
-        return pd.DataFrame({"split": [key[0]], "params": [key[1]], "loss": [float(np.mean(losses))], "n_train": [len(a)], "n_test": [len(b)]})
-
-    return rows.groupBy("split", "params").applyInPandas(one, "split int, params int, loss double, n_train bigint, n_test bigint")
-
-
 def jump_model(x: np.ndarray, states: int = 2, penalty: float = 50.0, starts: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(centres, labels) of least squared distance plus ``penalty`` a switch, the best of several random starts.
 

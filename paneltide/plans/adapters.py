@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paneltide.functions import calendars
-from paneltide.operators import windows as w
+from paneltide.operators import features as ft, windows as w
+from paneltide.operators.strategies import UNKNOWN_TAX
+from paneltide.schema import FEATURE_COLUMNS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,26 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "d", "i", price.alias("price"))
 
 
+def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, d, i, price): the weekly value over quantity of each supplier's parts, a panel that grows with the tables."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    week = F.date_trunc("week", "l_shipdate").cast("date")
+    obs = li.groupBy(F.format_string("S%07d", "l_suppkey").alias("code"), week.alias("d")).agg((money("l_extendedprice") / money("l_quantity")).alias("raw"))
+    grid = w.dense_grid(obs, calendars.trading_calendar(obs), "raw")
+    return grid.select("code", "d", "i", F.col("raw").alias("price"))
+
+
+def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide panel's 25 features with its labels: code, d, i, the features, y."""
+    p = wide_panel(spark, sf_dir).withColumn("price", w.fill_forward())
+    cal = p.select("d", "i").distinct()
+    cash = with_cash(cal).select("d", "cash")
+    kinds = p.select("code").distinct().select("code", F.pmod(F.crc32("code"), F.lit(7)).cast("int").alias("umbrella_type_code"), F.lit(UNKNOWN_TAX).alias("tax_rate"), F.lit(False).alias("excluded"))
+    out = ft.build(p, cash, ft.macro_features(cal, macro(spark, sf_dir)), ft.market_features(p), kinds, least=60)
+    return out.join(cal, out["feature_asof"] == cal["d"]).select(F.col("fund_code").alias("code"), "d", "i", *FEATURE_COLUMNS, "y")
+
+
 PANEL_SQL = """
 obs AS (
   SELECT p.p_type AS code, CAST(date_trunc('week', l.l_shipdate) AS DATE) AS d,

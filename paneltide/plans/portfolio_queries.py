@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Window, functions as F
 
 from paneltide.functions import calendars
-from paneltide.operators import allocation, conformal as cf, features as ft, ledger, models, ops, paper, relational as rel, robustness as rb, strategies, windows as w
+from paneltide.operators import allocation, boosting, conformal as cf, features as ft, ledger, models, ops, paper, relational as rel, robustness as rb, strategies, windows as w
 from paneltide.plans import adapters as ad, suites
 from paneltide.plans.adapters import CASH_SQL, LABEL_SQL, MASTER_SQL, PANEL_SQL
 from paneltide.plans.registry import query, rounded as r
+from paneltide.schema import FEATURE_COLUMNS
 
 _EQ = """
 eq AS (SELECT code AS run_id, d, i, exp(sum(coalesce(r, 0)) OVER (PARTITION BY code ORDER BY i)) AS equity, exp(cash_sum) AS cash_level FROM lab),
@@ -289,19 +291,21 @@ def jump_regime(spark, sf):
     return models.regimes(x.select(F.lit("index").alias("key"), "i", "v", "m", F.col("r").alias("excess")), ["v", "m"], "excess")
 
 
-def _model_panel(spark, sf):
-    p = ad.labels(ad.panel(spark, sf)).withColumn("a", w.log_return(5)).withColumn("b", w.log_return(13)).withColumn("c", w.below_peak(13))
-    return p.select("code", "d", "i", "a", "b", "c", "y")
+#: Months between refits, and boosting rounds of the cross-validation, in the queries; leaves, least rows, rate and the
+#: walk-forward's 300 rounds are those of production, on all 25 features.
+REFIT_MONTHS, SEARCH_ROUNDS = 24, 5
 
 
 @query()
 def qgbdt_walkforward(spark, sf):
-    return models.walk_forward(_model_panel(spark, sf), ["a", "b", "c"], alphas=(0.1, 0.5, 0.9))
+    """Anchored refits of three quantiles, every two years, over the panel of all suppliers."""
+    return boosting.walk_forward(ad.model_features(spark, sf), FEATURE_COLUMNS, months=REFIT_MONTHS)
 
 
 @query()
 def cpcv_grid(spark, sf):
-    return models.cpcv(_model_panel(spark, sf), ["a", "b", "c"], [{"rounds": 5, "depth": 1}, {"rounds": 5, "depth": 2}])
+    """All 15 splits, 9 shapes and 3 levels: 405 fits."""
+    return boosting.cpcv(ad.model_features(spark, sf), FEATURE_COLUMNS, tuple(replace(g, rounds=SEARCH_ROUNDS) for g in boosting.GRID))
 
 
 @query()

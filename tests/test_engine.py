@@ -341,42 +341,6 @@ def test_deflated_sharpe_falls_with_trials():
     assert stats.normal_cdf(stats.normal_quantile(0.3)) == pytest.approx(0.3)
 
 
-def test_quantile_boost_beats_constant():
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(800, 3))
-    y = x[:, 0] + rng.normal(0, 0.2, 800)
-    q = models.QuantileBoost(0.9).fit(x[:600], y[:600]).predict(x[600:])
-    loss = lambda p: np.where((e := y[600:] - p) >= 0, 0.9 * e, -0.1 * e).mean()
-    assert loss(q) < 0.5 * loss(np.quantile(y[:600], 0.9))
-
-
-def test_walk_forward_never_trains_late(spark):
-    p = grid(spark, 4, 100).withColumn("a", w.log_return(1)).withColumn("y", F.col("a") * 2).select("code", "d", "i", "a", "y")
-    out = models.walk_forward(p, ["a"], alphas=(0.5,), rounds=3)
-    assert out.count() > 0 and ops.late_training(out, "train_max", "refit").count() == 0
-
-
-def test_walk_forward_query_predicts_to_the_last_week(spark):
-    from paneltide.plans import portfolio_queries as pq
-
-    sf, features = "/root/testdata/sf0.001", ["a", "b", "c"]
-    p = pq._model_panel(spark, sf).toPandas()
-    out = pq.qgbdt_walkforward(spark, sf).toPandas()
-    last = out["refit"].max()
-    assert out["i"].max() == p["i"].max() and set(p[p["i"] >= out["i"].min()]["i"]) == set(out["i"])
-    fit, new = (x.sort_values(["i", "code"]) for x in (p[(p["i"] <= last - 23) & p["y"].notna()], p[p["i"] >= last]))
-    want = models.QuantileBoost(0.5).fit(fit[features].to_numpy(float), fit["y"].to_numpy(float)).predict(new[features].to_numpy(float))
-    got = out[(out["refit"] == last) & (out["alpha"] == 0.5)].sort_values(["i", "code"])
-    assert np.allclose(got["q"], want)
-
-
-def test_cpcv_purges_the_stretch_between_blocks():
-    splits = models.cpcv_splits(600)
-    assert len(splits) == 15
-    for _, train, test in splits:
-        assert all(i + 22 < min(test) or i > max(test) + 5 for i in train) and not train & test
-
-
 def test_jump_model_finds_two_regimes():
     x = np.r_[np.zeros((60, 1)), np.ones((60, 1)) * 4] + np.random.default_rng(2).normal(0, 0.3, (120, 1))
     centres, labels = models.jump_model(x, 2, 5.0)
