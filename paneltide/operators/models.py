@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
 
 
 def jump_model(x: np.ndarray, states: int = 2, penalty: float = 50.0, starts: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -58,20 +56,3 @@ def online_states(x: np.ndarray, centres: np.ndarray, penalty: float) -> np.ndar
         best = int(row.argmin())
         out.append(best if row[best] + penalty < row[out[-1]] else out[-1])
     return np.array(out, np.int64)
-
-
-def regimes(features: DataFrame, columns: list[str], excess: str, states: int = 2, penalty: float = 50.0) -> DataFrame:
-    """(key, i, state, rank) by group: states ranked by mean excess return, the best first."""
-    schema = "key string, i bigint, state int, rank int"
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("i")
-        x = g[columns].to_numpy(float)
-        sd = np.nanstd(x, 0)
-        z = np.nan_to_num(np.clip((x - np.nanmean(x, 0)) / np.where(sd > 0, sd, 1), -3, 3))
-        _, labels = jump_model(z, states, penalty)
-        mean = pd.Series(g[excess].to_numpy(float)).groupby(labels).mean()
-        order = {s: r + 1 for r, s in enumerate(mean.sort_values(ascending=False).index)}
-        return pd.DataFrame({"key": key[0], "i": g["i"].to_numpy(), "state": labels, "rank": [order[s] for s in labels]})
-
-    return features.groupBy("key").applyInPandas(one, schema)

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Window, functions as F
 
 from paneltide.functions import calendars
-from paneltide.operators import allocation, boosting, conformal as cf, features as ft, ledger, models, ops, paper, relational as rel, robustness as rb, strategies, windows as w
+from paneltide.operators import allocation, boosting, conformal as cf, features as ft, ledger, ops, paper, regimes, relational as rel, robustness as rb, strategies, windows as w
 from paneltide.plans import adapters as ad, suites
 from paneltide.plans.adapters import CASH_SQL, LABEL_SQL, MASTER_SQL, PANEL_SQL
 from paneltide.plans.registry import query, rounded as r
@@ -182,7 +182,7 @@ def momentum_hrp_equity(spark, sf):
 
 def suite_panel(spark, sf):
     """The panel with all that the suites' strategies and gates read: each row carries what was issued for the day after it."""
-    p = _backtest_panel(spark, sf).withColumn("founder", F.substring("code", 1, 1))
+    p = _backtest_panel(spark, sf).withColumn("founder", F.substring("code", 1, 1)).join(ad.panel(spark, sf).select("i", "d").distinct(), "i")
     index = ft.index_level(ad.panel(spark, sf))
     pred = ad.predictions(ad.panel(spark, sf)).filter("q50 IS NOT NULL")
     lower = cf.fixed_alpha(pred, 0.2).select("code", "i", "lower")
@@ -191,6 +191,10 @@ def suite_panel(spark, sf):
     market = ad.with_cash(index.select(F.lit("index").alias("code"), "i", F.col("level").alias("price"))).withColumn("cash_sum", w.running_log_growth("cash"))
     spread = strategies.spread_levels(market, 26).select("i", F.col("level").alias("spread"))
     rule = strategies.rule_levels(index, 40, 8).select("i", F.col("level").alias("rule"))
+    x = regimes.feature_matrix(ft.market_features(ad.panel(spark, sf)), ft.macro_features(p.select("i", "d").distinct(), ad.macro(spark, sf)), index, ad.with_cash(index).select("d", "cash"), REGIME_COLUMNS)
+    held = regimes.gate_levels(x, REGIME_COLUMNS, x.select("key", (F.col("i") + 1).alias("i")), least=100, refit_every=26)
+    regime = held.select((F.col("i") - 1).alias("i"), F.col("level").alias("regime"))
+    p = p.drop("d").join(regime, "i", "left")
     return p.join(lower, ["code", "i"], "left").join(chosen, ["code", "i"], "left").join(spread, "i", "left").join(stop, "i", "left").join(rule, "i", "left")
 
 
@@ -284,11 +288,44 @@ def hrp_weights(spark, sf):
     return allocation.hrp_by_group(ret)
 
 
+def _regime_features(spark, sf):
+    """The index's feature matrix, and the same market features of each entity by itself (key: its code)."""
+    p = ad.panel(spark, sf)
+    cal = p.select("d", "i").distinct()
+    macro = ft.macro_features(cal, ad.macro(spark, sf))
+    cash = ad.with_cash(cal).select("d", "cash")
+    whole = regimes.feature_matrix(ft.market_features(p), macro, ft.index_level(p), cash, REGIME_COLUMNS)
+    one = ad.with_cash(p).withColumn("price", w.fill_forward()).withColumn("r", w.log_return(1))
+    one = one.select(F.col("code").alias("key"), "d", "i", w.log_return(63).alias("eq_trend63"), w.rolling_vol(21).alias("eq_vol21"), (F.col("r") - F.log1p("cash")).alias("excess"))
+    return whole.unionByName(one, allowMissingColumns=True)
+
+
+#: Features that the regimes of the queries read.
+REGIME_COLUMNS = ["eq_trend63", "eq_vol21", "breadth200", "policy_rate", "usdtry_vol21"]
+
+
+def _gate(spark, sf, model):
+    x = _regime_features(spark, sf)
+    return regimes.gate_levels(x, REGIME_COLUMNS, x.filter("i % 4 = 0").select("key", "i"), model, least=100, refit_every=13)
+
+
 @query()
 def jump_regime(spark, sf):
-    x = ft.index_level(ad.panel(spark, sf)).withColumn("code", F.lit("index")).withColumn("r", F.ln("level") - F.lag(F.ln("level")).over(w.by_entity()))
-    x = x.withColumn("v", w.full_window(8, F.col("r"), F.stddev_samp("r"))).withColumn("m", w.full_window(8, F.col("r"), F.avg("r"))).filter("v IS NOT NULL")
-    return models.regimes(x.select(F.lit("index").alias("key"), "i", "v", "m", F.col("r").alias("excess")), ["v", "m"], "excess")
+    """Levels of the jump model's gate for the index and each entity: a decision every four weeks, a refit every year."""
+    return _gate(spark, sf, "jump")
+
+
+@query()
+def hidden_regime(spark, sf):
+    """The same by hidden-Markov models."""
+    return _gate(spark, sf, "hidden")
+
+
+@query()
+def hidden_chains(spark, sf):
+    """A two-state chain of weekly returns and volatility for every supplier, side by side."""
+    p = ad.wide_panel(spark, sf).withColumn("price", w.fill_forward()).withColumn("r", w.log_return(1))
+    return regimes.hidden_chains(p.select(F.col("code").alias("key"), "i", "r", w.rolling_vol(21).alias("v")), ["r", "v"], most=20)
 
 
 #: Months between refits, and boosting rounds of the cross-validation, in the queries; leaves, least rows, rate and the

@@ -19,7 +19,7 @@ RUNS = "run_id string, strategy string, n int, every int, start bigint, tax doub
 SUITES = {
     "baseline": ("cash", "top", "momentum_hrp"),
     "selection": ("conformal_hrp", "selected_q10", "selected_q20", "selected_q30"),
-    "gates": ("momentum_hrp", "momentum_hrp@spread", "momentum_hrp@rule", "conformal_hrp@spread", "conformal_hrp@rule"),
+    "gates": ("momentum_hrp", "momentum_hrp@spread", "momentum_hrp@rule", "momentum_hrp@regime", "conformal_hrp@spread", "conformal_hrp@rule", "conformal_hrp@regime"),
 }
 SUITES["full"] = tuple(dict.fromkeys(name for names in SUITES.values() for name in names))
 
