@@ -1,11 +1,11 @@
 """Dominance counting: how many rows lie above each row in two orders, by tiles of two-dimensional running sums.
 
 1. Rows collapse to distinct (slot, level) cells with their counts and weights.
-2. The plane is cut into tiles of 16 slots by 32 levels, whatever the data: a tile has 512 cells at most. Within tiles,
+2. The plane is cut into tiles of 8 slots by 16 levels, whatever the data: a tile has 128 cells at most. Within tiles,
    two running sums (numpy, many tiles at once) count the cells at earlier or equal slots and at higher levels.
 3. What lies outside a tile comes in over its edges. The *carry column* has, for each level of the tile, what earlier
    blocks of slots hold above it in the same block of levels; the *carry row* has, for each slot, what higher blocks of
-   levels hold up to it. Each is the same task on cells that are coarser by a block in one direction (16 slots or 32
+   levels hold up to it. Each is the same task on cells that are coarser by a block in one direction (8 slots or 16
    levels together), so it is solved by the same step, until one block is left. Carries are made for the slots and
    levels that a tile has, so they are never more than the cells.
 4. The cells' counts are joined back to the rows; cells that many rows share are joined by broadcast.
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paneltide.llm import common, lookup
 
 #: A tile is 2**SLOT_BITS slots by 2**LEVEL_BITS levels.
-SLOT_BITS, LEVEL_BITS = 4, 5
+SLOT_BITS, LEVEL_BITS = 3, 4
 #: Tiles that are summed at once.
-AT_ONCE = 64
+AT_ONCE = 256
 
 _CELL, _DOWN, _ACROSS = 0, 1, 2
 _OUT = pa.schema([(c, pa.int64()) for c in ("s", "l", "n", "w", "an", "aw")])
