@@ -104,7 +104,7 @@ def above(cells: DataFrame, slots: tuple[int, int], levels: tuple[int, int], str
     if across and high[0] < high[1]:
         over = above(_coarser(cells, l=l), slots, high, strict=strict)
         rows = rows.unionByName(_rows(over, _ACROSS, s, F.col("l"), "an", "aw"))
-    dealt = rows.repartition("ts", "tl").sortWithinPartitions("ts", "tl")
+    dealt = rows.repartitionByRange("ts", "tl").sortWithinPartitions("ts", "tl")  # by range, so that tiles are dealt out evenly
     return dealt.mapInArrow(_sums(strict), "s long, l long, n long, w long, an long, aw long")
 
 
