@@ -213,7 +213,7 @@ def plain_above(points):
     return over.sum(1), (over * w[None]).sum(1)
 
 
-@pytest.mark.parametrize("spread", [(3, 5), (200, 30), (20, 9000), (5000, 400000), (10**9, 10**12)])
+@pytest.mark.parametrize("spread", [(3, 5), (200, 30), (20, 9000), (4000, 10**6)])
 def test_dominance_equals_all_comparisons(spark, spread):
     rng = np.random.default_rng(spread[0])
     points = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(-spread[0], spread[0], 900), (rng.random(900) ** 3 * spread[1]).astype(int), rng.integers(1, 4, 900))]
