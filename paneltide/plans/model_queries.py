@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from paneltide.functions.stats import pinball
-from paneltide.operators import conformal as cf, windows as w
+from paneltide.operators import attribution, conformal as cf, windows as w
 from paneltide.plans import adapters as ad
 from paneltide.plans.adapters import CASH_SQL, LABEL_SQL, PANEL_SQL, PREDICTION_SQL
 from paneltide.plans.registry import query, rounded as r
@@ -183,6 +183,71 @@ def aci_calibrated(spark, sf):
     return cf.adaptive(p, {"t20": 0.2, "t10": 0.1}, 0.01)
 
 
+_SELECT_END = "1999-06-30"
+#: Intervals of a constant level of 0.3, beside those of 0.2.
+_CQR_LOOSE = _CQR.replace("0.8e0", "0.7e0").replace("rk AS", "rk3 AS").replace("FROM rk ", "FROM rk3 ").replace("st AS", "st3 AS").replace("JOIN st ", "JOIN st3 st ").replace("cq AS", "cq3 AS")
+_CELLS = f"""
+given AS (SELECT 'issued' AS run, code, d, y, lower, upper FROM cq3 UNION ALL SELECT 'constant', code, d, y, lower, upper FROM cq),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run, d, lower > 0 ORDER BY lower DESC, code) AS t, row_number() OVER (PARTITION BY run, d, lower > 0 ORDER BY md5('0|' || code || '|' || d), code) AS u FROM given WHERE lower IS NOT NULL),
+tagged AS (
+  SELECT 'all' AS series, * FROM ranked UNION ALL SELECT 'positive', * FROM ranked WHERE lower > 0
+  UNION ALL SELECT 'random', * FROM ranked WHERE lower > 0 AND u <= 1 UNION ALL SELECT 'top', * FROM ranked WHERE lower > 0 AND t <= 1),
+cells AS (
+  SELECT run, series, CASE WHEN d <= DATE '{_SELECT_END}' THEN 'selection' ELSE 'outside' END AS period, CAST(date_trunc('month', d) AS DATE) AS month,
+    avg(CASE WHEN y BETWEEN lower AND upper THEN 1e0 ELSE 0e0 END) AS coverage, avg(upper - lower) AS width, count(*) AS n FROM tagged WHERE y IS NOT NULL GROUP BY ALL),
+means AS (
+  SELECT run, series, period, avg(coverage) AS coverage, avg(width) AS width, count(*) AS months, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL
+  UNION ALL SELECT run, series, 'both', avg(coverage), avg(width), count(*), CAST(sum(n) AS BIGINT) FROM cells GROUP BY ALL)"""
+
+
+def _levels(spark, sf):
+    p = _scored(spark, sf)
+    return cf.fixed_alpha(p, 0.3), cf.fixed_alpha(p, 0.2)
+
+
+@query("SELECT series, period, month, round(coverage, 8) + 0e0 AS coverage, round(width, 8) + 0e0 AS width, n FROM cells WHERE run = 'constant'", *BASE, _CAL, _CQR, _CQR_LOOSE, _CELLS)
+def coverage_cells(spark, sf):
+    out = attribution.monthly(_levels(spark, sf)[1], _SELECT_END, 1)
+    return out.select("series", "period", "month", r("coverage").alias("coverage"), r("width").alias("width"), "n")
+
+
+@query("SELECT series, period, round(coverage, 8) + 0e0 AS coverage, round(width, 8) + 0e0 AS width, months, n FROM means WHERE run = 'constant'", *BASE, _CAL, _CQR, _CQR_LOOSE, _CELLS)
+def coverage_periods(spark, sf):
+    out = attribution.by_period(attribution.monthly(_levels(spark, sf)[1], _SELECT_END, 1))
+    return out.select("series", "period", r("coverage").alias("coverage"), r("width").alias("width"), "months", "n")
+
+
+_PARTS = ("gap", "base", "pool", "ranking", "level", "width", "constant_width")
+
+
+def _gap(issued, constant):
+    out = attribution.gap_parts(issued, constant, 0.2, _SELECT_END, 1)
+    return out.select("period", *[r(c).alias(c) for c in _PARTS], "constant_months", "dominant", "few")
+
+
+@query("""
+SELECT period, """ + ", ".join(f"round({c}, 8) + 0e0 AS {c}" for c in _PARTS) + """, constant_months, constant_months < 6 AS few,
+  CASE WHEN most < 0 THEN NULL WHEN p = most THEN 'pool' WHEN k = most THEN 'ranking' ELSE 'level' END AS dominant FROM (
+SELECT *, greatest(p, k, l) AS most FROM (
+SELECT *, coalesce(round(abs(pool), 12), -1) AS p, coalesce(round(abs(ranking), 12), -1) AS k, coalesce(round(abs(level), 12), -1) AS l FROM (
+SELECT *, top - 0.8e0 AS gap, all_ - 0.8e0 AS base, random - all_ AS pool, top - random AS ranking, top - top_constant AS level FROM (
+SELECT period, max(coverage) FILTER (WHERE run = 'issued' AND series = 'all') AS all_, max(coverage) FILTER (WHERE run = 'issued' AND series = 'random') AS random,
+  max(coverage) FILTER (WHERE run = 'issued' AND series = 'top') AS top, max(coverage) FILTER (WHERE run = 'constant' AND series = 'top') AS top_constant,
+  max(width) FILTER (WHERE run = 'issued' AND series = 'top') AS width, max(width) FILTER (WHERE run = 'constant' AND series = 'top') AS constant_width,
+  coalesce(max(months) FILTER (WHERE run = 'constant' AND series = 'top'), 0) AS constant_months FROM means GROUP BY period))))
+""", *BASE, _CAL, _CQR, _CQR_LOOSE, _CELLS)
+def coverage_gap_parts(spark, sf):
+    return _gap(*_levels(spark, sf))
+
+
+@query()
+def coverage_gap_adaptive(spark, sf):
+    """As ``coverage_gap_parts``, of the intervals whose level moves with each day's misses."""
+    p = _scored(spark, sf)
+    moving = cf.adaptive(p.withColumn("config", F.lit("t20")), {"t20": 0.2}, 0.01)
+    return _gap(moving.join(p.select("code", "i", "y"), ["code", "i"]), cf.fixed_alpha(p, 0.2))
+
+
 def flagship(spark, sf):
     """Selection with false-discovery control: p-values of every decision and the selected rows at q = 0.2."""
     return bh_grid(spark, sf)

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from paneltide.functions import calendars, text
-from paneltide.operators import execution, joins, ops, quality as ql, relational as rel, universe, windows as w
+from paneltide.operators import execution, joins, live_basket, ops, quality as ql, relational as rel, universe, windows as w
 from paneltide.plans import adapters as ad
 from paneltide.plans.adapters import FOLD_SQL, MASTER_SQL, PANEL_SQL, RUNS_SQL, STATUS_FOLD_SQL
 from paneltide.plans.registry import query, rounded as r
@@ -371,6 +371,30 @@ def proxy_basket_strict(spark, sf):
     return _proxy(spark, sf, asof=F.lit("1998-03-02 09:15:00").cast("timestamp_ntz"), first_day="1998-02-01")
 
 
+@query(f"""
+SELECT "at", fund_code, name, founder, rank, n_nav, CASE WHEN place <= 2 THEN round(least(1e0 / k, 0.2e0 / least(m, 2)), 8) ELSE 0e0 END + 0e0 AS weight, buy_valor, sell_valor, last_nav_date FROM (
+SELECT *, count(*) OVER (PARTITION BY "at") AS k, count(*) OVER (PARTITION BY "at", founder) AS m, row_number() OVER (PARTITION BY "at", founder ORDER BY rank) AS place FROM (
+SELECT *, row_number() OVER (PARTITION BY "at" ORDER BY n_nav DESC, fund_code) AS rank FROM cand JOIN best USING ("at")
+WHERE tax_category = best.usual AND {STATUS_FOLD_SQL} LIKE '%işlem görüyor%' AND buy_valor = floor(buy_valor) AND sell_valor = floor(sell_valor)
+  AND last_success_at BETWEEN CAST("at" AS TIMESTAMP) + INTERVAL '9 hours 15 minutes' - INTERVAL 45 DAY AND CAST("at" AS TIMESTAMP) + INTERVAL '9 hours 15 minutes') WHERE rank <= 8)
+""", MASTER_SQL, """
+nav AS (SELECT DISTINCT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS fund_code, CAST(date_trunc('week', l_shipdate) AS DATE) AS d FROM lineitem),
+days AS (SELECT d AS "at", n_days FROM (SELECT d, row_number() OVER (ORDER BY d) AS n_days FROM (SELECT DISTINCT d FROM nav)) WHERE d >= DATE '1997-12-01'),
+seen AS (SELECT "at", fund_code, count(*) AS n_nav, max(d) AS last_nav_date FROM days JOIN nav ON d <= "at" GROUP BY ALL),
+prof AS (SELECT * EXCLUDE (k) FROM (SELECT days.*, m.*, row_number() OVER (PARTITION BY "at", fund_code ORDER BY snapshot_date DESC) AS k FROM days JOIN master m
+  ON snapshot_date <= "at" AND (source_published_at IS NULL OR source_published_at <= CAST("at" AS TIMESTAMP) + INTERVAL '9 hours 15 minutes')) WHERE k = 1),
+cand AS (SELECT * FROM prof JOIN seen USING ("at", fund_code) WHERE umbrella_type LIKE '%Şemsiye  Fonu%' AND founder <> 'BRAZIL' AND n_nav / n_days::DOUBLE >= 0.5e0),
+best AS (SELECT "at", arg_max(tax_category, n) AS usual FROM (SELECT "at", tax_category, count(*) AS n FROM cand WHERE tax_category IS NOT NULL GROUP BY ALL) GROUP BY 1)
+""")
+def live_baskets(spark, sf):
+    """The basket of each week from December 1997 on, over the suppliers as funds and the weeks in which they shipped."""
+    week = F.date_trunc("week", "l_shipdate").cast("date").alias("d")
+    nav = ad.table(spark, sf, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("fund_code"), week).distinct().withColumn("price", F.lit(1.0))
+    days = nav.select(F.col("d").alias("at")).distinct().filter("at >= DATE '1997-12-01'")
+    out = live_basket.live_baskets(days, ad.master(spark, sf), nav, "Şemsiye Fonu", ("BRAZIL",), 0.5, 8, "1998-01-05", 45, 0.2, 2)
+    return out.withColumn("weight", r("weight")).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("SELECT fund_code, name, category, umbrella_type FROM master WHERE snapshot_date = DATE '1998-03-02' AND fund_class = 'EMK' AND (category = 'Hisse' OR name LIKE '%IRAN%')", MASTER_SQL)
 def state_excluded(spark, sf):
     return universe.state_excluded(rel.latest_snapshot(ad.master(spark, sf)), ("hisse", "IRAN"))
