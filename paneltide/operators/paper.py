@@ -68,31 +68,22 @@ def orders(book: Ledger, target: dict[str, float], prices: dict[str, float], day
 
 
 def selected_weights(
-    selection: pd.DataFrame, prices: pd.DataFrame, founders: pd.Series, drawdown: float = 0.0, cov_rows: int = 126, height: float = 0.4, method: str = "single",
-    per_founder: int = 3, per_cluster: int = 3, fund: float = 0.25, founder: float = 0.30, ceiling: float = 0.30, fall: float = 0.12, fallen: float = 0.65,
+    selection: pd.DataFrame, prices: pd.DataFrame, founders: pd.Series, drawdown: float = 0.0, cov_rows: int = 126,
+    ceiling: float = 0.30, fall: float = 0.12, fallen: float = 0.65, **limits,
 ) -> pd.Series:
     """Target weights of the selected funds, the rest in the cash slot.
 
-    ``selection``: code, lower, selected; ``prices``: days x codes. Covariance over the days on which all selected funds have a return,
-    clusters, at most so many funds of a founder and of a cluster (best lower end first), risk parity, caps, and a ceiling
-    on all of them together, which is ``fallen`` at most beyond a drawdown of ``fall``. Nothing selected or no prices: all in the slot.
+    ``selection``: code, lower, selected; ``prices``: days x codes. Risk parity of all selected funds with prices, best lower end first,
+    over the days on which all of them have a return (``limits``: fields of ``allocation.Limits``), under a ceiling on all of them
+    together, which is ``fallen`` at most beyond a drawdown of ``fall``. Nothing selected or no prices: all in the slot.
     """
-    wanted = selection.loc[selection["selected"].eq(True)]
-    lower = wanted.set_index("code")["lower"]
-    names = [c for c in lower.index if c in prices.columns]
-    returns = np.log(prices[names]).diff().dropna().iloc[-cov_rows:]
-    if returns.empty:
-        return pd.Series({SLOT: 1.0})
-    cov = allocation.shrunk_covariance(returns.to_numpy())
-    clusters = allocation.flat_clusters(allocation.linkage(allocation.distances(cov), method), len(names), height)
-    chosen = allocation.greedy(lower.reindex(names), set(), founders, pd.Series(clusters, names), len(names), per_founder, per_cluster)
-    if not chosen:
-        return pd.Series({SLOT: 1.0})
-    at = [names.index(c) for c in chosen]
-    weights = allocation.apply_caps(pd.Series(allocation.hrp(cov[np.ix_(at, at)], method), chosen), founders.reindex(chosen), fund, founder)
-    most = min(ceiling, fallen) if drawdown > fall else ceiling
-    weights = weights * min(1.0, most / weights.sum())
-    return pd.concat([weights, pd.Series({SLOT: max(0.0, 1.0 - weights.sum())})])
+    lower = selection[selection["selected"].eq(True) & selection["code"].isin(prices.columns)].set_index("code")["lower"]
+    returns = np.log(prices[lower.index]).diff().dropna().tail(cov_rows)
+    funds = allocation.risk_parity(returns, lower, founders, len(lower), allocation.Limits(**limits))
+    room = min(ceiling, fallen) if drawdown > fall else ceiling
+    invested = min(room, funds.sum())
+    scaled = funds * (invested / funds.sum()) if len(funds) else funds
+    return pd.concat([scaled, pd.Series({SLOT: 1.0 - invested})])
 
 
 def propose(existing: list[dict], day: date, made: list[Order], now: datetime, evidence: list[str]) -> tuple[dict, bool]:
