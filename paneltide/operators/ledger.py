@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from copy import copy, deepcopy
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -182,69 +183,144 @@ def rebalance(book: Ledger, target: dict[str, float], decision: dict[str, float]
             book.buy(c, amount, fill[c], day, int(m.get("buy_lag", 0)), m.get("entry_fee", 0.0), m.get("tax_rate", 0.0))
 
 
-def replay(rows: pd.DataFrame, strategy: Strategy, rules: Rules) -> pd.DataFrame:
-    """Equity by day of one run. ``rows``: i, code, price and, where there, cash, scheduled, suspended, can_buy, can_sell, lags, fees,
-    tax_rate, slot_price and whatever the strategy reads.
+class Replay:
+    """One run over a panel, a day at a time. ``rows``: i, code, price and, where there, cash, scheduled, suspended, can_buy, can_sell, lags,
+    fees, tax_rate, slot_price and whatever the strategy reads.
 
-    Day by day: settle, accrue, decide on what was known the day before, trade at the day's prices, value. With ``slot_price``
-    cash earns nothing by itself but stands in the cash fund, taxed when sold.
+    A day: settle, accrue, decide on what was known the day before, trade at the day's prices, value. With ``slot_price``
+    cash earns nothing by itself but stands in the cash fund, taxed when sold. A run can be forked between two days or before a
+    decision; a fork shares the panel and owns all that changes, the strategy's own state included.
     """
-    book = Ledger(rules.capital)
-    peak, forced, out = rules.capital, False, []
-    filled: dict[str, float] = {}
-    events: list[str] = []
-    days = sorted(rows["i"].unique())
-    by_day = dict(tuple(rows.sort_values(["i", "code"]).groupby("i")))
-    wide = rows.pivot_table(index="i", columns="code", values="price", aggfunc="first", dropna=False).reindex(days)
-    slot = "slot_price" in rows
-    for n, i in enumerate(days):
-        today = by_day[i]
-        events = []
-        book.settle(int(i))
-        if n and "cash" in today and not slot:
-            book.accrue(float(today["cash"].iloc[0]), rules.cash_tax)
-        prices = {c: float(p) for c, p in zip(today["code"], today["price"]) if pd.notna(p) and p > 0}
-        if slot and pd.notna(p := today["slot_price"].iloc[0]):
-            prices[SLOT] = float(p)
-        decision = dict(filled) or dict(prices)
-        equity = book.value(decision)
-        down = 1 - equity / peak
+
+    def __init__(self, rows: pd.DataFrame, strategy: Strategy, rules: Rules):
+        self.days = sorted(rows["i"].unique())
+        self.by_day = dict(tuple(rows.sort_values(["i", "code"]).groupby("i")))
+        self.wide = rows.pivot_table(index="i", columns="code", values="price", aggfunc="first", dropna=False).reindex(self.days)
+        self.slot = "slot_price" in rows
+        self.rules, self.strategy = rules, strategy
+        self.book, self.peak, self.forced, self.filled = Ledger(rules.capital), rules.capital, False, {}
+        self.halted: tuple[frozenset, int] = (frozenset(), -1)
+        self.chosen: dict[str, float] | None = None
+        self.events: list[str] = []
+
+    def fork(self) -> Replay:
+        twin = copy(self)
+        twin.book, twin.filled, twin.strategy = deepcopy(self.book), dict(self.filled), deepcopy(self.strategy)
+        twin.events = list(self.events)
+        return twin
+
+    def halt(self, codes: set[str], last: int) -> None:
+        """No trade in these codes up to position ``last``, though their prices go on."""
+        self.halted = (frozenset(codes), last)
+
+    def begin(self, n: int) -> bool:
+        """The day up to its decision; whether there is one."""
+        i, today, rules = self.days[n], self.by_day[self.days[n]], self.rules
+        self.events, self.chosen = [], None
+        self.book.settle(int(i))
+        if n and "cash" in today and not self.slot:
+            self.book.accrue(float(today["cash"].iloc[0]), rules.cash_tax)
+        self.prices = {c: float(p) for c, p in zip(today["code"], today["price"]) if pd.notna(p) and p > 0}
+        if self.slot and pd.notna(p := today["slot_price"].iloc[0]):
+            self.prices[SLOT] = float(p)
+        self.last = dict(self.filled) or dict(self.prices)
+        self.equity = self.book.value(self.last)
+        down = 1 - self.equity / self.peak
         scheduled = bool(today["scheduled"].iloc[0]) if "scheduled" in today else n % rules.every == 0
-        trigger = down > rules.fall and not forced
-        if trigger:
-            forced = True
-            events.append("drawdown")
-        elif forced and down < rules.recover and scheduled:
-            forced = False
-            events.append("release")
-        if n >= rules.warm_up and (scheduled or trigger):
-            held = {c: book.units(c) * decision.get(c, 0.0) / equity for c in book.lots if c != SLOT and book.units(c) > 0} if equity > 0 else {}
-            weights, exposure = strategy(View(by_day[days[n - 1]] if n else today.iloc[:0], wide.iloc[:n], held))
-            exposure = min(exposure, rules.forced_exposure) if forced else exposure
-            weights = {c: max(w, 0.0) for c, w in weights.items()}
-            total = sum(weights.values())
-            weights = {c: w / max(total, 1.0) * exposure for c, w in weights.items()}
-            get = lambda c, d: dict(zip(today["code"], today[c])) if c in today else dict.fromkeys(today["code"], d)
-            stop, buy, sell = get("suspended", False), get("can_buy", True), get("can_sell", True)
-            fields = {k: get(k, d) for k, d in (("buy_lag", 0), ("sell_lag", 0), ("entry_fee", 0.0), ("exit_fee", 0.0), ("tax_rate", 0.0))}
-            tradable = {c: c in prices and not stop[c] for c in today["code"]}
-            meta = {c: {"can_buy": tradable[c] and bool(buy[c]), "can_sell": tradable[c] and bool(sell[c]), **{k: v[c] for k, v in fields.items()}} for c in today["code"]}
-            events += [f"blocked:{c}" for c in sorted(weights) if weights[c] > 0 and not meta.get(c, {}).get("can_buy", False)]
-            locked = {c: w for c, w in held.items() if not meta.get(c, {}).get("can_sell", False)}
-            free = {c: w for c, w in weights.items() if c not in locked}
-            room = max(0.0, 1 - sum(locked.values()))
-            shrink = min(1.0, room / s) if (s := sum(free.values())) > 0 else 0.0
-            rebalance(book, {**{c: w * shrink for c, w in free.items()}, **locked}, decision, prices, meta, int(i), rules, force=trigger)
-        filled.update(prices)
-        if slot and book.cash > 1e-9 and SLOT in prices:
-            book.buy(SLOT, book.cash, prices[SLOT], int(i), tax=rules.cash_tax)
-        equity = book.value(filled)
-        peak = max(peak, equity)
-        held = {c: rules.haircut for c, s in (zip(today["code"], today["suspended"]) if "suspended" in today else ()) if s}
-        out.append({"i": int(i), "equity": equity, "cash": book.cash, "receivables": sum(book.due.values()), "stressed": book.value(filled, held), "taxes": book.taxes, "turnover": book.turnover, "events": ",".join(events)})
+        self.trigger = down > rules.fall and not self.forced
+        if self.trigger:
+            self.forced = True
+            self.events.append("drawdown")
+        elif self.forced and down < rules.recover and scheduled:
+            self.forced = False
+            self.events.append("release")
+        return n >= rules.warm_up and (scheduled or self.trigger)
+
+    def suspended(self, n: int) -> dict[str, bool]:
+        """Which of the day's codes cannot be traded."""
+        today, (codes, until) = self.by_day[self.days[n]], self.halted
+        marked = today["suspended"] if "suspended" in today else [False] * len(today)
+        return {c: bool(s) or (c in codes and self.days[n] <= until) for c, s in zip(today["code"], marked)}
+
+    def decide(self, n: int) -> None:
+        i, today, book, rules, decision, prices = int(self.days[n]), self.by_day[self.days[n]], self.book, self.rules, self.last, self.prices
+        held = {c: book.units(c) * decision.get(c, 0.0) / self.equity for c in book.lots if c != SLOT and book.units(c) > 0} if self.equity > 0 else {}
+        weights, exposure = self.strategy(View(self.by_day[self.days[n - 1]] if n else today.iloc[:0], self.wide.iloc[:n], held))
+        exposure = min(exposure, rules.forced_exposure) if self.forced else exposure
+        weights = {c: max(w, 0.0) for c, w in weights.items()}
+        total = sum(weights.values())
+        weights = {c: w / max(total, 1.0) * exposure for c, w in weights.items()}
+        get = lambda c, d: dict(zip(today["code"], today[c])) if c in today else dict.fromkeys(today["code"], d)
+        stop, buy, sell = self.suspended(n), get("can_buy", True), get("can_sell", True)
+        fields = {k: get(k, d) for k, d in (("buy_lag", 0), ("sell_lag", 0), ("entry_fee", 0.0), ("exit_fee", 0.0), ("tax_rate", 0.0))}
+        tradable = {c: c in prices and not stop[c] for c in today["code"]}
+        meta = {c: {"can_buy": tradable[c] and bool(buy[c]), "can_sell": tradable[c] and bool(sell[c]), **{k: v[c] for k, v in fields.items()}} for c in today["code"]}
+        self.events += [f"blocked:{c}" for c in sorted(weights) if weights[c] > 0 and not meta.get(c, {}).get("can_buy", False)]
+        locked = {c: w for c, w in held.items() if not meta.get(c, {}).get("can_sell", False)}
+        free = {c: w for c, w in weights.items() if c not in locked}
+        room = max(0.0, 1 - sum(locked.values()))
+        shrink = min(1.0, room / s) if (s := sum(free.values())) > 0 else 0.0
+        self.chosen = {**{c: w * shrink for c, w in free.items()}, **locked}
+        rebalance(book, self.chosen, decision, prices, meta, i, rules, force=self.trigger)
+
+    def end(self, n: int) -> dict:
+        """Values the day; its row."""
+        i, book = int(self.days[n]), self.book
+        self.filled.update(self.prices)
+        if self.slot and book.cash > 1e-9 and SLOT in self.prices:
+            book.buy(SLOT, book.cash, self.prices[SLOT], i, tax=self.rules.cash_tax)
+        equity = book.value(self.filled)
+        self.peak = max(self.peak, equity)
+        cut = {c: self.rules.haircut for c, s in self.suspended(n).items() if s}
+        return {"i": i, "equity": equity, "cash": book.cash, "receivables": sum(book.due.values()), "stressed": book.value(self.filled, cut), "taxes": book.taxes, "turnover": book.turnover, "events": ",".join(self.events)}
+
+
+def replay(rows: pd.DataFrame, strategy: Strategy, rules: Rules) -> pd.DataFrame:
+    """Equity by day of one run."""
+    run, out = Replay(rows, strategy, rules), []
+    for n in range(len(run.days)):
+        if run.begin(n):
+            run.decide(n)
+        out.append(run.end(n))
     return pd.DataFrame(out)
 
 
+def suspensions(rows: pd.DataFrame, strategy: Strategy, rules: Rules, founders: dict[str, str], seeds: int, length: int) -> pd.DataFrame:
+    """The run (seed -1) and, for each seed, the run in which a founder's funds cannot be traded for ``length`` positions.
+
+    A seed draws a decision day after the first quarter of them, and one of the funds with weight on that day; all funds of its founder
+    (or the fund itself) are halted from then on. The decision days' states are kept, so a seed's run begins at its day; the days before are
+    the base run's. A seed whose day has no fund with weight gives no rows; no decisions: the base alone.
+    """
+    run, base, saved = Replay(rows, strategy, rules), [], []
+    for n in range(len(run.days)):
+        if run.begin(n):
+            saved.append((n, run.fork()))
+            run.decide(n)
+            saved[-1] += (sorted(c for c, w in run.chosen.items() if w > 0),)
+        base.append(run.end(n))
+    parts = [pd.DataFrame(base).assign(seed=-1, founder="", funds=0, first=-1)]
+    codes = sorted(rows["code"].unique())
+    for seed in range(seeds if saved else 0):
+        draw = np.random.default_rng(seed)
+        n, state, held = saved[int(draw.integers(len(saved) // 4, len(saved)))]
+        if not held:
+            continue
+        code = str(draw.choice(held))
+        founder = founders.get(code) or code
+        group = {c for c in codes if (founders.get(c) or c) == founder}
+        fork, tail = state.fork(), []
+        fork.halt(group, int(fork.days[n]) + length - 1)
+        fork.decide(n)
+        tail.append(fork.end(n))
+        for m in range(n + 1, len(fork.days)):
+            if fork.begin(m):
+                fork.decide(m)
+            tail.append(fork.end(m))
+        parts.append(pd.DataFrame(base[:n] + tail).assign(seed=seed, founder=founder, funds=len(group), first=int(fork.days[n])))
+    return pd.concat(parts, ignore_index=True)
+
+
 def top_n(n: int = 3, exposure: float = 1.0) -> Strategy:
     """Equal weights on the n best scores of the day before (ties by code)."""
 
@@ -266,7 +342,6 @@ class RunFailed(Exception):
         super().__init__(f"{type(cause).__name__}: {cause}")
 
 
-REPLAY = ["i", "equity", "cash", "receivables", "stressed", "taxes", "turnover", "events"]
 EQUITY = "run_id string, i bigint, equity double, cash double, receivables double, stressed double, taxes double, turnover double, events string"
 
 
@@ -276,8 +351,13 @@ def run_all(panel: DataFrame, runs: DataFrame, strategies: dict[str, Callable[[p
     ``strategies`` makes a run's strategy from its row, by name; ``cash`` and top-n are there. ``tax`` holds for all lots
     unless the panel has a tax_rate of its own. One task holds one run's rows, which is the panel itself: bounded by entities x days, not by runs.
     """
+    return _by_run(panel, runs, strategies, rules, replay, EQUITY)
+
+
+def _by_run(panel: DataFrame, runs: DataFrame, strategies: dict[str, Callable[[pd.Series], Strategy]] | None, rules: Rules, play: Callable[[pd.DataFrame, Strategy, Rules], pd.DataFrame], schema: str) -> DataFrame:
     makers = {"cash": lambda run: cash_only, **(strategies or {})}
     columns = ["strategy", "n", "every", "start", "tax", "haircut"]
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
@@ -287,13 +367,28 @@ def run_all(panel: DataFrame, runs: DataFrame, strategies: dict[str, Callable[[p
         if "tax_rate" not in rows:
             rows = rows.assign(tax_rate=float(first["tax"]))
         try:
-            got = replay(rows, make(first), own)
+            got = play(rows, make(first), own)
         except RunFailed as failed:
-            got = pd.DataFrame(columns=REPLAY, index=[0]).assign(events=f"failed: {failed}")
-        got.insert(0, "run_id", key[0])
-        return got
+            got = pd.DataFrame(columns=names[1:], index=[0]).assign(events=f"failed: {failed}")
+        return got.assign(run_id=key[0])[names]
+
+    return panel.crossJoin(F.broadcast(runs)).groupBy("run_id").applyInPandas(one, schema)
+
+
+SUSPENDED = f"{EQUITY}, seed bigint, founder string, funds bigint, first bigint"
+
+
+def run_suspended(panel: DataFrame, runs: DataFrame, seeds: int = 5, length: int = 126, strategies: dict[str, Callable[[pd.Series], Strategy]] | None = None, rules: Rules = Rules()) -> DataFrame:
+    """:func:`suspensions` of every run, with the panel's column ``founder`` (null: a founder of its own). ``runs`` as in :func:`run_all`.
+
+    ``stressed`` is the value with the run's haircut on funds that are halted on the day. One task holds one run and its seeds.
+    """
+
+    def play(rows: pd.DataFrame, strategy: Strategy, own: Rules) -> pd.DataFrame:
+        founders = dict(rows.dropna(subset=["founder"])[["code", "founder"]].to_numpy())
+        return suspensions(rows, strategy, own, founders, seeds, length)
 
-    return panel.crossJoin(F.broadcast(runs)).groupBy("run_id").applyInPandas(one, EQUITY)
+    return _by_run(panel, runs, strategies, rules, play, SUSPENDED)
 
 
 def run_isolated(panel: DataFrame, runs: DataFrame, strategies: dict[str, Callable[[pd.Series], Strategy]] | None = None, rules: Rules = Rules()) -> DataFrame:

@@ -282,6 +282,19 @@ def suspension(spark, sf):
     return ledger.run_all(p, _runs(spark, [("suspended", "top", 2, 4, 20, 0.175, 0.3)])).select("run_id", "i", "equity", "stressed", "events")
 
 
+@query()
+def suspension_seeds(spark, sf):
+    """Eight seeded suspensions of half a year of two runs, each with the figures of its stressed value."""
+    p = ad.with_cash(ad.panel(spark, sf)).withColumn("score", w.log_return(13)).withColumn("cash_level", F.exp(w.running_log_growth("cash")))
+    founder = F.substring("code", 1, 1).alias("founder")
+    out = ledger.run_suspended(p.select("code", "i", "price", "cash", "score", founder), _runs(spark, [("top2", "top", 2, 4, 20, 0.175, 0.3), ("top3", "top", 3, 4, 20, 0.175, 0.3)]), 8, 26)
+    days = p.groupBy("i").agg(F.max("d").alias("d"), F.max("cash_level").alias("cash_level"))
+    keyed = out.withColumn("run_id", F.concat_ws("/", "run_id", "seed"))
+    figures = rb.summary(keyed.join(F.broadcast(days), "i").select("run_id", "i", "d", F.col("stressed").alias("equity"), "cash_level"))
+    ends = keyed.groupBy("run_id", "seed", "founder", "funds", "first").agg(F.max_by("equity", "i").alias("equity"), F.max_by("stressed", "i").alias("stressed"), F.max("turnover").alias("turnover"))
+    return ends.join(figures.select("run_id", "cagr", "sharpe", "mdd"), "run_id")
+
+
 @query()
 def hrp_weights(spark, sf):
     ret = ad.labels(ad.panel(spark, sf)).select((F.floor(F.col("i") / 120)).cast("bigint").alias("run_id"), "i", "code", "r")
