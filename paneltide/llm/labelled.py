@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Training takes at most this many documents of each label, of at most this many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 40_000
@@ -37,19 +37,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
 
     The first ``most`` documents of each label, in the order of a hash of the id, of those of at most ``chars`` characters. Twice
     as many ids are looked up, so that longer texts leave no gap (were more than half of all texts longer, the sample would be
-    smaller). The cap holds for each label, so the sample has another share of label 1 than the table; :func:`prior_shift` restores it.
+    smaller). An id counts once, by its least text, however often it is repeated, so the driver gets ``2 * most`` texts at most.
+    The cap holds for each label, so the sample has another share of label 1 than the table; :func:`prior_shift` restores it.
     """
     known = _known(labels, label, parts, held)
     order = F.xxhash64("doc_id")
     chosen = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(2 * most) for v in (0, 1)]
     few = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= chars)
-    rows = texts.join(F.broadcast(few), "doc_id").select("text", "label", "doc_id", order.alias("at")).collect()
+    one = texts.join(F.broadcast(few), "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text")).withColumn("at", order)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("at", "doc_id"))
+    rows = one.withColumn("place", place).filter(F.col("place") <= most).collect()
     once: dict[str, int] = {}
-    seen: dict[int, set[int]] = {0: set(), 1: set()}
-    for r in sorted(rows, key=lambda r: (r["at"], r["doc_id"], r["text"])):
-        ids = seen[r["label"]]
-        if r["doc_id"] in ids or len(ids) < most:
-            ids.add(r["doc_id"])
-            once.setdefault(r["text"], r["label"])
+    for r in sorted(rows, key=lambda r: (r["at"], r["doc_id"], r["label"])):
+        once.setdefault(r["text"], r["label"])
     return list(once.items())

@@ -478,6 +478,18 @@ def test_held_out_labels_are_never_read(docs, labels):
         assert labelled.sample(docs, labels, name, module.PARTS, module.HELD) == labelled.sample(docs, flipped, name, module.PARTS, module.HELD)
 
 
+def test_sample_takes_an_id_once(spark):
+    """Rows that repeat an id, and texts that repeat, do not make the sample grow past its bound."""
+    docs = spark.range(400).selectExpr("id % 40 AS doc_id", "concat('text ', CAST(id % 80 AS STRING)) AS text", "id AS label", "'x' AS at")
+    labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    whole = labelled.sample(docs, labels, "toxic", 4, 2)
+    few = labelled.sample(docs, labels, "toxic", 4, 2, most=3)
+    assert whole and len(whole) == len({t for t, _ in whole}) and len(few) == 6 and {t for t, _ in few} < {t for t, _ in whole}
+    least = {min(f"text {i}", f"text {i + 40}") for i in range(40)}
+    assert {t for t, _ in whole} <= least
+    assert labelled.sample(docs.limit(0), labels, "toxic", 4, 2) == []
+
+
 # -- web pages --------------------------------------------------------------------------------
 
 
