@@ -70,6 +70,19 @@ panel AS (
 )"""
 
 
+WIDE_SQL = """
+wobs AS (
+  SELECT printf('S%07d', l_suppkey) AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS d,
+    CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS raw
+  FROM lineitem GROUP BY 1, 2
+),
+wcal AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT d FROM wobs)),
+wide AS (
+  SELECT c.code, wcal.d, wcal.i, o.raw AS price, last_value(o.raw IGNORE NULLS) OVER (PARTITION BY c.code ORDER BY wcal.i) AS filled
+  FROM (SELECT DISTINCT code FROM wobs) c CROSS JOIN wcal LEFT JOIN wobs o ON o.code = c.code AND o.d = wcal.d
+)"""
+
+
 def with_cash(p: DataFrame) -> DataFrame:
     """Adds a small cash rate that depends on the position."""
     return p.withColumn("cash", F.lit(0.0005) + F.lit(0.0001) * (F.col("i") % 7))

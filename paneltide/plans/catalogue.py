@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.plans import model_queries, panel_queries, portfolio_queries, store_queries  # noqa: F401  they register their queries
+from paneltide.plans import model_queries, panel_queries, portfolio_queries, store_queries, stress_queries  # noqa: F401  they register their queries
 from paneltide.plans.registry import ORACLE, QUERIES, Query
 
 
