@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paneltide.functions.stats import whole_days
-from paneltide.functions.text import first_reason
+from paneltide.functions.text import first_reason, mentions
 from paneltide.operators import joins
+from paneltide.operators.ledger import tax_rate_on
 from paneltide.operators.quality import execution_masks
 
 FIELDS = ["tefas_status", "buy_valor", "sell_valor", "tax_category", "last_success_at", "source_published_at"]
@@ -61,3 +62,18 @@ def fund_meta(master: DataFrame, pension: bool = False, unknown_tax: float = 0.1
         F.lit(0.0).alias("entry_fee"), F.lit(0.0).alias("exit_fee"),
         (F.lit(0.0) if pension else F.coalesce(tax, F.lit(unknown_tax))).alias("tax_rate"), (F.lit(False) if pension else tax.isNull()).alias("tax_assumed"), "founder", "umbrella_type",
     )
+
+
+def withholding_classes(funds: DataFrame, rules: list[tuple[str, list[str], list[str]]] | None, schedule: list[tuple[str, dict[str, float]]], day: str = "snapshot_date") -> DataFrame:
+    """Adds tax_category and withholding_rate, the rate of the category on ``day``.
+
+    ``rules``: (category, literals of the fund's category, literals of its name), the first that fits counts; no literals ask nothing, null text is
+    empty. A fund that fits none, and every fund where no rules are given, has both null: nothing is assumed. ``schedule`` as in
+    :func:`paneltide.operators.ledger.tax_rate_on`; a day before its beginning has no rate. The rules are one native expression, so
+    the pairs of category and name need neither be told apart nor joined back.
+    """
+    fits = lambda c, words: mentions(F.col(c), words) if words else F.lit(True)
+    kinds = [F.when(fits("category", of) & fits("name", named), F.lit(kind)) for kind, of, named in rules or []]
+    out = funds.withColumn("tax_category", F.coalesce(*kinds, F.lit(None).cast("string")))
+    rate = tax_rate_on(F.col(day), F.col("tax_category"), schedule, F.lit(None).cast("double"))
+    return out.withColumn("withholding_rate", F.when(F.col("tax_category").isNotNull(), rate))

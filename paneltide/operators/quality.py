@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paneltide.functions.text import collapse, fold
+from paneltide.functions import calendars
+from paneltide.functions.text import collapse, first_reason, fold
+from paneltide.operators import joins
 
 #: Phrases of the status text, folded.
 _BUY_CLOSED, _SELL_CLOSED = "alımına kapalı", "bozumuna kapalı"
@@ -87,3 +89,38 @@ def quality_summary(panel: DataFrame, master: DataFrame, most_stale: int = 3) ->
     masks = master.agg(F.count_if(~buy).alias("n_buy_closed"), F.count_if(~sell).alias("n_sell_closed"), F.count_if(~known).alias("n_unknown"), F.count_if(suspended()).alias("n_suspended"))
     cells = panel.withColumn("_j", w.jumps()).agg(F.count_if(F.col("price") <= 0).alias("n_non_positive"), F.count_if("_j").alias("n_jumps"))
     return fresh.crossJoin(masks).crossJoin(cells)
+
+
+def source_stale(asked: DataFrame, prices: DataFrame, snapshots: DataFrame, calendar: DataFrame, most_behind: int = 2, least_fresh: float = 0.95, ready_hour: int = 10) -> DataFrame:
+    """Whether the source was stale at each moment, from what could be seen on its day: at, expected, newest, behind, fresh_ratio, stale, reason.
+
+    ``asked``: at (timestamp); ``prices``: code, d, price; ``snapshots``: snapshot_date; ``calendar``: business days (d). ``expected`` is the
+    newest day whose price is due, ``behind`` the business days from ``newest``, the last day with a price, up to it; ``fresh_ratio`` the share of
+    the funds seen so far whose last price is no business day older than ``newest`` (a fund that begins later does not count). Reasons in
+    order: ``no_snapshot``, ``no_price``, ``behind`` (``most_behind`` days or more), ``few_fresh`` (below ``least_fresh``), ``ok``. Every moment
+    has one row; null moments, and null, NaN or repeated prices, change nothing. Before the calendar begins ``expected`` and ``behind`` are null: stale.
+
+    The prices are aggregated once by fund and number of business days; what is left grows with the calendar and the moments alone.
+    """
+    there = prices.filter(F.col("price").isNotNull() & ~F.isnan("price") & F.col("code").isNotNull() & F.col("d").isNotNull())
+    dates = calendars.with_index(there.select("d").distinct(), calendar, "d", "before")
+    firsts = there.join(F.broadcast(dates), "d").groupBy("code", "before").agg(F.min("d").alias("d"))
+    fresh = firsts.groupBy("d").agg(F.count("*").alias("_fresh"))
+    born = firsts.groupBy("code").agg(F.min("d").alias("d")).groupBy("d").agg(F.count("*").alias("_born"))
+    along = Window.orderBy("d")
+    seen = dates.join(fresh, "d", "left").join(born, "d", "left").fillna(0, ["_fresh", "_born"])
+    ratio = F.sum("_fresh").over(Window.partitionBy("before").orderBy("d")) / F.sum("_born").over(along)
+    seen = seen.select(F.lit(1).alias("_one"), F.col("d").alias("newest"), "before", ratio.alias("fresh_ratio"))
+    moments = asked.select("at").filter("at IS NOT NULL").distinct().select("at", F.to_date("at").alias("_day"), F.lit(1).alias("_one"))
+    got = joins.asof_last(moments, seen, "_one", "_day", "newest", ["before", "fresh_ratio"])
+    taken = snapshots.filter("snapshot_date IS NOT NULL").select(F.lit(1).alias("_one"), "snapshot_date").distinct()
+    got = joins.asof_last(got, taken, "_one", "_day", "snapshot_date", [])
+    got = calendars.with_index(calendars.expected_label(got, calendar, "at", ready_hour), calendar, "expected", "_due")
+    behind = F.when(F.col("expected").isNotNull(), F.col("_due") - F.col("before"))
+    reason = first_reason(
+        (F.col("snapshot_date").isNull(), "no_snapshot"),
+        (F.col("newest").isNull(), "no_price"),
+        (F.coalesce(behind >= most_behind, F.lit(True)), "behind"),
+        (F.col("fresh_ratio") < least_fresh, "few_fresh"),
+    )
+    return got.select("at", "expected", "newest", behind.alias("behind"), "fresh_ratio", (reason != "ok").alias("stale"), reason.alias("reason"))

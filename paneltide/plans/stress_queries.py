@@ -1,12 +1,15 @@
-"""Settlement stress of fixed baskets."""
+"""Settlement stress of fixed baskets, staleness of the source at each moment, withholding classes."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from paneltide.operators import settlement, windows as w
+from paneltide.functions import calendars
+from paneltide.operators import execution, quality, settlement, windows as w
 from paneltide.plans import adapters as ad
-from paneltide.plans.adapters import WIDE_SQL
+from paneltide.plans.adapters import MASTER_SQL, WIDE_SQL
 from paneltide.plans.registry import query, rounded as r
 
 #: First position of the stress, when most suppliers have a price, and the position of the synthetic sale.
@@ -73,3 +76,44 @@ def settlement_stress(spark, sf):
     out = settlement.settlement_stress(baskets, p, profiles, cash, liquidation=SALE)
     figures = [r(c, 7).alias(c) for c in ("taxes_paid", "settled_cash", "receivables", "ending_equity")]
     return out.select("basket", "mode", "scenario", "period", "status", r("cagr").alias("cagr"), "settle_i", *figures, (F.col("identity_gap") < 1e-6).alias("adds_up"))
+
+
+@query("""
+SELECT "at", expected, newest, behind, round(ratio, 8) + 0e0 AS fresh_ratio, reason <> 'ok' AS stale, reason FROM (
+  SELECT *, CASE WHEN snap IS NULL THEN 'no_snapshot' WHEN newest IS NULL THEN 'no_price' WHEN coalesce(behind >= 3, true) THEN 'behind' WHEN ratio < 0.8e0 THEN 'few_fresh' ELSE 'ok' END AS reason
+  FROM (SELECT *, (SELECT count(*) FROM bds WHERE d < expected) - before AS behind FROM asked ASOF LEFT JOIN per ON day >= newest))
+""", """
+taken AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) + 40 AS d FROM orders),
+bds AS (SELECT d FROM (SELECT CAST(unnest(generate_series(DATE '1992-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) < 6 AND NOT (month(d) = 1 AND day(d) = 1)),
+nav AS (SELECT DISTINCT l_suppkey AS code, CAST(date_trunc('week', l_shipdate) AS DATE) + CAST(4 + l_suppkey % 3 AS INTEGER) AS d FROM lineitem),
+dn AS (SELECT d, (SELECT count(*) FROM bds WHERE bds.d < nd.d) AS before FROM (SELECT DISTINCT d FROM nav) nd),
+per AS (
+  SELECT newest, any_value(before) AS before, avg(CASE WHEN last_before = before THEN 1e0 ELSE 0e0 END) AS ratio FROM (
+    SELECT a.d AS newest, a.before, n.code, max(b.before) AS last_before FROM dn a JOIN nav n ON n.d <= a.d JOIN dn b ON b.d = n.d GROUP BY ALL) GROUP BY newest
+),
+asked AS (
+  SELECT *, CAST("at" AS DATE) AS day, (SELECT max(d) FROM bds WHERE d < CAST("at" AS DATE) OR (d = CAST("at" AS DATE) AND hour("at") >= 10)) AS expected,
+    (SELECT max(d) FROM taken WHERE d <= CAST("at" AS DATE)) AS snap
+  FROM (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 3 * 6 AS INTEGER)) AS "at" FROM orders)
+)""")
+def source_stale(spark, sf):
+    """Three moments on each day with an order, against the suppliers' weekly prices, dated Friday to Sunday."""
+    o = ad.table(spark, sf, "orders").select((F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") % 3 * 6).cast("int"))).alias("at"))
+    label = F.date_add(F.date_trunc("week", "l_shipdate").cast("date"), (4 + F.col("l_suppkey") % 3).cast("int"))
+    nav = ad.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), label.alias("d"), F.lit(1.0).alias("price"))
+    cal = calendars.business_days(spark, date(1992, 1, 1), date(1998, 12, 31), [date(y, 1, 1) for y in range(1992, 1999)])
+    taken = ad.table(spark, sf, "orders").select(F.date_add(F.trunc("o_orderdate", "quarter"), 40).alias("snapshot_date"))
+    out = quality.source_stale(o, nav, taken, cal, most_behind=3, least_fresh=0.8)
+    return out.withColumn("fresh_ratio", r("fresh_ratio"))
+
+
+@query("""
+SELECT fund_code, snapshot_date, kind AS tax_category, CASE WHEN kind IS NULL THEN NULL WHEN snapshot_date >= DATE '1998-02-01' THEN CASE kind WHEN 'abroad' THEN 0.15e0 ELSE 0.125e0 END
+  ELSE CASE kind WHEN 'equity' THEN 0e0 ELSE 0.1e0 END END AS withholding_rate
+FROM (SELECT *, CASE WHEN category = 'Hisse' THEN 'equity' WHEN name LIKE '%IRAN%' OR name LIKE '%IRAQ%' THEN 'abroad' WHEN category = 'Borçlanma' AND name LIKE '%CHINA%' THEN 'bond' END AS kind FROM master)
+""", MASTER_SQL)
+def withholding_classes(spark, sf):
+    rules = [("equity", ["HİSSE"], []), ("abroad", [], ["iran", "ıraq"]), ("bond", ["borçlanma"], ["China"])]
+    schedule = [("1990-01-01", {"equity": 0.0, "default": 0.1}), ("1998-02-01", {"abroad": 0.15, "default": 0.125})]
+    out = execution.withholding_classes(ad.master(spark, sf).drop("tax_category"), rules, schedule)
+    return out.select("fund_code", "snapshot_date", "tax_category", "withholding_rate")

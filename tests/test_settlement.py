@@ -96,3 +96,56 @@ def test_reasons(spark):
     assert se.settlement_stress(b, p.limit(0), f, k, liquidation=MID).filter("status = 'ok'").count() == 0
     for day in (0, LAST, 99):
         assert se.settlement_stress(b, p, f, k, liquidation=day).filter(f"mode = '{se.REINVESTED}' AND status = 'ok'").count() == 0
+
+
+def test_source_stale_of_every_moment_equals_a_replay(spark):
+    from datetime import date, datetime, timedelta
+
+    from paneltide.functions import calendars
+    from paneltide.operators import quality
+
+    rng, first = Random(3), date(2026, 1, 1)
+    days = [first + timedelta(days=k) for k in range(60)]
+    holidays = [date(2026, 1, 1), date(2026, 2, 4)]
+    busy = [d for d in days if d.weekday() < 5 and d not in holidays]
+    prices = [(f"F{k}", d, rng.choice([1.0, 1.0, 1.0, None, float("nan")])) for k in range(6) for d in days[3 + 4 * k :] if rng.random() < (0.9 if d.day % 9 > 3 else 0.2)]
+    prices += prices[:20] + [(None, days[50], 1.0), ("F1", None, 1.0)]
+    taken = [days[9], days[20], None]
+    asked = [datetime.combine(d, datetime.min.time()) + timedelta(hours=rng.choice([0, 9, 10, 23])) for d in days] + [None]
+    a = spark.createDataFrame([(x,) for x in asked], "at timestamp_ntz")
+    p = spark.createDataFrame(prices, "code string, d date, price double")
+    s = spark.createDataFrame([(x,) for x in taken], "snapshot_date date")
+    cal = calendars.business_days(spark, days[0], days[-1], holidays)
+    got = {r["at"]: r for r in quality.source_stale(a, p, s, cal, 2, 0.7).collect()}
+    assert len(got) == 60
+    good = {(c, d) for c, d, v in prices if c and d and v == v and v is not None}
+    between = lambda x, y: sum(x <= d < y for d in busy)
+    reasons = set()
+    for at in asked[:-1]:
+        r, day = got[at], at.date()
+        due = [d for d in busy if d < day or (d == day and at.hour >= 10)]
+        last = {c: max(d for x, d in good if x == c and d <= day) for c in {c for c, d in good if d <= day}}
+        newest = max(last.values(), default=None)
+        behind = between(newest, due[-1]) - between(due[-1], newest) if newest and due else None
+        ratio = sum(between(d, newest) <= 0 for d in last.values()) / len(last) if last else None
+        reason = "no_snapshot" if not any(t and t <= day for t in taken) else "no_price" if not newest else "behind" if behind is None or behind >= 2 else "few_fresh" if ratio < 0.7 else "ok"
+        reasons.add(reason)
+        assert (r["expected"], r["newest"], r["behind"], r["reason"], r["stale"]) == (due[-1] if due else None, newest, behind, reason, reason != "ok")
+        assert r["fresh_ratio"] == (pytest.approx(ratio) if last else None)
+    assert {"no_snapshot", "few_fresh", "ok"} <= reasons
+    none = quality.source_stale(a, p.limit(0), s, cal).collect()
+    assert len(none) == 60 and {r["reason"] for r in none} == {"no_snapshot", "no_price"}
+    assert quality.source_stale(a.limit(0), p, s, cal).count() == 0
+
+
+def test_withholding_classes(spark):
+    from paneltide.operators.execution import withholding_classes
+
+    rows = [(1, "HİSSE fon", None), (2, None, "x IRAQ"), (3, "", ""), (4, "tahvil", "kısa"), (5, "tahvil", "uzun")]
+    f = spark.createDataFrame(rows, "k int, category string, name string").selectExpr("*", "DATE '2026-01-05' AS day", "1 AS rate")
+    rules = [("equity", ["hisse"], []), ("abroad", [], ["ıraq"]), ("short", ["tahvil"], ["KISA"])]
+    schedule = [("2026-02-01", {"default": 0.9}), ("2026-01-01", {"equity": 0.0, "default": 0.1})]
+    got = {r["k"]: (r["tax_category"], r["withholding_rate"]) for r in withholding_classes(f, rules, schedule, "day").collect()}
+    assert got == {1: ("equity", 0.0), 2: ("abroad", 0.1), 3: (None, None), 4: ("short", 0.1), 5: (None, None)}
+    assert {tuple(r)[-2:] for r in withholding_classes(f, None, schedule, "day").collect()} == {(None, None)}
+    assert {r["withholding_rate"] for r in withholding_classes(f, rules, schedule[:1], "day").collect()} == {None}
