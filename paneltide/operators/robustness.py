@@ -13,13 +13,13 @@ EULER = 0.5772156649
 
 
 def summary(equity: DataFrame, by: str = "run_id") -> DataFrame:
-    """(by, n, cagr, vol, sharpe, sortino, mdd, calmar, skew, kurt, cash_cagr, excess_cagr) of (by, i, equity, cash_level)."""
+    """(by, n, cagr, vol, sharpe, sortino, mdd, calmar, skew, kurt, cash_cagr, excess_cagr) of (by, i, equity, cash_level). A run of one row has n 0, mdd 0 and nulls."""
     w = Window.partitionBy(by).orderBy("i")
     r = F.ln("equity") - F.lag(F.ln("equity")).over(w)
     x = equity.withColumn("r", r).withColumn("ex", F.col("r") - (F.ln("cash_level") - F.lag(F.ln("cash_level")).over(w)))
     x = x.withColumn("dd", 1 - F.col("equity") / F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     years = F.count("r") / 252
-    growth = lambda c: F.pow(F.max_by(c, "i") / F.min_by(c, "i"), 1 / years) - 1
+    growth = lambda c: F.pow(F.max_by(c, "i") / F.min_by(c, "i"), F.try_divide(F.lit(1.0), years)) - 1
     out = x.groupBy(by).agg(
         F.count("r").alias("n"), growth("equity").alias("cagr"), (F.stddev_samp("r") * sqrt(252)).alias("vol"),
         (F.try_divide(F.avg("ex"), F.stddev_samp("ex")) * sqrt(252)).alias("sharpe"),
@@ -29,6 +29,30 @@ def summary(equity: DataFrame, by: str = "run_id") -> DataFrame:
     return out.withColumn("calmar", F.try_divide("cagr", "mdd")).withColumn("excess_cagr", F.col("cagr") - F.col("cash_cagr"))
 
 
+def by_period(equity: DataFrame, periods: DataFrame, by: str = "run_id") -> DataFrame:
+    """:func:`summary` of each period by itself, with ``period``. ``periods``: period, first, last (days, both inside; null: open).
+
+    A few rows of periods, which may overlap. A slice begins with its own first row: the return into it does not count, nor an earlier peak.
+    A run without rows in a period, or with a null day, has none there.
+    """
+    inside = (F.col("d") >= F.coalesce("first", F.col("d"))) & (F.col("d") <= F.coalesce("last", F.col("d")))
+    cut = equity.join(F.broadcast(periods), inside).withColumn("_slice", F.struct("period", by))
+    return summary(cut, "_slice").select("_slice.*", "*").drop("_slice")
+
+
+def cost_shares(equity: DataFrame, fills: DataFrame, by: str = "run_id", days_a_year: int = 252) -> DataFrame:
+    """(by, turnover_per_year, taxes_share, fees_share): traded amount by year, and taxes and fees as shares of the last equity.
+
+    ``equity``: by, i, equity; ``fills``: by, gross, tax, fee (null: 0). A run without fills has zeros; one of a single row no turnover by year;
+    an equity of 0 at the end no shares. Fills of a run without equity are left out.
+    """
+    run = equity.groupBy(by).agg(F.count("equity").alias("_n"), F.max_by("equity", "i").alias("_end"))
+    spent = fills.groupBy(by).agg(*[F.sum(c).alias(f"_{c}") for c in ("gross", "tax", "fee")])
+    got = run.join(spent, by, "left").fillna(0.0, ["_gross", "_tax", "_fee"])
+    years = (F.col("_n") - 1) / days_a_year
+    return got.select(by, F.try_divide("_gross", years).alias("turnover_per_year"), F.try_divide("_tax", "_end").alias("taxes_share"), F.try_divide("_fee", "_end").alias("fees_share"))
+
+
 def yearly(equity: DataFrame, by: str = "run_id") -> DataFrame:
     year = F.year("d").cast("bigint").alias("year")
     return equity.groupBy(by, year).agg((F.max_by("equity", "d") / F.min_by("equity", "d") - 1).alias("ret"))

@@ -38,6 +38,41 @@ def summary_metrics(spark, sf):
     return s.select("run_id", "n", r("cagr", 6).alias("cagr"), r("vol").alias("vol"), r("sharpe", 6).alias("sharpe"), r("mdd").alias("mdd"), r("calmar", 5).alias("calmar"))
 
 
+@query("""
+SELECT run_id, period, n, round(cagr, 6) + 0e0 AS cagr, round(vol, 8) + 0e0 AS vol, round(sharpe, 6) + 0e0 AS sharpe, round(mdd, 8) + 0e0 AS mdd FROM (
+  SELECT run_id, period, count(r) AS n, CASE WHEN count(r) > 0 THEN pow(arg_max(equity, i) / arg_min(equity, i), 252e0 / count(r)) - 1 END AS cagr, stddev_samp(r) * sqrt(252) AS vol,
+    avg(ex) / nullif(stddev_samp(ex), 0) * sqrt(252) AS sharpe, max(dd) AS mdd FROM pr GROUP BY 1, 2)
+""", PANEL_SQL, CASH_SQL, LABEL_SQL, _EQ, """
+pr AS (
+  SELECT *, ln(equity) - lag(ln(equity)) OVER w AS r, ln(equity) - lag(ln(equity)) OVER w - (ln(cash_level) - lag(ln(cash_level)) OVER w) AS ex,
+    1 - equity / max(equity) OVER (PARTITION BY run_id, period ORDER BY i) AS dd
+  FROM eq JOIN (SELECT unnest(['select', 'external', 'full']) AS period, unnest([NULL, DATE '1997-01-01', NULL]) AS f, unnest([DATE '1996-12-31', NULL, NULL]) AS t)
+    ON d >= coalesce(f, d) AND d <= coalesce(t, d) WINDOW w AS (PARTITION BY run_id, period ORDER BY i)
+)""")
+def period_metrics(spark, sf):
+    """Each entity's performance before 1997, from then on, and in all."""
+    periods = spark.createDataFrame([("select", None, date(1996, 12, 31)), ("external", date(1997, 1, 1), None), ("full", None, None)], "period string, first date, last date")
+    s = rb.by_period(_equity(spark, sf), periods)
+    return s.select("run_id", "period", "n", r("cagr", 6).alias("cagr"), r("vol").alias("vol"), r("sharpe", 6).alias("sharpe"), r("mdd").alias("mdd"))
+
+
+@query("""
+SELECT run_id, round(gross / ((n - 1) / 252e0), 4) + 0e0 AS turnover_per_year, round(tax / e, 6) + 0e0 AS taxes_share, round(fee / e, 6) + 0e0 AS fees_share FROM (
+  SELECT run_id, count(equity) AS n, arg_max(equity, i) * 1000000 AS e FROM eq GROUP BY 1) JOIN (
+  SELECT p_type AS run_id, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS gross, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) AS tax,
+    CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS fee FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) USING (run_id)
+""", PANEL_SQL, CASH_SQL, LABEL_SQL, _EQ)
+def cost_shares(spark, sf):
+    """Line items as fills of their part type's run, whose equity begins with a million."""
+    li = ad.table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice", "l_tax", "l_discount")
+    gross = F.col("l_extendedprice").cast("decimal(18,2)")
+    of = lambda c: F.sum(gross * F.col(c).cast("decimal(4,2)")).cast("double")
+    part = ad.table(spark, sf, "part").select("p_partkey", "p_type")
+    fills = li.join(part, li["l_partkey"] == part["p_partkey"]).groupBy(F.col("p_type").alias("run_id")).agg(F.sum(gross).cast("double").alias("gross"), of("l_tax").alias("tax"), of("l_discount").alias("fee"))
+    out = rb.cost_shares(_equity(spark, sf).withColumn("equity", F.col("equity") * 1e6), fills)
+    return out.select("run_id", r("turnover_per_year", 4).alias("turnover_per_year"), r("taxes_share", 6).alias("taxes_share"), r("fees_share", 6).alias("fees_share"))
+
+
 @query("SELECT run_id, year(d) AS yr, round(arg_max(equity, d) / arg_min(equity, d) - 1, 8) + 0e0 AS ret FROM eq GROUP BY 1, 2", PANEL_SQL, CASH_SQL, LABEL_SQL, _EQ)
 def yearly_returns(spark, sf):
     return rb.yearly(_equity(spark, sf)).select("run_id", F.col("year").alias("yr"), r("ret").alias("ret"))
