@@ -42,6 +42,8 @@ SMALL_BUCKET = 64
 
 #: Slots of the table that counts how many nodes of crowded buckets hold a shingle; a power of two, the same at any size.
 SLOTS = 1 << 17
+#: Slots whose counts make one row.
+BLOCK = 1 << 10
 #: Registers of a signature. Bands use the first ones; all of them estimate similarity before a pair is verified.
 REGISTERS = 256
 
@@ -195,12 +197,29 @@ def _small_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float, register
     return x.join(y, "key").filter(across).select("a", "b")
 
 
+_HELD = pa.schema([("block", pa.int32()), ("slot", pa.list_(pa.int32())), ("held", pa.list_(pa.int64()))])
+
+
+def _blocks(count: np.ndarray) -> pa.RecordBatch:
+    """The slots that are held, and how often, as a row for each block of them."""
+    slot = np.flatnonzero(count)
+    block, first = np.unique(slot // BLOCK, return_index=True)
+    ends = pa.array(np.r_[first, len(slot)].astype(np.int32))
+    return common.record(_HELD, block=block, slot=pa.ListArray.from_arrays(ends, pa.array(slot.astype(np.int32))), held=pa.ListArray.from_arrays(ends, pa.array(count[slot])))
+
+
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.zeros(SLOTS, np.int64)
     for batch in batches:
         count += np.bincount(batch.column("set").flatten().to_numpy(zero_copy_only=False) & (SLOTS - 1), minlength=SLOTS)
-    slot = np.flatnonzero(count)
-    yield common.record(pa.schema([("slot", pa.int64()), ("held", pa.int64())]), slot=slot, held=count[slot])
+    yield _blocks(count)
+
+
+def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        np.add.at(count, batch.column("slot").flatten().to_numpy(), batch.column("held").flatten().to_numpy())
+    yield _blocks(count)
 
 
 _PREFIX = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("root", pa.binary()), ("place", pa.int32()), ("index", pa.bool_()), ("h", pa.int64())])
@@ -233,9 +252,11 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     for any one order, so holders are counted in a table of fixed size, by the shingle's last bits, which is broadcast.
     """
     held = sets.join(members, "node").select("node", "root", "set")
-    slots = held.select("set").mapInArrow(_slot_counts, "slot long, held long").groupBy("slot").agg(F.sum("held").alias("held")).toArrow()
+    kinds = "block int, slot array<int>, held array<long>"
+    slots = held.select("set").mapInArrow(_slot_counts, kinds).repartition("block").mapInArrow(_slot_sums, kinds).toArrow()
     often = np.zeros(SLOTS, np.int64)
-    often[slots["slot"].to_numpy()] = slots["held"].to_numpy()
+    for part in slots.to_batches():
+        np.add.at(often, part.column("slot").flatten().to_numpy(), part.column("held").flatten().to_numpy())
     del slots
     often = sets.sparkSession.sparkContext.broadcast(often)
     kinds = "node binary, n int, root binary, place int, index boolean, h long"

@@ -913,3 +913,18 @@ def test_anchored_endpoint_has_the_same_matches(parts):
 
     text = "".join(parts)
     assert [m.span() for m in regex.finditer(secret_scan._ENDPOINT, text)] == [m.span() for m in regex.finditer(secret_scan.ENDPOINT, text)]
+
+
+def test_slot_counts_make_few_rows_however_many_shingles():
+    from paneltide.llm import near_dedup as nd
+
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(-(1 << 60), 1 << 60, 3000) for _ in range(60)]
+    tasks = [pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.int64()))], names=["set"]) for part in (sets[:10], sets[10:45], sets[45:])]
+    told = [list(nd._slot_counts(iter([task]))) for task in tasks] + [list(nd._slot_counts(iter([])))]
+    assert all(sum(b.num_rows for b in batches) <= nd.SLOTS // nd.BLOCK for batches in told)
+    (summed,) = nd._slot_sums(b for batches in told for b in batches)
+    want = np.bincount(np.concatenate(sets) & (nd.SLOTS - 1), minlength=nd.SLOTS)
+    got = np.zeros(nd.SLOTS, np.int64)
+    got[summed.column("slot").flatten().to_numpy()] = summed.column("held").flatten().to_numpy()
+    assert np.array_equal(got, want) and summed.num_rows == nd.SLOTS // nd.BLOCK
