@@ -306,7 +306,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     many = _prefix_pairs(mixed.filter(F.col("size") > SMALL_BUCKET).select("node", "root").distinct(), sets, similarity)
     rest = few.unionByName(many).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = common.written(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links", [links, mixed, first, sets])
+    # Written before it is verified: in one plan, all stages of both searches would be open at once on the driver.
+    rest = common.written(rest.join(tried, ["a", "b"], "left_anti"), "pairs", [links, mixed, first])
+    more = common.written(_verified(rest, sets, similarity), "links", [rest, sets])
     if not more.isEmpty():
         found = common.written(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components", [found, more])
 

@@ -29,6 +29,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1200, 10_000
 CHAINS, RULES = 5000, 200
 #: Tokens of a matrix row. A longer text is several rows, and the chain's state is carried from each to the next, both ways.
 WINDOW = 64
+#: Tokens whose codes are sorted or looked up at once in training, which runs beside the driver's JVM.
+PIECE = 1 << 16
 #: Bytes of text scored at once; features and chain take about 60 bytes for each of them.
 SLICE_BYTES = 1 << 20
 
@@ -51,14 +53,38 @@ def features(texts: pa.Array, words: common.Words):
     return raw, a, b, first, codes
 
 
+def _held(doc: np.ndarray, codes: np.ndarray, most: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and their distinct codes (not 0), in order of both. ``doc`` ascends; about ``most`` tokens are sorted at once."""
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.uint64))]
+    a = 0
+    while a < len(doc):
+        b = int(np.searchsorted(doc, doc[min(a + most, len(doc)) - 1], "right"))  # a document is not cut
+        row, col = np.nonzero(codes[a:b])
+        owner, code = doc[a:b][row].astype(np.int32), codes[a:b][row, col]
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])][: len(owner)]
+        parts.append((owner[new], code[new]))
+        a = b
+    return np.concatenate([o for o, _ in parts]), np.concatenate([c for _, c in parts])
+
+
+def _among(codes: np.ndarray, lexicon: np.ndarray, most: int = PIECE) -> np.ndarray:
+    """Flags of rows that hold a code of ``lexicon`` (in order), some rows at a time."""
+    out = np.zeros(len(codes), bool)
+    for a in range(0, len(codes) if len(lexicon) else 0, most):
+        some = codes[a : a + most]
+        out[a : a + most] = (lexicon[np.minimum(np.searchsorted(lexicon, some), len(lexicon) - 1)] == some).any(1)
+    return out
+
+
 def _cover(doc: np.ndarray, codes: np.ndarray, toxic: np.ndarray, least: int = 3, most_rules: int = RULES) -> np.ndarray:
     """Codes of toxic words and word beginnings: those far too frequent in toxic documents to be chance, and a
     greedy cover of the toxic documents by codes that each explain at least ``least`` more and are rare elsewhere."""
-    candidates = codes[:, :-1]
-    there = candidates != 0
-    names, which = np.unique(candidates[there], return_inverse=True)
-    pairs = np.unique(np.repeat(doc, candidates.shape[1]).reshape(candidates.shape)[there] * len(names) + which)
-    owner, which = pairs // max(1, len(names)), pairs % max(1, len(names))
+    owner, code = _held(doc, codes[:, :-1])
+    names = np.unique(code)
+    which = np.searchsorted(names, code).astype(np.int32)
+    del code
     bad = np.bincount(which, weights=toxic[owner], minlength=len(names))
     good = np.bincount(which, weights=1 - toxic[owner], minlength=len(names))
     share = max(1, int((1 - toxic).sum())) / max(1, int(toxic.sum()))
@@ -162,7 +188,7 @@ def _train(first: np.ndarray, codes: np.ndarray, toxic: np.ndarray, rounds: int,
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
     alone = distinct_texts(codes[:, 0], first)[doc]
     lexicon = _cover(doc[alone], codes[alone], toxic)
-    hit = np.isin(codes[:, :-1], lexicon).any(1)
+    hit = _among(codes[:, :-1], lexicon)
     label = hit & (toxic[doc] == 1)
     known = (toxic[doc] == 0) | (np.bincount(doc, weights=label, minlength=len(toxic)) > 0)[doc]
     row, col, part = chains(first)
@@ -176,9 +202,9 @@ def _train(first: np.ndarray, codes: np.ndarray, toxic: np.ndarray, rounds: int,
     inside = at[row] >= 0
     r, c, y = at[row[inside]], col[inside], label[inside].astype(float)
     slot = (codes[inside] >> np.uint64(64 - BITS)).astype(np.int64)
-    there = (codes[inside] != 0).astype(float)
+    there = codes[inside] != 0
     # Half of the tokens are seen without their whole word, so beginnings and ends carry weight of their own.
-    there[common.mix(np.arange(len(there), dtype=np.uint64)) >> np.uint64(63) == 1, 0] = 0
+    there[common.mix(np.arange(len(there), dtype=np.uint64)) >> np.uint64(63) == 1, 0] = False
     mask = np.zeros((len(order), WINDOW), bool)
     mask[r, c] = True
     truth = np.zeros((len(order), WINDOW))

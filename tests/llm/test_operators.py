@@ -4,6 +4,7 @@ import hashlib
 import html.parser
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -928,3 +929,24 @@ def test_slot_counts_make_few_rows_however_many_shingles():
     got = np.zeros(nd.SLOTS, np.int64)
     got[summed.column("slot").flatten().to_numpy()] = summed.column("held").flatten().to_numpy()
     assert np.array_equal(got, want) and summed.num_rows == nd.SLOTS // nd.BLOCK
+
+
+def test_training_sorts_a_piece_of_the_codes_at_a_time():
+    """The driver holds the sample's codes beside its JVM: no sort of all of them at once, and the same cover and labels."""
+    rng, n, each = np.random.default_rng(3), 300, 1000
+    codes = rng.integers(1, 2**63, size=(4000, 7)).astype(np.uint64)[rng.integers(0, 4000, n * each)]
+    doc, first, toxic = np.repeat(np.arange(n), each), np.arange(n + 1) * each, np.arange(n) % 2
+    for most, run in ((4.5, lambda: toxicity._cover(doc, codes, toxic)), (5.5, lambda: toxicity._train(first, codes, toxic, 2, 500))):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * codes.nbytes
+    codes[rng.random(codes.shape) < 0.5] = 0
+    some, doc = codes[:5000], np.sort(rng.integers(0, 40, 5000))
+    for piece in (1, 700, 10_000):
+        owner, code = toxicity._held(doc, some, piece)
+        assert list(zip(owner.tolist(), code.tolist())) == sorted({(d, c) for d, row in zip(doc.tolist(), some.tolist()) for c in row if c})
+        for lexicon in (np.unique(some[::50, 1]), np.zeros(0, np.uint64)):
+            assert (toxicity._among(some, lexicon, piece) == np.isin(some, lexicon).any(1)).all()
+    assert not len(toxicity._held(doc[:0], some[:0])[0]) and not toxicity._held(doc[:9], some[:9] * 0)[0].size
